@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeweave.llm.bpe import decode, encode, read_ranks
 from noticeweave.llm.decontaminate import find_contamination
 
+from noticeweave.llm.langid import predict, train
+from noticeweave.llm.secrets import scan_secrets
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +30,30 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("secrets", lambda s: s["depth"] == 0)
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(
+            F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))), ","
+        )
+
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = docs.withColumn("held_out", F.crc32(ident.cast("binary")) % 4 == 2)
+    return predict(docs, train(docs.where("not held_out")), keep=["doc_id", "held_out"])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,5 +68,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
+    "op6_language_id": op6_language_id,
     "op9_bpe": op9_bpe,
 }
