@@ -11,7 +11,7 @@ from noticeweave.llm.bpe import decode, encode, read_ranks
 from noticeweave.llm.decontaminate import find_contamination
 
 from noticeweave.llm.langid import predict, train
-from noticeweave.llm.secrets import scan_secrets
+from noticeweave.llm.secrets import KINDS, scan_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +39,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))), ","
         )
 
+    def counted(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        *map(counted, KINDS),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
     )
