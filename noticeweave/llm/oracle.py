@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from noticeweave.llm.licenses import TEMPLATES
+
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP4 = rf"""
@@ -26,4 +28,63 @@ select doc.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coa
 from doc left join hit using (doc_id) left join who using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4}
+OP2 = """
+with line as (
+  select doc_id, text, i, l from (select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 i,
+                                         unnest(string_split(text, chr(10))) l from documents)
+),
+win as (
+  select doc_id, text, i, p, row_number() over (partition by p order by doc_id, i) k from (
+    select doc_id, text, i, [l, lead(l) over d, lead(l, 2) over d] p, lead(l, 2) over d x from line
+    window d as (partition by doc_id order by i)) where x is not null
+),
+gone as (select distinct doc_id, i + unnest([0, 1, 2]) i from win where k > 1),
+kept as (
+  select line.doc_id, count(*) n_lines, count(gone.i) n_removed,
+         count(*) filter (gone.i is not null and prev.i is null) n_runs,
+         coalesce(string_agg(l, chr(10) order by line.i) filter (gone.i is null), '') t
+  from line left join gone on gone.doc_id = line.doc_id and gone.i = line.i
+            left join gone prev on prev.doc_id = line.doc_id and prev.i = line.i - 1
+  group by 1
+)
+select doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::bigint n_removed,
+       coalesce(n_runs, 0)::bigint n_runs, sha256(coalesce(t, '')) text_sha256
+from documents left join kept using (doc_id)
+"""
+
+_BIGRAMS = r"""(select list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from (
+  select list_filter(string_split(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')), ' '), lambda x: x <> '') w))"""
+
+
+def _templates() -> str:
+    return ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
+
+
+OP8 = rf"""
+with template(name, t) as (values {_templates()}),
+tb as (select name, {_BIGRAMS.format("t")} b from template),
+unit as (
+  select doc_id, 0 r, 'text' unit, 0 i, coalesce(text, '') t from documents
+  union all
+  select doc_id, 1, 'paragraph', generate_subscripts(p, 1) - 1, unnest(p)
+  from (select doc_id, regexp_split_to_array(text, '\n[ \t]*\n[ \t\n\x0b\f\r]*') p from documents) where len(p) > 1
+  union all
+  select doc_id, 2, 'line', generate_subscripts(p, 1) - 1, unnest(p)
+  from (select doc_id, string_split(text, chr(10)) p from documents) where len(p) > 1
+),
+ub as (select doc_id, r, unit, i, b from (select doc_id, r, unit, i, {_BIGRAMS.format("t")} b from unit) where len(b) between 1 and 200),
+found as (
+  select doc_id, r, unit, i, name, 2.0::double * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) dice
+  from ub, tb where len(ub.b) <= 1.5 * len(tb.b) and len(tb.b) <= 1.5 * len(ub.b)
+),
+per as (
+  select doc_id, count(*) n, list_aggregate(list_sort(list_distinct(list(name))), 'string_agg', ',') names, max(dice) best,
+         string_agg(name || ':' || unit || ':' || i, ',' order by r, i, name) places
+  from found where dice >= 0.8 group by 1
+)
+select doc_id, coalesce(n, 0)::bigint n_matches, coalesce(names, '') licenses, best best_dice, coalesce(places, '') places
+from documents left join per using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2, "op4_decontamination": OP4, "op8_licenses": OP8}

@@ -11,6 +11,8 @@ from noticeweave.llm.bpe import decode, encode, read_ranks
 from noticeweave.llm.decontaminate import find_contamination
 
 from noticeweave.llm.langid import predict, train
+from noticeweave.llm.licenses import scan_licenses
+from noticeweave.llm.lines import dedup_lines
 from noticeweave.llm.secrets import KINDS, scan_secrets
 
 
@@ -18,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, report=True).select(
+        "doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -57,6 +66,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs.where("not held_out")), keep=["doc_id", "held_out"])
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("licenses.template"))), ",").alias("licenses"),
+        F.array_max(F.col("licenses.dice")).alias("best_dice"),
+        F.array_join(
+            F.transform("licenses", lambda m: F.concat_ws(":", m["template"], m["unit"], m["index"].cast("string"))), ","
+        ).alias("places"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,8 +92,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_language_id": op6_language_id,
+    "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
 }
