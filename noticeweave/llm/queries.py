@@ -14,6 +14,7 @@ from noticeweave.llm.langid import predict, train
 from noticeweave.llm.licenses import scan_licenses
 from noticeweave.llm.lines import dedup_lines
 from noticeweave.llm.secrets import KINDS, scan_secrets
+from noticeweave.llm.winnow import as_string, compare_edits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs.where("not held_out")), keep=["doc_id", "held_out"])
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_string(F.col("fingerprint")).alias("fingerprint"),
+        as_string(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(
@@ -96,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_language_id": op6_language_id,
+    "op7_fingerprints": op7_fingerprints,
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
 }
