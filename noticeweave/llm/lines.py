@@ -91,7 +91,7 @@ def dedup_lines(
         )
     )
     removed = F.aggregate("__nw_runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1)
-    joined = docs.join(runs, same, "left").withColumn("__nw_lines", lines)
+    joined = docs.join(runs.hint("merge"), same, "left").withColumn("__nw_lines", lines)
     made = {text_col: F.when(F.col("__nw_runs").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(text_col)}
     if report:
         made |= {

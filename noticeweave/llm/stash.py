@@ -52,7 +52,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
     dealt = [F.when(is_hot, F.xxhash64(*spread)).otherwise(F.xxhash64(*keys)).alias("__nw_deal")]
     marked = marked.select("*", *dealt, (~is_hot).alias("__nw_cold"))
     cold = cold.select(F.xxhash64(*keys).alias("__nw_deal"), F.lit(True).alias("__nw_cold"), *(F.col(k).alias(f"__nw_{k}") for k in keys), "__nw_found")
-    joined = marked.join(cold, ["__nw_deal", "__nw_cold"], "left").where(
+    joined = marked.join(cold.hint("merge"), ["__nw_deal", "__nw_cold"], "left").where(
         is_hot | F.col("__nw_found").isNotNull() & _same(keys)
     )
     return joined.select(*left.columns, F.coalesce("__nw_hot", "__nw_found").alias("__nw_got")).select(*left.columns, "__nw_got.*")
