@@ -14,6 +14,7 @@ from noticeweave.llm.langid import predict, train
 from noticeweave.llm.licenses import scan_licenses
 from noticeweave.llm.lines import dedup_lines
 from noticeweave.llm.secrets import KINDS, scan_secrets
+from noticeweave.llm.simhash import near_duplicates
 from noticeweave.llm.winnow import as_string, compare_edits
 
 
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, report=True).select(
@@ -105,6 +110,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
