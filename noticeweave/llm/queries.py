@@ -13,6 +13,7 @@ from noticeweave.llm.decontaminate import find_contamination
 from noticeweave.llm.langid import predict, train
 from noticeweave.llm.licenses import scan_licenses
 from noticeweave.llm.lines import dedup_lines
+from noticeweave.llm.repeats import remove_repeats
 from noticeweave.llm.secrets import KINDS, scan_secrets
 from noticeweave.llm.simhash import near_duplicates
 from noticeweave.llm.winnow import as_string, compare_edits
@@ -109,6 +110,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(ids, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -118,4 +127,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
