@@ -87,4 +87,23 @@ select doc_id, coalesce(n, 0)::bigint n_matches, coalesce(names, '') licenses, b
 from documents left join per using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2, "op4_decontamination": OP4, "op8_licenses": OP8}
+_CONTROL = r"regexp_replace({0}, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"
+
+OP3 = rf"""
+with turn as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+one as (
+  select *, {_CONTROL.format("t")} te, {_CONTROL.format("replace(replace(r, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")} re from turn
+)
+select conv_id, count(*)::bigint n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256,
+       coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
+       sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) loss_sha256,
+       sum(length('<|im_start|>' || re || chr(10) || te || '<|im_end|>' || chr(10)))::bigint formatted_chars
+from one group by conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2, "op3_chat": OP3, "op4_decontamination": OP4, "op8_licenses": OP8}
