@@ -4,7 +4,7 @@ Every K consecutive bytes of a text (UTF-8) are a k-gram, hashed by XXH64. Of ea
 is chosen, the rightmost of equal ones, and kept with its position. Two texts that share W + K - 1 bytes share a
 choice. A text of up to W k-grams is one window; one of less than K bytes has itself as its only k-gram.
 
-Work is spread over rows of W windows each: a row has the bytes that its windows need, every hash is a
+Work is spread over rows of a few hundred windows each: a row has the bytes that its windows need, every hash is a
 column, and minima over 2, 4, 8, ... neighbours lead to those over W, so that all of it is compiled
 expressions. The rows of a text stay in the task that has the text.
 
@@ -26,27 +26,31 @@ from noticeweave.llm.stash import stash
 K, W = 16, 96
 _NONE = (1 << 63) - 1
 #: Bits of a packed hash that hold a k-gram's place in its row.
-_PLACE = 8
+_PLACE = 9
+#: Windows of a row, as a multiple of w: rows share fewer hashes with their neighbours if they are longer.
+ROW = 1
 FINGERPRINT = "array<struct<pos:bigint,hash:bigint>>"
 
 
 def _blocks(which: int, text: Column, k: int, w: int, carry: T.StructType) -> Column:
-    """Rows of up to w windows: which, off (of the first k-gram), block (bytes), windows, grams, carry (null)."""
-    data = F.encode(text, "UTF-8")
+    """Rows of up to ROW * w windows: which, off (of the first k-gram), block (bytes), windows, grams, carry (null)."""
     n = F.octet_length(text)
     grams = F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), n - k + 1))
     windows = F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), grams - w + 1))
-    rows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), windows - 1), F.lit(w)),
-        lambda off: F.struct(
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), windows - 1), F.lit(ROW * w))
+
+    def row(data: Column, off: Column) -> Column:
+        return F.struct(
             F.lit(which).alias("which"),
             off.alias("off"),
-            F.substring(data, off + 1, F.lit(2 * w + k - 2)).alias("block"),
-            F.least(F.lit(w), windows - off).alias("windows"),
-            F.least(F.lit(2 * w - 1), grams - off).alias("grams"),
+            F.substring(data, off + 1, F.lit((ROW + 1) * w + k - 2)).alias("block"),
+            F.least(F.lit(ROW * w), windows - off).alias("windows"),
+            F.least(F.lit((ROW + 1) * w - 1), grams - off).alias("grams"),
             F.lit(None).cast(carry).alias("carry"),
-        ),
-    )
+        )
+
+    # an array of one binds the bytes to a variable, so that the text is encoded once and not for each row
+    rows = F.flatten(F.transform(F.array(F.encode(text, "UTF-8")), lambda data: F.transform(at, lambda off: row(data, off))))
     return F.filter(rows, lambda r: r["windows"] > 0)
 
 
@@ -55,7 +59,7 @@ def winnow(df: DataFrame, keys: list[str], texts: list[Column], carry: Column, k
 
     df has one row for each value of keys. Where df is partitioned by keys, nothing is shuffled.
     """
-    if 2 * w - 1 >= 1 << _PLACE:
+    if (ROW + 1) * w - 1 > 1 << _PLACE:
         raise ValueError("w is too large")
     kind = df.select(carry.alias("c")).schema["c"].dataType
     first = F.array(
@@ -73,20 +77,20 @@ def winnow(df: DataFrame, keys: list[str], texts: list[Column], carry: Column, k
     )
     kept = [*keys, "which", "off", "windows", "carry"]
     mask = ~((1 << _PLACE) - 1)
-    last = 2 * w - 2
+    last = (ROW + 1) * w - 2
 
     def packed(j: int) -> Column:
         h = F.shiftrightunsigned(F.xxhash64(F.substring("block", j + 1, k)), 1)
         return F.when(F.col("grams") > j, h.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(last - j))).otherwise(F.lit(_NONE))
 
-    level = rows.select(*kept, *(packed(j).alias(f"m{j}") for j in range(2 * w - 1)))
-    size, count = 1, 2 * w - 1
+    level = rows.select(*kept, *(packed(j).alias(f"m{j}") for j in range((ROW + 1) * w - 1)))
+    size, count = 1, (ROW + 1) * w - 1
     while size * 2 <= w:
         count -= size
         level = level.select(*kept, *(F.least(f"m{j}", f"m{j + size}").alias(f"m{j}") for j in range(count)))
         size *= 2
     rest = w - size
-    least = (F.least(f"m{j}", f"m{j + rest}") if rest else F.col(f"m{j}") for j in range(w))
+    least = (F.least(f"m{j}", f"m{j + rest}") if rest else F.col(f"m{j}") for j in range(ROW * w))
     chosen = F.array_distinct(F.array(*(F.when(F.col("windows") > j, x) for j, x in enumerate(least))))
     found = level.select(*keys, "which", "off", "carry", chosen.alias("chosen"))
     parts = found.groupBy(*keys).agg(
@@ -96,17 +100,18 @@ def winnow(df: DataFrame, keys: list[str], texts: list[Column], carry: Column, k
 
     def prints(i: int) -> Column:
         own = F.filter("parts", lambda p: p["which"] == i)
+        # place and hash in one number: numbers are made distinct by hashing
         each = F.transform(
             own,
             lambda p: F.transform(
                 F.filter(p["chosen"], lambda v: v.isNotNull()),
-                lambda v: F.struct(
-                    (p["off"] + last - v.bitwiseAND(F.lit(~mask))).cast("long").alias("pos"),
-                    F.shiftrightunsigned(v, 32).alias("hash"),
-                ),
+                lambda v: F.shiftleft((p["off"] + last - v.bitwiseAND(F.lit(~mask))).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(v, 32)),
             ),
         )
-        return F.array_sort(F.array_distinct(F.flatten(each)))
+        return F.transform(
+            F.sort_array(F.array_distinct(F.flatten(each))),
+            lambda x: F.struct(F.shiftright(x, 32).alias("pos"), x.bitwiseAND(F.lit((1 << 32) - 1)).alias("hash")),
+        )
 
     return parts.select(*keys, "carry", F.array(*(prints(i) for i in range(len(texts)))).alias("prints"))
 
@@ -179,11 +184,13 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     links = neighbours(docs, id_col, text_col)
     on = ["key", "h"]
     ident = F.col(f"`{id_col}`")
+    # read on both sides of the joins below, in one form, so that it is shuffled once
     texts = (
-        docs.select(_key(ident).alias("key"), F.xxhash64(_text(text_col)).alias("h"), _text(text_col).alias("text"), ident.alias("id"))
+        docs.select(_key(ident).alias("key"), F.xxhash64(_text(text_col)).alias("h"), _text(text_col).alias("text"))
         .groupBy(*on)
-        .agg(F.first("text").alias("text"), F.first("id").alias("id"))
+        .agg(F.first("text").alias("text"))
     )
+    id_type = docs.schema[id_col].dataType
     # each document asks the next one for its beginning
     asks = links.select(
         F.col("after.key").alias("key"), F.col("after.h").alias("h"), F.struct("key", "h").alias("to"),
@@ -191,10 +198,10 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
     gives = texts.join(asks, on).select("to.*", F.expr("substring(text, 1, third)").alias("tail"), "third", "chars", "rows", "before")
     pairs = texts.join(gives, on).withColumn("edited", F.concat(F.expr("substring(text, 1, int(chars) - third)"), F.col("tail")))
-    carry = F.struct("id", "chars", "rows", "before", F.sha2("edited", 256).alias("sha"))
+    carry = F.struct("chars", "rows", "before", F.sha2("edited", 256).alias("sha"))
     made = winnow(pairs, on, [F.col("text"), F.col("edited")], carry, k, w)
     own, other = F.col("prints")[0], F.col("prints")[1]
-    mine = F.struct("carry.id", "carry.chars", "carry.rows", "carry.sha", own.alias("own"), other.alias("other"))
+    mine = F.struct("carry.chars", "carry.rows", "carry.sha", own.alias("own"), other.alias("other"))
     hashes = F.transform(own, lambda p: p["hash"].cast("int"))
     # each document's choices go to itself and, as hashes only, to the one before it
     sent = made.select(
@@ -207,7 +214,7 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ).select("s.*")
     met = sent.groupBy(*on).agg(F.first("mine", ignorenulls=True).alias("m"), F.first("next", ignorenulls=True).alias("next"))
     result = met.select(
-        F.col("m.id").alias(id_col),
+        F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30).cast(id_type)).alias(id_col),
         F.col("m.chars").alias("n_chars"),
         F.col("m.sha").alias("edited_sha256"),
         F.col("m.own").alias("fingerprint"),

@@ -15,7 +15,7 @@ def slow(text: str, k: int = K, w: int = W) -> list[tuple[int, int]]:
     if not data:
         return []
     grams = [data[i : i + k] for i in range(max(1, len(data) - k + 1))]
-    hashes = [xxhash.xxh64_intdigest(g, 42) >> 1 & ~255 for g in grams]
+    hashes = [xxhash.xxh64_intdigest(g, 42) >> 1 & ~511 for g in grams]
     chosen = set()
     for i in range(max(1, len(hashes) - w + 1)):
         window = hashes[i : i + w]
