@@ -99,18 +99,10 @@ def reply_paths(
         above = now.select(
             F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"), F.col("top").alias("top2")
         )
-        levels.append(
-            stash(
-                now.join(above, "up", "left").select(
-                    "node",
-                    F.col("up2").alias("up"),
-                    F.when(F.col("up").isNull(), F.col("far")).otherwise(F.col("far") + F.col("far2")).alias("far"),
-                    F.when(F.col("up").isNull(), F.col("sum")).otherwise(F.col("sum") + F.col("sum2")).alias("sum"),
-                    F.when(F.col("up").isNull(), F.col("top")).otherwise(F.col("top2")).alias("top"),
-                ),
-                "up",
-            )
+        further = now.where("up is not null").join(above, "up").select(
+            "node", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("sum") + F.col("sum2")).alias("sum"), F.col("top2").alias("top")
         )
+        levels.append(stash(now.where("up is null").unionByName(further), "up"))
     # a node without a pointer has passed its root: far is its number of messages up to the root
     rooted = levels[-1].where("up is null").select("node", F.col("far").alias("length"), "sum", F.col("top").alias("root"))
     parents = levels[0].where("up is not null").select(F.col("up").alias("node")).distinct()
@@ -118,12 +110,11 @@ def reply_paths(
     by_rank = W.partitionBy("root").orderBy(F.desc("sum"), F.desc("length"), "node")
     best = leaves.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= paths_per_root)
     paths = best.select(F.col("node").alias("leaf"), "rank", "root", "node", (F.col("length") - 1).alias("depth"))
-    for k, level in enumerate(levels):  # adds for each message on a path the one 2**k steps up
-        step = level.select("node", "up")
-        both = F.array(F.struct("node", "depth"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))))
-        paths = paths.join(step, "node", "left").select("leaf", "rank", "root", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select(
-            "leaf", "rank", "root", "x.*"
-        )
+    paths = stash(paths, "paths")
+    for k, level in enumerate(levels):  # adds the message 2**k steps up of each that is deep enough
+        up = level.select("node", "up")
+        more = paths.where(F.col("depth") >= 1 << k).join(up, "node").select("leaf", "rank", "root", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        paths = stash(paths.unionByName(more), "paths")
     return paths
 
 
