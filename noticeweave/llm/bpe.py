@@ -31,7 +31,7 @@ CHUNK, OVERLAP = 65_536, 1_024
 #: A boundary this near the end of a cut text may depend on characters beyond.
 LOOK = 4
 #: Segments of text whose ids a task remembers; it starts anew when they are as many.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Unicode's white space, as the patterns of public tokenizers see it.
 SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"

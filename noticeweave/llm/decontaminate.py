@@ -222,4 +222,4 @@ def find_contamination(
         loads = [load(value) for value in shared]
         return lambda texts: scan([words(t) for t in texts], loads)
 
-    return annotate(docs, [F.col(text_col).cast("string")], ADDED, start, keep)
+    return annotate(docs, [text_col], ADDED, start, keep)

@@ -30,7 +30,7 @@ ORDERS = 3
 #: More different labels than this are refused: a model is a matrix of labels by buckets.
 MOST_LANGUAGES = 256
 #: Characters taken at once from a text, and codes scored at once.
-PIECE, BLOCK = 1 << 19, 1 << 20
+PIECE, BLOCK = 1 << 17, 1 << 18
 UNKNOWN = "und"
 _GAP, _SPACE = 0, 32
 
@@ -180,4 +180,4 @@ def score(texts: list[str | None], model: Model) -> Iterator[tuple[str, float]]:
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (columns in keep) with lang_pred and score (the posterior). The model is broadcast; train() bounds it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return annotate(docs, [F.col(text_col).cast("string")], ADDED, lambda: lambda texts: score(texts, shared.value), keep)
+    return annotate(docs, [text_col], ADDED, lambda: lambda texts: score(texts, shared.value), keep)

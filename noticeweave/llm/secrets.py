@@ -230,5 +230,5 @@ def scan(text: str) -> list[tuple[str, int, int, str, int, str]]:
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (columns in keep) with secrets: kind, start, end (code points), value, depth, via."""
     return annotate(
-        docs, [F.col(text_col).cast("string")], ADDED, lambda: lambda texts: ((scan(t or ""),) for t in texts), keep
+        docs, [text_col], ADDED, lambda: lambda texts: ((scan(t or ""),) for t in texts), keep
     )

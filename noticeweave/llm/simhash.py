@@ -66,7 +66,7 @@ def fingerprints(
 ) -> DataFrame:
     """docs (columns in keep) with the text's fingerprint, a long."""
     added = T.StructType([T.StructField(name, T.LongType())])
-    return annotate(docs, [F.col(f"`{text_col}`").cast("string")], added, lambda: lambda texts: ((fingerprint(t, words),) for t in texts), keep)
+    return annotate(docs, [text_col], added, lambda: lambda texts: ((fingerprint(t, words),) for t in texts), keep)
 
 
 def _segments(prints: np.ndarray) -> list[np.ndarray]:
