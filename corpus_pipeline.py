@@ -21,17 +21,17 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 ORACLE_SQL = None
 
 
-def _where(docs: DataFrame, mark: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
-    """The rows of docs for which keep holds once mark has added its columns; names of docs can't clash with those."""
+def _where(docs: DataFrame, mark: Callable[[DataFrame, str], DataFrame], keep: str) -> DataFrame:
+    """The rows of docs for which keep holds once mark (of docs and their text's name) has added columns; names can't clash."""
     names = {c: f"__nw_c{i}" for i, c in enumerate(docs.columns)}
-    marked = mark(docs.withColumnsRenamed(names).withColumn("text", F.col(names["text"])))
+    marked = mark(docs.withColumnsRenamed(names), names["text"])
     return marked.where(keep).select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones have; texts that are null or have no letter go."""
     model = langid.train(docs)
-    return _where(docs, lambda d: langid.predict(d, model), f"lang_pred <> '{langid.UNKNOWN}'")
+    return _where(docs, lambda d, text: langid.predict(d, model, text_col=text), f"lang_pred <> '{langid.UNKNOWN}'")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _where(docs, lambda d: decontaminate.find_contamination(d, benchmark), "not contaminated")
+    return _where(docs, lambda d, text: decontaminate.find_contamination(d, benchmark, text_col=text), "not contaminated")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
