@@ -1 +1,6 @@
-"""Notice analytics: plans."""
+"""Queries over the driver's tables, by family."""
+
+from noticeweave.plans import analytics, inbox
+from noticeweave.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "inbox"]
