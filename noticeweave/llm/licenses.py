@@ -86,7 +86,7 @@ def scan_licenses(
     """
     known = {name: b for name, text in sorted((templates or TEMPLATES).items()) if (b := _plain_bigrams(text))}
     sizes = {name: len(b) for name, b in known.items()}
-    most = max(sizes.values(), default=0) * (2 - least) / least
+    most = max(sizes.values(), default=0) * (2 - least) / least + 1  # a first bound; the exact one follows
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     kept = [c for c in (docs.columns if keep is None else keep) if c != licenses_col]
     table = F.array(*(F.struct(F.lit(n).alias("template"), F.lit(sizes[n]).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in known.items()))
@@ -110,7 +110,8 @@ def scan_licenses(
     def compared(u: Column) -> Column:
         near = F.filter(
             table,
-            lambda t: (F.size(u["bigrams"]) * least <= t["size"] * (2 - least)) & (t["size"] * least <= F.size(u["bigrams"]) * (2 - least)),
+            # the most that sizes allow, reckoned like the coefficient itself so that both round alike
+            lambda t: 2.0 * F.least(F.size(u["bigrams"]), t["size"]) / (F.size(u["bigrams"]) + t["size"]) >= least,
         )
         return F.transform(
             near,
