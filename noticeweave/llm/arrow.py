@@ -51,6 +51,7 @@ def annotate(
             rows = list(compute(*(batch.column(i).to_pylist() for i in places)))
             columns = list(zip(*rows, strict=True))
             made = [pa.array(v, type=f.type) for v, f in zip(columns, arrow, strict=True)]
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n_kept)), *made], names=[*kept, *new_names])
 
     new_names = added.fieldNames()

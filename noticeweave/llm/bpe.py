@@ -31,7 +31,7 @@ CHUNK, OVERLAP = 65_536, 1_024
 #: A boundary this near the end of a cut text may depend on characters beyond.
 LOOK = 4
 #: Segments of text whose ids a task remembers; it starts anew when they are as many.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: Unicode's white space, as the patterns of public tokenizers see it.
 SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -149,7 +149,7 @@ def encode(
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             made = [encoder.ids(t.as_py()) for t in batch.column(len(kept))]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
@@ -202,27 +202,40 @@ def encode(
     )
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """df without ids_col and with bytes_col, the ids' bytes one after the other."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time; memory that Arrow no longer uses goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
+def decode(
+    df: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", bytes_col: str = "decoded", keep_ids: bool = False
+) -> DataFrame:
+    """df with bytes_col, the ids' bytes one after the other, and without ids_col unless keep_ids."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     kept = [c for c in df.columns if c not in (ids_col, bytes_col)]
     base = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`").cast("array<int>").alias("__nw_ids"))
-    schema = T.StructType([*(base.schema[c] for c in kept), T.StructField(bytes_col, T.BinaryType())])
+    own = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] if keep_ids else []
+    schema = T.StructType([*(base.schema[c] for c in kept), *own, T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         table = [b"\xef\xbf\xbd"] * (max(ranks.values(), default=0) + 2)
         for token, rank in ranks.items():
             table[rank] = token
-        for batch in batches:
+        for batch in sliced(batches):
             found = batch.column(len(kept))
-            values = found.values.fill_null(-1).to_numpy(zero_copy_only=False)
-            values = np.where((values < 0) | (values >= len(table)), len(table) - 1, values)
             offsets, valid = found.offsets.to_numpy(), found.is_valid().to_pylist()
+            values = found.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+            values = np.where((values < 0) | (values >= len(table)), len(table) - 1, values)
+            offsets = offsets - offsets[0]
             made = [
                 b"".join(map(table.__getitem__, values[a:b].tolist())) if ok else None
                 for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*kept, bytes_col])
+            columns = batch.columns if keep_ids else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.binary())], names=schema.fieldNames())
 
     return base.mapInArrow(run, schema)
