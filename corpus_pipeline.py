@@ -56,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     rows = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     ids = bpe.encode(rows, ranks, public_tokenizers.PATTERN, keep=["doc_id", "text_sha256"])
-    back = bpe.decode(ids.withColumn("same_ids", F.col("ids")), ranks, ids_col="same_ids")
+    back = bpe.decode(ids, ranks, keep_ids=True)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip")
     )
