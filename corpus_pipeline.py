@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeweave.llm import bpe, decontaminate, langid, lines, simhash
+from noticeweave.llm import bpe, decontaminate, langid, likeness, lines, simhash
 from noticeweave.llm.stash import stash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -41,8 +41,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked fingerprints."""
-    return simhash.dedup(docs)
+    """One document, that of the smallest id, of each group: linked fingerprints, or a likeness of 0.8 or more over five words."""
+    return simhash.dedup(docs, more=likeness.links(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

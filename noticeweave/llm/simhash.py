@@ -146,13 +146,14 @@ def links(prints: DataFrame) -> DataFrame:
     return found.select(*pair).unionByName(more.select(*pair))
 
 
-def near_groups(prints: DataFrame, id_col: str) -> DataFrame:
+def near_groups(prints: DataFrame, id_col: str, more: DataFrame | None = None) -> DataFrame:
     """f and component (the smallest id of all rows whose fingerprints are linked, directly or not) for each fingerprint.
 
-    prints, a stashed table, has f and id_col.
+    prints, a stashed table, has f and id_col. more has further links a < b of fingerprints.
     """
     each = stash(prints.groupBy("f").agg(F.min(f"`{id_col}`").alias("least")), "fingerprints")
-    roots = components(links(each))
+    found = links(each)
+    roots = components(found if more is None else found.unionByName(more))
     named = stash(
         each.join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", "least", F.coalesce("root", "f").alias("root")), "named"
     )
@@ -169,12 +170,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """docs with one row of each group: that of the smallest id (of equal ids, the least hash of the row)."""
+def dedup(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, more: DataFrame | None = None
+) -> DataFrame:
+    """docs with one row of each group: that of the smallest id (of equal ids, the least hash of the row). more: as for near_groups."""
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     marked = docs.withColumn("__nw_row", row)
     prints = stash(fingerprints(marked, text_col=text_col, words=words, keep=[id_col, "__nw_row"], name="f"), "prints")
-    groups = near_groups(prints, id_col)
+    groups = near_groups(prints, id_col, more)
     order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__nw_row").alias("row"))
     rows = prints.groupBy("f", id_col, "__nw_row").agg(F.count(F.lit(1)).alias("n"))
     least = rows.groupBy("f").agg(F.min(F.struct(order.alias("o"), "n")).alias("least"))
