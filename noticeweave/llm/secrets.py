@@ -2,7 +2,7 @@
 
 A worklist holds layers. The first is the text; each layer is scanned and then unwrapped: percent
 escapes and Unicode escapes give the layer with its escapes replaced, a base64 token gives a layer of
-its own, and bytes that are gzip or zlib are decompressed. Layers that were seen before at the same place
+its own, and bytes that are gzip or zlib are decompressed: those of a token, and streams in runs of escapes and of characters left as they are. Layers that were seen before at the same place
 are left out, so the list ends at a fixpoint even where layers lead back to themselves. Every layer knows
 for each of its characters the characters of the first text it came from, so that what is found in it
 has a span there: the escapes themselves, the base64 characters, or the whole token of a compressed layer.
@@ -17,6 +17,7 @@ import base64
 import binascii
 import hashlib
 import re
+import urllib.parse
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -42,6 +43,15 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+# Runs of escapes and of what coders leave as it is; bytes that can begin a compressed stream.
+_PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
+_SHORT = {"0": 0, "a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
+_BYTE = re.compile(
+    r"\\u\{0*([0-9A-Fa-f]{1,2})\}|\\(?:u00|U000000|x)([0-9A-Fa-f]{2})|&#0*([0-9]{1,3});|&#[xX]0*([0-9A-Fa-f]{1,2});|\\([0abtnvfr\\'\"/])|([^\\\r\n\u0100-\U0010ffff])"
+)
+_UNIT = re.compile(r"%[0-9A-Fa-f]{2}|.")
+_BINARY = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f-\xff]")
+_HEAD = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
 
@@ -102,6 +112,26 @@ def inflate(data: bytes) -> bytes | None:
     return out if box.eof and out else None
 
 
+def stream_size(data: bytes) -> int | None:
+    """Bytes of the gzip or zlib stream that data begins with, or None."""
+    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+        return None
+    size = 0
+    while True:
+        box, rest = zlib.decompressobj(47), data[size:]
+        try:
+            while not box.eof and rest:
+                box.decompress(rest, 1 << 20)
+                rest = box.unconsumed_tail
+        except zlib.error:
+            return size or None
+        if not box.eof:
+            return size or None
+        size = len(data) - len(box.unused_data)
+        if data[size : size + 2] != b"\x1f\x8b":
+            return size
+
+
 def readable(data: bytes) -> str | None:
     """Bytes as a text without control characters, or None."""
     try:
@@ -131,6 +161,61 @@ def _whole(layer: Layer, start: int, end: int, data: bytes, via: str) -> Layer |
     return None
 
 
+def _streams(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, via: str) -> Iterator[Layer]:
+    """The decompressed text of each stream in data; byte i of data stands in layer from first[i] to last[i]."""
+    done = 0
+    for m in _HEAD.finditer(data):
+        at = m.start()
+        if at < done or (size := stream_size(data[at:])) is None:
+            continue
+        done = at + size
+        if (inner := _whole(layer, int(first[at]), int(last[done - 1]), data[at:done], via)) is not None:
+            yield inner
+
+
+def _percent_streams(layer: Layer) -> Iterator[Layer]:
+    for m in _PERCENT_RUN.finditer(layer.text):
+        if "%" not in m[0]:
+            continue
+        data = urllib.parse.unquote_to_bytes(m[0])
+        if not _BINARY.search(data):
+            continue
+        sizes = np.fromiter((len(x) for x in _UNIT.findall(m[0])), np.int64, len(data))
+        last = m.start() + np.cumsum(sizes)
+        for some in {data, urllib.parse.unquote_to_bytes(m[0].replace("+", "%20"))}:
+            yield from _streams(layer, some, last - sizes, last, "url")
+
+
+def _byte(m: re.Match[str]) -> int:
+    if m[6]:
+        return ord(m[6])
+    if m[5]:
+        return _SHORT.get(m[5], ord(m[5]))
+    return int(m[3]) if m[3] else int(m[1] or m[2] or m[4], 16)
+
+
+def _escape_streams(layer: Layer) -> Iterator[Layer]:
+    """Streams in runs of escapes and other characters, each of which is a byte."""
+    run: list[tuple[int, int, int]] = []
+    at = 0
+
+    def streams() -> Iterator[Layer]:
+        data = bytes(x for x, _, _ in run)
+        if _BINARY.search(data):
+            yield from _streams(layer, data, np.array([a for _, a, _ in run]), np.array([b for _, _, b in run]), "unicode")
+
+    for m in _BYTE.finditer(layer.text):
+        value = _byte(m)
+        if run and (m.start() != at or value > 0xFF):
+            yield from streams()
+            run = []
+        if value <= 0xFF:
+            run.append((value, m.start(), m.end()))
+        at = m.end()
+    if run:
+        yield from streams()
+
+
 def _replaced(layer: Layer, runs: list[tuple[int, int, str, np.ndarray, np.ndarray]], via: str) -> Layer:
     """The layer with runs (start, end, new text, and for its characters starts and ends in layer) put in."""
     starts, ends = layer.maps()
@@ -149,8 +234,6 @@ def _percent(layer: Layer) -> Iterator[Layer]:
     runs = []
     for m in _PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
-        if (inner := _whole(layer, m.start(), m.end(), data, "url")) is not None:
-            yield inner
         try:
             new = data.decode("utf-8")
         except UnicodeDecodeError:
@@ -201,8 +284,10 @@ def _base64(layer: Layer) -> Iterator[Layer]:
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
     if "%" in layer.text:
+        yield from _percent_streams(layer)
         yield from _percent(layer)
     if "\\" in layer.text or "&#" in layer.text:
+        yield from _escape_streams(layer)
         yield from _escapes(layer)
     yield from _base64(layer)
 
