@@ -7,8 +7,8 @@ are left out, so the list ends at a fixpoint even where layers lead back to them
 for each of its characters the characters of the first text it came from, so that what is found in it
 has a span there: the escapes themselves, the base64 characters, or the whole token of a compressed layer.
 
-Results for odd rows: a null text is empty and has no secrets. A layer that decompresses to more than
-LAYER_BYTES bytes is left as it is (its compressed form is scanned). Repeated rows get equal results.
+Results for odd rows: a null text is empty and has no secrets. Layers that aren't UTF-8 are read as Latin-1; what
+decompresses to more than PIECE bytes is scanned in pieces as it comes, a run of more than LAYER_BYTES without a line end in overlapping ones. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import re
 import urllib.parse
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from noticeweave.llm.arrow import annotate
 
-#: Bytes that one compressed layer may decompress to, against bombs.
-LAYER_BYTES = 64 << 20
+#: Decompressed bytes are scanned in pieces of PIECE bytes and more, cut between lines; pieces without a line end have up to LAYER_BYTES.
+LAYER_BYTES, PIECE, OVERLAP, BLOCK = 64 << 20, 8 << 20, 1 << 20, 1 << 20
 # Kinds in order, their patterns, and the least length of what counts.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -53,7 +53,8 @@ _UNIT = re.compile(r"%[0-9A-Fa-f]{2}|.")
 _BINARY = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f-\xff]")
 _HEAD = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
+#: Bytes that neither a pattern nor a coding has.
+_BREAKS = (b"\n", b"\r", b"\x00")
 
 _SECRET = T.StructType()
 for _name, _type in (("kind", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("value", T.StringType()), ("depth", T.IntegerType()), ("via", T.StringType())):
@@ -100,21 +101,34 @@ class Layer:
         return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), *where
 
 
-def inflate(data: bytes) -> bytes | None:
-    """What gzip or zlib bytes hold, or None."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    try:
-        box = zlib.decompressobj(47)
-        out = box.decompress(data, LAYER_BYTES)
-    except zlib.error:
-        return None
-    return out if box.eof and out else None
+def headed(data: bytes) -> bool:
+    """Whether data begins like gzip or zlib."""
+    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+
+
+def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members of a gzip or zlib stream hold, up to BLOCK bytes at a time; zlib.error if it is cut or damaged."""
+    box, rest = zlib.decompressobj(47), b""
+    while True:
+        if not rest and not (rest := next(blocks, b"")):
+            if box.eof:
+                return
+            raise zlib.error("cut")
+        if box.eof:
+            if len(rest) < 2:
+                rest += next(blocks, b"")
+            if rest[:2] != b"\x1f\x8b":
+                return
+            box = zlib.decompressobj(47)
+        out = box.decompress(rest, BLOCK)
+        if out:
+            yield out
+        rest = box.unused_data if box.eof else box.unconsumed_tail
 
 
 def stream_size(data: bytes) -> int | None:
     """Bytes of the gzip or zlib stream that data begins with, or None."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+    if not headed(data):
         return None
     size = 0
     while True:
@@ -132,13 +146,32 @@ def stream_size(data: bytes) -> int | None:
             return size
 
 
-def readable(data: bytes) -> str | None:
-    """Bytes as a text without control characters, or None."""
+def decoded(data: bytes) -> str:
+    """Bytes as a text: UTF-8, or else Latin-1."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and not _ODD.search(text) else None
+        return data.decode("latin-1")
+
+
+def pieces(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """blocks put together into pieces of about PIECE bytes, cut after bytes that no pattern and no coding has.
+
+    A piece without such a byte grows up to LAYER_BYTES; then it is cut anywhere, and its last OVERLAP bytes begin the next one too.
+    """
+    held = bytearray()
+    for block in blocks:
+        held += block
+        if len(held) >= PIECE:
+            cut = max(held.rfind(b) + 1 for b in _BREAKS)
+            if cut:
+                yield bytes(held[:cut])
+                del held[:cut]
+            elif len(held) >= LAYER_BYTES:
+                yield bytes(held)
+                del held[:-OVERLAP]
+    if held:
+        yield bytes(held)
 
 
 def _sizes(text: str) -> np.ndarray:
@@ -147,18 +180,41 @@ def _sizes(text: str) -> np.ndarray:
     return 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
 
 
-def _whole(layer: Layer, start: int, end: int, data: bytes, via: str) -> Layer | None:
-    """The decompressed text of layer's characters from start to end; each character came from all of them."""
-    text, steps = None, layer.via + (via,)
-    while (more := inflate(data)) is not None and more != data:
-        data, steps = more, (*steps, "compressed")
-        text = readable(data)
-        if text:
-            a, b = layer.span(start, end)
-            return Layer(text, np.full(len(text), a), np.full(len(text), b), steps)
+def _whole(layer: Layer, start: int, end: int, data: bytes, via: str) -> Iterator[Layer]:
+    """The decompressed text, in pieces, of layer's characters from start to end; each character came from all of them."""
+    if (size := stream_size(data)) is None:
+        return
+    a, b = layer.span(start, end)
+    stream, steps = data[:size], (*layer.via, via, "compressed")
+    make: Callable[[], Iterator[bytes]] | None = lambda: inflated(iter([stream]))
+    while make is not None:
+        for piece in pieces(make()):
+            text = decoded(piece)
+            yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), steps)
+        make, steps = _nested(make), (*steps, "compressed")
         if len(steps) > 1000:
             break
-    return None
+
+
+def _nested(make: Callable[[], Iterator[bytes]]) -> Callable[[], Iterator[bytes]] | None:
+    """What the stream in make's bytes holds, or None if they are no whole stream or one that holds itself."""
+    if not headed(next(make(), b"")):
+        return None
+    held, size, own, inner = [], 0, hashlib.sha256(), hashlib.sha256()
+    try:
+        for block in inflated(make()):
+            inner.update(block)
+            size += len(block)
+            if size <= PIECE:
+                held.append(block)
+    except zlib.error:
+        return None
+    for block in make():
+        own.update(block)
+    if not size or own.digest() == inner.digest():
+        return None
+    whole = b"".join(held)
+    return (lambda: iter([whole])) if size <= PIECE else lambda: inflated(make())
 
 
 def _streams(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, via: str) -> Iterator[Layer]:
@@ -169,8 +225,7 @@ def _streams(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, via
         if at < done or (size := stream_size(data[at:])) is None:
             continue
         done = at + size
-        if (inner := _whole(layer, int(first[at]), int(last[done - 1]), data[at:done], via)) is not None:
-            yield inner
+        yield from _whole(layer, int(first[at]), int(last[done - 1]), data[at:done], via)
 
 
 def _percent_streams(layer: Layer) -> Iterator[Layer]:
@@ -273,10 +328,10 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(token + "=" * (-len(token) % 4))
         except binascii.Error:
             continue
-        if (inner := _whole(layer, m.start(), m.end(), data, "base64")) is not None:
-            yield inner
-        elif text := readable(data):
-            last = np.cumsum(_sizes(text))
+        if stream_size(data) is not None:
+            yield from _whole(layer, m.start(), m.end(), data, "base64")
+        elif text := decoded(data):
+            last = np.cumsum(_sizes(text) if len(text) < len(data) or text.isascii() else np.ones(len(text), np.int64))
             first = np.concatenate([[0], last[:-1]])
             starts, ends = layer.maps()
             yield Layer(text, starts[m.start() + first * 8 // 6], ends[m.start() + (last * 8 + 5) // 6 - 1], (*layer.via, "base64"))
@@ -297,19 +352,23 @@ def scan(text: str) -> list[tuple[str, int, int, str, int, str]]:
     found: dict[tuple[int, int, int, int], tuple[str, int, int, str, int, str]] = {}
     seen: set[tuple[bytes, int, int]] = set()
     work = deque([Layer(text, None, None, ())])
-    while work:
-        layer = work.popleft()
+
+    def visit(layer: Layer) -> None:
         depth = len(layer.via)
         for kind, a, b in matches(layer.text):
             start, end = layer.span(a, b)
-            rank = KINDS.index(kind)
-            if depth == 0 or not any((start, rank, end, d) in found for d in range(depth)):
-                found.setdefault((start, rank, end, depth), (kind, start, end, layer.text[a:b], depth, ">".join(layer.via)))
+            found.setdefault((start, KINDS.index(kind), end, depth), (kind, start, end, layer.text[a:b], depth, ">".join(layer.via)))
         for inner in unwrap(layer):
             if inner.text and (key := inner.key()) not in seen:
                 seen.add(key)
-                work.append(inner)
-    return [found[k] for k in sorted(found)]
+                if len(inner.text) >= PIECE // 4:  # large ones aren't held until their turn
+                    visit(inner)
+                else:
+                    work.append(inner)
+
+    while work:
+        visit(work.popleft())
+    return [found[k] for k in sorted(found) if not any((*k[:3], d) in found for d in range(k[3]))]
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -30,3 +30,24 @@ def test_streams_in_escapes():
             hits = [x for x in scan(text) if x[0] == "assign" and x[3] == INNER]
             assert any(h[5] == via for h in hits), (via, coded[:60], hits)
             assert all(3 <= h[1] < h[2] <= 6 + len(coded) for h in hits)
+
+
+def test_binary_layers():
+    for inner in (f"a\x00b\x1b[0m {INNER} c".encode(), f"Ünïcode façade {INNER} ñ".encode("latin-1"), f"\x7f {INNER} \x85".encode()):
+        for coded, via in ((base64.b64encode(inner), "base64"), (base64.b64encode(gzip.compress(inner)), "base64>compressed")):
+            text = f"é {coded.decode()} é"
+            assert [x[5] for x in scan(text) if x[3] == INNER] == [via]
+    a, b = next((a, b) for _, a, b, v, *_ in scan("xx " + base64.b64encode(b"\xe9" * 30 + INNER.encode() + b"\xe9" * 3).decode()) if v == INNER)
+    assert (a, b) == (3 + 40, 3 + 40 + 31)
+
+
+def test_large_layers(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1 << 16)
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1 << 18)
+    monkeypatch.setattr(secrets, "BLOCK", 1 << 14)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12)
+    lines = "".join(f"line {i} of many\n" for i in range(60_000)) + f"{INNER}\n"
+    bare = "a " * 400_000 + INNER + " b" * 10
+    for inner in (lines, bare):
+        for data in (gzip.compress(inner.encode()), gzip.compress(gzip.compress(inner.encode())), gzip.compress(inner[:70_000].encode()) + gzip.compress(inner[70_000:].encode())):
+            assert INNER in [x[3] for x in scan(base64.b64encode(data).decode())]
