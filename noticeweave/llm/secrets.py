@@ -349,7 +349,7 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
 
 def scan(text: str) -> list[tuple[str, int, int, str, int, str]]:
     """(kind, start, end, value, depth, via) by start, kind and end; depth 0 is the text itself."""
-    found: dict[tuple[int, int, int, int], tuple[str, int, int, str, int, str]] = {}
+    found: dict[tuple[int, int, int, int, str], tuple[str, int, int, str, int, str]] = {}
     seen: set[tuple[bytes, int, int]] = set()
     work = deque([Layer(text, None, None, ())])
 
@@ -357,7 +357,7 @@ def scan(text: str) -> list[tuple[str, int, int, str, int, str]]:
         depth = len(layer.via)
         for kind, a, b in matches(layer.text):
             start, end = layer.span(a, b)
-            found.setdefault((start, KINDS.index(kind), end, depth), (kind, start, end, layer.text[a:b], depth, ">".join(layer.via)))
+            found.setdefault((start, KINDS.index(kind), end, depth, layer.text[a:b]), (kind, start, end, layer.text[a:b], depth, ">".join(layer.via)))
         for inner in unwrap(layer):
             if inner.text and (key := inner.key()) not in seen:
                 seen.add(key)
@@ -368,7 +368,7 @@ def scan(text: str) -> list[tuple[str, int, int, str, int, str]]:
 
     while work:
         visit(work.popleft())
-    return [found[k] for k in sorted(found) if not any((*k[:3], d) in found for d in range(k[3]))]
+    return [found[k] for k in sorted(found) if not any((*k[:3], d, k[4]) in found for d in range(k[3]))]
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -51,3 +51,10 @@ def test_large_layers(monkeypatch):
     for inner in (lines, bare):
         for data in (gzip.compress(inner.encode()), gzip.compress(gzip.compress(inner.encode())), gzip.compress(inner[:70_000].encode()) + gzip.compress(inner[70_000:].encode())):
             assert INNER in [x[3] for x in scan(base64.b64encode(data).decode())]
+
+
+def test_all_secrets_of_a_layer():
+    values = [f"password=value{i}value" for i in range(5)]
+    coded = base64.b64encode(gzip.compress("\n".join([*values, *values]).encode())).decode()
+    got = scan(f"x {coded} y")
+    assert sorted(x[3] for x in got) == values and len({x[1:3] for x in got}) == 1
