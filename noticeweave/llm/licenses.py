@@ -1,4 +1,4 @@
-"""License scans: lines, paragraphs and whole texts against licence templates.
+"""License scans: lines, paragraphs, runs of paragraphs and whole texts against licence templates.
 
 Text is lower-cased (ASCII) and runs of ASCII characters other than letters and digits become one space. Two texts are
 as like as the Dice coefficient of their sets of word bigrams. A Dice coefficient of t needs sizes within a
@@ -10,6 +10,8 @@ Repeated rows get equal results. Of equally like templates the first in order of
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,11 @@ def _plain_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(found, found[1:], strict=False)})
 
 
+def most_paragraphs(text: str) -> int:
+    """How many paragraphs a template may be set in: one for each clause and address."""
+    return 1 + len(re.findall(r"[.:;]\s", text)) + 2 * len(re.findall(r"\shttps?://", text))
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
@@ -80,16 +87,18 @@ def scan_licenses(
     licenses_col: str = "licenses",
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """docs (columns in keep) with licenses_col: template, unit (text, paragraph, line), index from 0, dice; by unit, index, template.
+    """docs (columns in keep) with licenses_col: template, unit (text, paragraph, line, 2 paragraphs, 3 paragraphs, ...), index from 0, dice;
+    by unit, index, template. The index of several paragraphs is that of the first.
 
     templates are a part of the query's plan: a bounded list. No rows are shuffled.
     """
     known = {name: b for name, text in sorted((templates or TEMPLATES).items()) if (b := _plain_bigrams(text))}
     sizes = {name: len(b) for name, b in known.items()}
+    clauses = {name: most_paragraphs((templates or TEMPLATES)[name]) for name in known}
     most = max(sizes.values(), default=0) * (2 - least) / least + 1  # a first bound; the exact one follows
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     kept = [c for c in (docs.columns if keep is None else keep) if c != licenses_col]
-    table = F.array(*(F.struct(F.lit(n).alias("template"), F.lit(sizes[n]).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in known.items()))
+    table = F.array(*(F.struct(F.lit(n).alias("template"), F.lit(sizes[n]).alias("size"), F.lit(clauses[n]).alias("clauses"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in known.items()))
 
     def units(rank: int, parts: Column) -> Column:
         # a normalised unit with more words than any template's bound times two can still have few different bigrams, so all are built
@@ -105,19 +114,39 @@ def scan_licenses(
         F.when(F.size(paragraphs) > 1, units(1, paragraphs)).otherwise(F.array().cast("array<struct<unit:int,index:int,bigrams:array<string>>>")),
         F.when(F.size(lines) > 1, units(2, lines)).otherwise(F.array().cast("array<struct<unit:int,index:int,bigrams:array<string>>>")),
     )
+    span = max(clauses.values(), default=1)
+
+    def runs(parts: Column) -> Column:
+        # a run has the bigrams of each of its paragraphs, so none of them may have too many
+        told = F.transform(parts, lambda p: F.transform(F.array(words(p)), lambda w: F.struct(w.alias("words"), F.when(F.size(w) >= 2, F.size(bigrams(w))).otherwise(0).alias("n")))[0])
+
+        def run(all_: Column, k: int) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(all_) - k), lambda i: ~F.exists(F.slice(all_, i + 1, k), lambda q: q["n"] > most))
+            joined = F.transform(starts, lambda i: F.struct(i.alias("index"), F.flatten(F.transform(F.slice(all_, i + 1, k), lambda q: q["words"])).alias("words")))
+            kept = F.transform(F.filter(joined, lambda r: F.size(r["words"]) >= 2), lambda r: F.struct(F.lit(k + 1).alias("unit"), r["index"].alias("index"), bigrams(r["words"]).alias("bigrams")))
+            return F.when(F.size(all_) > k, kept).otherwise(F.array().cast("array<struct<unit:int,index:int,bigrams:array<string>>>"))
+
+        return F.transform(F.array(told), lambda all_: F.concat(*(run(all_, k) for k in range(2, span + 1))))[0]
+
+    if span > 1:
+        none = F.array().cast("array<struct<unit:int,index:int,bigrams:array<string>>>")
+        some = F.concat(some, F.when(F.size(paragraphs) > 2, runs(paragraphs)).otherwise(none))
+    names = [F.lit("text"), F.lit("paragraph"), F.lit("line"), *(F.lit(f"{k} paragraphs") for k in range(2, span + 1))]
     sized = F.filter(some, lambda u: (F.size(u["bigrams"]) > 0) & (F.size(u["bigrams"]) <= most))
 
     def compared(u: Column) -> Column:
         near = F.filter(
             table,
             # the most that sizes allow, reckoned like the coefficient itself so that both round alike
-            lambda t: 2.0 * F.least(F.size(u["bigrams"]), t["size"]) / (F.size(u["bigrams"]) + t["size"]) >= least,
+            lambda t: (2.0 * F.least(F.size(u["bigrams"]), t["size"]) / (F.size(u["bigrams"]) + t["size"]) >= least)
+            # a run of paragraphs is compared with templates that may be set in as many
+            & ((u["unit"] < 3) | (t["clauses"] >= u["unit"] - 1)),
         )
         return F.transform(
             near,
             lambda t: F.struct(
                 t["template"].alias("template"),
-                F.element_at(F.array(F.lit("text"), F.lit("paragraph"), F.lit("line")), u["unit"] + 1).alias("unit"),
+                F.element_at(F.array(*names), u["unit"] + 1).alias("unit"),
                 u["index"].cast("long").alias("index"),
                 (2.0 * F.size(F.array_intersect(u["bigrams"], t["bigrams"])) / (F.size(u["bigrams"]) + t["size"])).alias("dice"),
             ),
