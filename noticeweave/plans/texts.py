@@ -47,6 +47,11 @@ def title_keys(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", S.title_key(t).alias("title_key"), S.clean(t).alias("clean"))
 
 
+@query(r"select doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) title_key, trim(regexp_replace(text, '[ \t\r\n\f\x0b]+', ' ', 'g')) clean from documents", domain=False)
+def title_keys_whole(d: Domain) -> DataFrame:
+    return d.table("documents").select("doc_id", S.title_key(F.col("text")).alias("title_key"), S.clean(F.col("text")).alias("clean"))
+
+
 @query(r"select doc_id, length(t) < 4 or not regexp_matches(t, '\p{L}') or lower(trim(t)) in ('home', 'more', 'next', 'previous', 'back', 'login') junk, (case when length(t) between 8 and 80 then 10 else 0 end + case when regexp_matches(lower(t), 'notice|news|the ') then 6 else 0 end)::bigint score from (select doc_id, string_split(text, chr(10))[1] t from documents)", domain=False)
 def title_quality(d: Domain) -> DataFrame:
     t = F.split("text", "\n")[0]
@@ -64,6 +69,11 @@ def highlights(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", S.highlight(F.substring("text", 1, 400), "the").alias("html"))
 
 
+@query("select doc_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(the)', '<mark>\\1</mark>', 'g') html from documents", domain=False)
+def highlights_whole(d: Domain) -> DataFrame:
+    return d.table("documents").select("doc_id", S.highlight(F.col("text"), "the").alias("html"))
+
+
 @query("select doc_id, i::bigint i, substr(text, i * 1600 + 1, 1800) piece from (select doc_id, text, unnest(range(0, greatest(0, length(text) - 1) // 1600 + 1)) i from documents)", domain=False)
 def text_windows(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", F.posexplode(S.windows_of(F.col("text"))).alias("i", "piece")).withColumn("i", F.col("i").cast("long"))
