@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,18 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """node, hops: what is reachable from roots (node) and in how few steps. Cycles end by themselves."""
+def descendants(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """node, hops: what is reachable from roots (node) in most steps (None: any number) and in how few. Cycles end by themselves."""
     seen = _kept(roots.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
-    for hop in range(1, most + 1):
+    for hop in count(1) if most is None else range(1, most + 1):
         found = edges.join(frontier.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
         frontier = _kept(found.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % 16 == 0:  # a union of many tables makes long plans
+            seen = _kept(seen)
     return seen
 
 
@@ -38,7 +41,7 @@ def shortest_parents(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return edges.distinct().join(near, "parent").join(far, "child").where("hops = h + 1").select(F.col("child").alias("node"), "parent", "hops")
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """node, hops upwards from starts."""
     return descendants(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), starts, most)
 

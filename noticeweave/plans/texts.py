@@ -123,6 +123,12 @@ def reachable(d: Domain) -> DataFrame:
     return graphs.descendants(_edges(d), d.spark.createDataFrame([(1,)], "node long"), 6)
 
 
+@query(_EDGES + """, r(node, hops) using key (node) as (select 1::bigint, 0 union select e.child, min(r.hops) + 1 from r join edges e on e.parent = r.node
+  left join recurring.r k on k.node = e.child where k.node is null group by e.child) select node, hops::int hops from r""", domain=False)
+def reachable_all(d: Domain) -> DataFrame:
+    return graphs.descendants(_edges(d), d.spark.createDataFrame([(1,)], "node long"))
+
+
 @query(_EDGES + " select node, sum(o)::bigint n_out, sum(i)::bigint n_in from (select parent node, 1 o, 0 i from edges union all select child, 0, 1 from edges) group by 1", domain=False)
 def edge_degrees(d: Domain) -> DataFrame:
     return graphs.degrees(_edges(d))
