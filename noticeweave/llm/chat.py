@@ -11,7 +11,7 @@ that none is left and taking one away gives the text back.
 
 Results for odd rows: a null text or role is empty. A message whose parent isn't there is a root. Messages on a cycle, or that
 reply to one, have no root and are in no path. Repeated rows are one message; of messages with one id and different
-parents, roles or texts the least row counts. A null id is no message.
+parents, scores, roles or texts the least row counts, as a whole and by these in order. A null id is no message.
 """
 
 from __future__ import annotations
@@ -86,7 +86,11 @@ def reply_paths(
         .agg(F.min(F.struct("parent", "score")).alias("m"))
         .select("node", "m.*")
     )
-    nodes = stash(nodes, "messages")
+    return _paths(stash(nodes, "messages"), paths_per_root)
+
+
+def _paths(nodes: DataFrame, paths_per_root: int) -> DataFrame:
+    """reply_paths of a stashed table of node (each once), parent and score."""
     there = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
     # up: the message `far` steps up or null above the root; sum: scores from the node to below up
     state = nodes.join(there, "parent", "left").select(
@@ -123,9 +127,14 @@ def format_replies(
     score_col: str | None = None, paths_per_root: int = 1,
 ) -> DataFrame:
     """leaf, rank, root, formatted and loss (spans of the learned texts) of the best paths of each tree."""
-    paths = reply_paths(messages, id_col=id_col, parent_col=parent_col, score_col=score_col, paths_per_root=paths_per_root)
     role, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role_col, text_col))
-    bodies = messages.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("node")).agg(F.min(F.struct(role.alias("role"), text.alias("text"))).alias("turn"))
+    score = F.coalesce(F.col(f"`{score_col}`").cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
+    # one row for each id, chosen as a whole: parent and text of different rows don't mix
+    row = F.struct(F.col(f"`{parent_col}`").alias("parent"), score.alias("score"), role.alias("role"), text.alias("text"))
+    once = messages.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("node")).agg(F.min(row).alias("m"))
+    once = stash(once.select("node", "m.*"), "rows")
+    paths = _paths(once.select("node", "parent", "score"), paths_per_root)
+    bodies = once.select("node", F.struct("role", "text").alias("turn"))
     whole = paths.join(bodies, "node").groupBy("leaf", "rank", "root").agg(F.sort_array(F.collect_list(F.struct("depth", "turn.*"))).alias("__nw_turns"))
 
     def start():

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from noticeweave.llm.chat import CONTROLS, escape, format_replies, format_turns, read_back, read_turns, reply_paths, unescape
 
@@ -63,3 +64,18 @@ def test_long_chain_and_empty(spark):
     r = read_back(format_replies(df)).collect()
     assert len(r) == 1 and [t.text for t in r[0].turns] == [str(i) for i in range(500)]
     assert format_replies(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_do_not_mix(spark):
+    rows = [("r", None, "user", "root r"), ("q", None, "user", "root q"), ("a", "r", "assistant", "zz under r"), ("a", "q", "assistant", "aa under q")]
+    df = spark.createDataFrame(rows, "id string, parent string, role string, text string")
+    read = {r.root: [t.text for t in r.turns] for r in read_back(format_replies(df)).collect()}
+    assert read == {"q": ["root q", "aa under q"], "r": ["root r"]}
+
+
+def test_clashing_names(spark):
+    rows = [(1, None, "user", "a", "x"), (2, 1, "assistant", "b", "y")]
+    names = "node long, up long, role string, turn string, m string"
+    df = spark.createDataFrame(rows, names).withColumns({"leaf": F.lit(1), "rank": F.lit(2), "root": F.lit(3), "formatted": F.lit("f"), "score": F.lit("s"), "text": F.lit("t"), "parent": F.lit(0)})
+    out = read_back(format_replies(df, id_col="node", parent_col="up", text_col="turn")).collect()
+    assert [[(t.role, t.text) for t in r.turns] for r in out] == [[("user", "a"), ("assistant", "b")]]
