@@ -139,7 +139,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+    ).withColumn("removed", F.col("n_removed") > 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

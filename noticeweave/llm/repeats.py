@@ -204,15 +204,23 @@ def _ranges(units: DataFrame, length: int, most: int, widths: tuple[int, ...]) -
         "stretch-kinds",
     )
     groups = stash(kinds.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("units")).where("units > 1"), "stretch-groups")
-    whole = kinds.where("copies > 1").select("c1", "c2", F.lit(0).cast("long").alias("lo"), (F.col("n") - 1).alias("hi"))
-    inner = stash(kinds.join(groups, ["key", "key2"]).select(*names, "units"), "stretch-units")
-    got = stash(whole.unionByName(_ranges(inner, length, most, widths[1:])), "stretch-ranges")
-    back = parts.join(got, ["c1", "c2"]).select(
-        F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi")
+    whole = kinds.where("copies > 1").select("c1", "c2", F.lit(0).cast("long").alias("lo"), (F.col("n") - 1).alias("hi"), "copies")
+    inner = stash(kinds.join(groups.hint("merge"), ["key", "key2"]).select(*names, "units"), "stretch-units")
+    got = stash(_by_kind(whole, _ranges(inner, length, most, widths[1:])), "stretch-ranges")
+    total = kinds.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    back = lookup(parts.select("p1", "p2", "off", "c1", "c2"), got, ["c1", "c2"], "copies", total, [F.col("p1"), F.col("p2"), F.col("off")])
+    back = back.select("p1", "p2", "off", F.explode("ranges").alias("r")).select(
+        F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("off") + F.col("r.lo")).alias("lo"), (F.col("off") + F.col("r.hi")).alias("hi")
     )
     return found.unionByName(back)
 
 
+def _by_kind(whole: DataFrame, sorted_: DataFrame) -> DataFrame:
+    """c1, c2, ranges (a set) and copies of each kind: whole has those that occur as they are more than once, sorted_ parts of kinds."""
+    found = whole.unionByName(sorted_.withColumn("copies", F.lit(1).cast("long")))
+    return found.groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"), F.max("copies").alias("copies"))
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """docs with the text (last column) as compressed bytes, smaller to shuffle."""
     schema = T.StructType([*docs.schema.fields[:-1], T.StructField("__nw_z", T.BinaryType())])
@@ -239,7 +247,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     )
     groups = stash(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("units")).where("units > 1"), "groups")
     wanted = stash(
-        kinds.join(groups, "key")
+        kinds.join(groups.hint("merge"), "key")
         .select("u.id", "u.h", F.struct("key", "c1", "c2", "u.d", "u.n", "u.lo", "units").alias("w"))
         .groupBy("id", "h")
         .agg(F.collect_list("w").alias("wanted")),
@@ -264,13 +272,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     names = [x.split()[0] for x in schema.split(", ")]
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
     units = stash(_packed(docs).join(wanted, same).select("__nw_z", "wanted").mapInArrow(cut, schema), "sorted-units")
-    whole = kinds.where("copies > 1").select("c1", "c2", F.lit(0).cast("long").alias("lo"), (F.col("u.n") - 1).alias("hi"))
-    found = whole.unionByName(_ranges(units, length, most, widths))
-    by_kind = stash(found.groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    placed = members.join(by_kind, ["c1", "c2"]).select(
+    whole = kinds.where("copies > 1").select("c1", "c2", F.lit(0).cast("long").alias("lo"), (F.col("u.n") - 1).alias("hi"), "copies")
+    by_kind = stash(_by_kind(whole, _ranges(units, length, most, widths)), "ranges")
+    # a page that many documents have is one kind with many members: hot kinds are broadcast, their members stay where they are
+    placed = lookup(members.select("id", "h", "lo", "c1", "c2"), by_kind, ["c1", "c2"], "copies", total, [F.col("h"), F.col("lo")]).select(
         "id", "h", F.transform("ranges", lambda r: F.struct((F.col("lo") + r["lo"]).alias("lo"), (F.col("lo") + r["hi"] + length).alias("hi"))).alias("r")
     )
-    return placed.groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    # rows with equal id and text have the same ranges: they count once
+    return placed.groupBy("id", "h").agg(F.flatten(F.collect_set("r")).alias("ranges"))
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:

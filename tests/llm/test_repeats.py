@@ -77,5 +77,24 @@ def test_query(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
     got = sorted(QUERIES["op10_suffix_dedup"](spark, "/root/testdata/sf0.001").collect())
     want = slow([t for _, t in docs], 400)
-    assert [tuple(r) for r in got] == [(i, n, m, s, hashlib.sha256(k).hexdigest()) for (i, _), (n, m, s, k) in zip(docs, want, strict=True)]
+    assert [tuple(r) for r in got] == [(i, n, m, s, hashlib.sha256(k).hexdigest(), m > 0) for (i, _), (n, m, s, k) in zip(docs, want, strict=True)]
     assert sum(r.n_removed for r in got) > 1000
+
+
+def test_many_equal_rows_and_one_page(spark):
+    """5,000 rows of one id and text, and a page that many other documents have."""
+    draw = random.Random(6)
+    page = " ".join(str(draw.randrange(10**6)) for _ in range(90))
+    data = [(1, page + "x")] * 5000 + [(i, f"{i} " * 30 + page) for i in range(10, 400)] + [(2, "short"), (3, page[:390])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = remove_repeats(df.repartition(8), keep=["doc_id"]).collect()
+    assert len(got) == len(data)
+    for r in got:
+        spans = [(s.start, s.end) for s in r.spans]
+        if r.doc_id == 1:
+            assert spans == [(0, len(page) + 1)]
+        elif r.doc_id >= 10:
+            start = len(f"{r.doc_id} " * 30)
+            assert spans == [(start - 1, start + len(page))] or spans == [(start, start + len(page))] or spans[0][1] == start + len(page)
+        else:
+            assert spans == []
