@@ -1,9 +1,14 @@
-"""All pairs of texts whose sets of word shingles have a Jaccard likeness of 4/5 or more, by prefixes.
+"""Texts whose sets of word shingles have a Jaccard likeness of 4/5 or more, by prefixes: all pairs, or links that connect them.
 
 Shingles have one order for all texts. Sets of n shingles that are as like as that share one of the first n - ceil(4n / 5) + 1 in
 this order, so texts only meet on these. Any order finds all pairs; shingles that a sample of the texts has often come last, so that
 few texts meet on them. Sizes and places rule out more; each pair that is left is verified over both whole sets.
 
+Groups don't need all pairs. connect() first compares each text with one other text for each of its prefix shingles, another
+one for each shingle and size, twice; texts that are connected by then don't meet any more. Only pairs of texts that share a prefix
+shingle and aren't connected yet are compared one by one, so that the groups are those that all pairs give, while one group of n alike
+texts takes a number of comparisons that grows with n.
+
 Results for odd rows: a null text, an empty one and one of only white space have no shingles and are like no other. A text of less
 words than a shingle has itself as its only one.
 """
@@ -16,15 +21,18 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeweave.llm import simhash
 from noticeweave.llm.arrow import annotate
-from noticeweave.llm.stash import stash
+from noticeweave.llm.graph import components
+from noticeweave.llm.stash import lookup, stash
 
 WORDS = 5
+#: Rounds of comparisons: all but the last with one text for each shingle and size.
+TURNS = 3
 #: One of so many texts is sampled for the order, shingles in SEEN of them or more come last, and the driver lists so many at most.
 SAMPLE, SEEN, LISTED = 16, 4, 200_000
 _SEED = 42
@@ -70,12 +78,14 @@ def _often(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], (len(keys) - order).astype(np.int64)
 
 
-def links(docs: DataFrame, *, text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """a < b, fingerprints (of simhash) of alike texts, for all pairs of alike texts with fingerprints that simhash doesn't link."""
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")).where("text is not null")
-    often, ranks = _often(texts, words)
-    told = docs.sparkSession.sparkContext.broadcast((often, ranks))
+    return docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")).where("text is not null")
+
+
+def _prefixes(texts: DataFrame, words: int, print_words: int) -> DataFrame:
+    """h, h2, f (fingerprint), n (shingles) and keys (the prefix) of each different text that has shingles."""
+    told = texts.sparkSession.sparkContext.broadcast(_often(texts, words))
     added = T.StructType().add("f", T.LongType()).add("n", T.IntegerType()).add("keys", T.ArrayType(T.LongType()))
 
     def start():  # noqa: ANN202
@@ -84,28 +94,38 @@ def links(docs: DataFrame, *, text_col: str = "text", words: int = WORDS) -> Dat
         def each(rows: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
             for t in rows:
                 found = shingles(t, words)
-                yield simhash.fingerprint(t), len(found), prefix(found, often, ranks)
+                yield simhash.fingerprint(t, print_words), len(found), prefix(found, often, ranks)
 
         return each
 
     made = annotate(texts, ["text"], added, start, ["h", "h2"])
-    sets = stash(made.where("n > 0").groupBy("h", "h2").agg(F.first("f").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prefixes")
-    keys = sets.select("h", "h2", "f", "n", F.posexplode("keys").alias("pos", "key"))
-    x, y = keys.alias("x"), keys.alias("y")
-    sizes = (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")) & (
-        9 * (1 + F.least(F.col("x.n") - 1 - F.col("x.pos"), F.col("y.n") - 1 - F.col("y.pos"))) >= 4 * (F.col("x.n") + F.col("y.n"))
-    )
-    new = (F.col("x.f") < F.col("y.f")) & (F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) > simhash.ERRORS)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & new & sizes).select(
-        *(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("f", "h", "h2"))
-    )
-    pairs = stash(pairs.distinct(), "candidates")
-    ends = pairs.select(F.col("xh").alias("h"), F.col("xh2").alias("h2")).union(pairs.select("yh", "yh2")).distinct()
+    return stash(made.where("n > 0").groupBy("h", "h2").agg(F.first("f").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prefixes")
+
+
+def _may_be_alike(x: str, y: str) -> Column:
+    """Whether sizes and places in the prefixes allow a likeness of 4/5."""
+    n, m, i, j = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (x, y))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (1 + F.least(n - 1 - i, m - 1 - j)) >= 4 * (n + m))
+
+
+_ENDS = ("f", "h", "h2")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """a < b (fingerprints) of those pairs (xf, xh, xh2, yf, yh, yh2; each once) that are alike."""
+    pairs = stash(pairs, "candidates")
+    ends = pairs.select(F.col("xh").alias("h"), F.col("xh2").alias("h2")).union(pairs.select("yh", "yh2"))
+    ends = stash(ends.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("uses")), "ends")
     whole = T.StructType([T.StructField("s", T.BinaryType())])
-    needed = texts.join(ends, ["h", "h2"], "left_semi").dropDuplicates(["h", "h2"])
-    found = stash(annotate(needed, ["text"], whole, lambda: lambda rows: ((shingles(t, words).tobytes(),) for t in rows), ["h", "h2"]), "sets")
-    sides = [found.select(F.col("h").alias(f"{s}h"), F.col("h2").alias(f"{s}h2"), F.col("s").alias(f"{s}s")) for s in "xy"]
-    both = pairs.join(sides[0], ["xh", "xh2"]).join(sides[1], ["yh", "yh2"]).select("xf", "yf", "xs", "ys")
+    needed = texts.join(ends.hint("merge"), ["h", "h2"], "left_semi").dropDuplicates(["h", "h2"])
+    sets = annotate(needed, ["text"], whole, lambda: lambda rows: ((shingles(t, words).tobytes(),) for t in rows), ["h", "h2"])
+    found = stash(sets.join(ends.hint("merge"), ["h", "h2"]), "sets")
+    total = found.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    both = pairs
+    for side in "xy":  # a text that very many are compared with is broadcast
+        right = found.select(F.col("h").alias(f"{side}h"), F.col("h2").alias(f"{side}h2"), F.col("s").alias(f"{side}s"), "uses")
+        both = lookup(both, right, [f"{side}h", f"{side}h2"], "uses", total, [F.col("xh"), F.col("yh")])
+    both = both.select(F.least("xf", "yf").alias("a"), F.greatest("xf", "yf").alias("b"), "xs", "ys")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,4 +134,77 @@ def links(docs: DataFrame, *, text_col: str = "text", words: int = WORDS) -> Dat
             rows = batch.filter(pa.array(kept, pa.bool_()))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
 
-    return stash(both.mapInArrow(verify, "a long, b long").distinct(), "alike")
+    return stash(both.mapInArrow(verify, "a long, b long").where("a <> b").distinct(), "alike")
+
+
+def links(docs: DataFrame, *, text_col: str = "text", words: int = WORDS, print_words: int = simhash.WORDS) -> DataFrame:
+    """a < b, fingerprints (of simhash) of alike texts, for all pairs of alike texts with fingerprints that simhash doesn't link."""
+    texts = _texts(docs, text_col)
+    keys = _prefixes(texts, words, print_words).select(*_ENDS, "n", F.posexplode("keys").alias("pos", "key"))
+    x, y = keys.alias("x"), keys.alias("y")
+    new = (F.col("x.f") < F.col("y.f")) & (F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) > simhash.ERRORS)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & new & _may_be_alike("x", "y"))
+    return _verified(pairs.select(*(F.col(f"{s}.{c}").alias(s + c) for s in "xy" for c in _ENDS)).distinct(), texts, words)
+
+
+def connect(docs: DataFrame, linked: DataFrame, *, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """a < b, fingerprints of alike texts, so many that with linked (a, b: links that are known) they connect what all alike texts do."""
+    texts = _texts(docs, text_col)
+    sets = _prefixes(texts, words, words)
+    found = linked.select("a", "b")
+    new = None
+    for turn in range(TURNS):
+        rooted = _rooted(sets, found)
+        pairs = _stars(rooted, turn) if turn < TURNS - 1 else _rest(rooted)
+        more = _verified(pairs, texts, words)
+        new = more if new is None else new.unionByName(more)
+        found = found.unionByName(more)
+    return new
+
+
+def _rooted(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """sets with root, the least fingerprint that f is connected to."""
+    roots = components(found)
+    return stash(sets.join(roots.withColumnRenamed("node", "f").hint("merge"), "f", "left").withColumn("root", F.coalesce("root", "f")), "rooted")
+
+
+def _stars(rooted: DataFrame, turn: int) -> DataFrame:
+    """For each prefix shingle and size the pairs of one text, by chance, and each of the others, unless all are connected."""
+    size = F.floor(F.log("n") / F.log(F.lit(1.25)))  # sizes of one step are near enough to each other
+    keys = rooted.select("h", "root", F.explode("keys").alias("key"), size.alias("size")).select(
+        "h", "root", F.xxhash64(F.lit(turn), "key", "size").alias("k")
+    )
+    mixed = F.col("h").bitwiseXOR(F.col("k"))
+    middle = stash(
+        keys.groupBy("k").agg(F.min(mixed).alias("least"), F.min("root").alias("r"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("rows")).where("r <> r2")
+        .select("k", F.col("least").bitwiseXOR(F.col("k")).alias("to"), "rows"),
+        "middles",
+    )
+    total = middle.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    met = lookup(keys, middle, ["k"], "rows", total, [F.col("h")]).where("h <> to").select("h", "to").distinct()
+    info = rooted.select("h", "h2", "f", "n", "root")
+    x = info.select(*(F.col(c).alias(f"x{c}") for c in info.columns))
+    y = info.select(*(F.col(c).alias(f"y{c}") for c in info.columns))
+    both = met.join(x.hint("merge"), F.col("h") == F.col("xh")).join(y.hint("merge"), F.col("to") == F.col("yh"))
+    near = (F.col("xroot") != F.col("yroot")) & (5 * F.least("xn", "yn") >= 4 * F.greatest("xn", "yn"))
+    return both.where(near).select(*(s + c for s in "xy" for c in _ENDS))
+
+
+def _rest(rooted: DataFrame) -> DataFrame:
+    """All pairs that share a prefix shingle, may be alike and aren't connected."""
+    keys = rooted.select(*_ENDS, "n", "root", F.posexplode("keys").alias("pos", "key"))
+    mixed = stash(
+        keys.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("rows")).where("r <> r2").select("key", F.lit(True).alias("open"), "rows"),
+        "open-shingles",
+    )
+    total = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    left = stash(lookup(keys, mixed, ["key"], "rows", total, [F.col("h")]).drop("open"), "open")
+    # groups meet first, so that the texts of one group never do
+    groups = left.select("key", "root").distinct()
+    p, q = groups.alias("p"), groups.alias("q")
+    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root"))).select(
+        F.col("p.key").alias("key"), F.col("p.root").alias("root"), F.col("q.root").alias("other")
+    )
+    first = left.join(met, ["key", "root"]).alias("x")
+    pairs = first.join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.other") == F.col("y.root")) & _may_be_alike("x", "y"))
+    return pairs.select(*(F.col(f"{s}.{c}").alias(s + c) for s in "xy" for c in _ENDS)).distinct()

@@ -17,7 +17,7 @@ is never the smallest of its group unless all are null. Repeated rows are of the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from noticeweave.llm import golay
 from noticeweave.llm.arrow import annotate
 from noticeweave.llm.graph import components
-from noticeweave.llm.stash import stash
+from noticeweave.llm.stash import lookup, stash
 
 WORDS, ERRORS, SEED = 4, 4, 42
 SEGMENTS = (22, 21, 21)
@@ -146,40 +146,47 @@ def links(prints: DataFrame) -> DataFrame:
     return found.select(*pair).unionByName(more.select(*pair))
 
 
-def near_groups(prints: DataFrame, id_col: str, more: DataFrame | None = None) -> DataFrame:
-    """f and component (the smallest id of all rows whose fingerprints are linked, directly or not) for each fingerprint.
+def near_groups(prints: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """f, n (its rows), root and component (the smallest id of all rows whose fingerprints are linked, directly or not) for each fingerprint.
 
-    prints, a stashed table, has f and id_col. more has further links a < b of fingerprints.
+    prints, a stashed table, has f and id. more gives further links of fingerprints for the table of links found here.
     """
-    each = stash(prints.groupBy("f").agg(F.min(f"`{id_col}`").alias("least")), "fingerprints")
-    found = links(each)
-    roots = components(found if more is None else found.unionByName(more))
+    each = stash(prints.groupBy("f").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    found = stash(links(each), "links")
+    roots = components(found if more is None else found.unionByName(more(found)))
     named = stash(
-        each.join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", "least", F.coalesce("root", "f").alias("root")), "named"
+        each.join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", "least", "n", F.coalesce("root", "f").alias("root")), "named"
     )
     least = stash(named.groupBy("root").agg(F.min("least").alias("component")), "components")
-    return stash(named.join(least, "root").select("f", "root", "component"), "groups")
+    return stash(named.join(least, "root").select("f", "n", "root", "component"), "groups")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """id and text under names of their own, whatever the columns of docs are called."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *more)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """id_col, fingerprint (hex) and component_id, the smallest id of the row's group, for each row of docs."""
-    prints = stash(fingerprints(docs, text_col=text_col, words=words, keep=[id_col], name="f"), "prints")
-    groups = near_groups(prints, id_col)
-    return prints.join(groups.hint("merge"), "f").select(
-        F.col(f"`{id_col}`"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    prints = stash(fingerprints(_named(docs, id_col, text_col), words=words, keep=["id"], name="f"), "prints")
+    groups = near_groups(prints)
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # fingerprint zero, or that of a page that many rows have, is no task's own
+    return lookup(prints, groups.select("f", "n", "component"), ["f"], "n", total, [F.col("id")]).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
 def dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, more: DataFrame | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, more: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """docs with one row of each group: that of the smallest id (of equal ids, the least hash of the row). more: as for near_groups."""
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     marked = docs.withColumn("__nw_row", row)
-    prints = stash(fingerprints(marked, text_col=text_col, words=words, keep=[id_col, "__nw_row"], name="f"), "prints")
-    groups = near_groups(prints, id_col, more)
-    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__nw_row").alias("row"))
-    rows = prints.groupBy("f", id_col, "__nw_row").agg(F.count(F.lit(1)).alias("n"))
+    prints = stash(fingerprints(_named(marked, id_col, text_col, "__nw_row"), words=words, keep=["id", "__nw_row"], name="f"), "prints")
+    groups = near_groups(prints, more)
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("__nw_row").alias("row"))
+    rows = prints.groupBy("f", "id", "__nw_row").agg(F.count(F.lit(1)).alias("n"))
     least = rows.groupBy("f").agg(F.min(F.struct(order.alias("o"), "n")).alias("least"))
     chosen = stash(
         stash(least, "least").join(groups, "f").groupBy("root").agg(F.min("least").alias("m")).select(

@@ -34,6 +34,49 @@ def made() -> list[tuple[int, str]]:
     return list(enumerate([*out, *out[:5], "", "one two", "One two"]))
 
 
+def connected(n: int, pairs) -> list[int]:
+    top = list(range(n))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in pairs:
+        x, y = sorted((root(i), root(j)))
+        top[y] = x
+    return [root(i) for i in range(n)]
+
+
+def test_connected_like_all_pairs(spark, monkeypatch):
+    """A chain, groups of edits of edits and texts with one common passage: the links connect what all pairs do, with fewer of them."""
+    draw = random.Random(8)
+    words = [f"v{i}" for i in range(500)]
+    data = made()
+    texts = [t for _, t in data]
+    base = draw.choices(words, k=90)
+    for k in range(60):  # each is like the next ones, the ends are not alike
+        base = [*base[:k], draw.choice(words), *base[k + 1 :]]
+        texts.append(" ".join(base))
+    base = draw.choices(words, k=70)
+    texts += [" ".join(draw.choice(words) if draw.random() < 0.012 else x for x in base) for _ in range(60)]
+    passage = " ".join(draw.choices(words, k=40))
+    texts += [passage + " " + " ".join(draw.choices(words, k=draw.randrange(4, 30))) for _ in range(40)]
+    prints = [fingerprint(t, 5) for t in texts]
+    place = {}
+    for i, f in enumerate(prints):
+        place.setdefault(f, i)
+    same = [(place[f], i) for i, f in enumerate(prints)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if like(texts[i], texts[j])]
+    monkeypatch.setattr(likeness, "SAMPLE", 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = likeness.connect(df, spark.createDataFrame([], "a long, b long")).distinct().collect()
+    known = {frozenset((prints[i], prints[j])) for i, j in pairs}
+    assert all(frozenset((r.a, r.b)) in known for r in got)
+    assert connected(len(texts), same + [(place[r.a], place[r.b]) for r in got]) == connected(len(texts), same + pairs)
+    assert 50 < len(got) < len(known)
+
+
 def test_all_pairs(spark, monkeypatch):
     data = made()
     monkeypatch.setattr(likeness, "SAMPLE", 2)
@@ -58,7 +101,7 @@ def test_stage_merges_alike_texts(spark):
             i = top[i]
         return i
 
-    bits = groups([slow(t) for _, t in data])
+    bits = groups([slow(t, 5) for _, t in data])
     for i, a in data:
         for j, b in [*data[:i], (bits[i], a)]:
             if j == bits[i] or like(a, b):

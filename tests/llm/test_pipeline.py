@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from noticeweave.llm.decontaminate import words
+from tests.llm.test_likeness import connected, like
 from tests.llm.test_simhash import groups, slow
 
 
@@ -45,7 +46,9 @@ def test_pipeline(spark):
         for i in range(len(w) - m + 1 if w else 0):
             windows.setdefault(m, set()).add(tuple(w[i : i + m]))
     left = dedup_lines([(i, t) for i, t in docs if any(c.isalpha() for c in t or "")])
-    top = groups([slow(t) for _, t in left])
+    bits = groups([slow(t, 5) for _, t in left])
+    alike = [(i, j) for i, (_, a) in enumerate(left) for j, (_, b) in enumerate(left[:i]) if like(a, b)]
+    top = connected(len(left), [*enumerate(bits), *alike])
     left = [d for n, d in enumerate(left) if top[n] == n and not contaminated(d[1], windows)]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})

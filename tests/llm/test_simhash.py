@@ -25,7 +25,7 @@ def test_golay_code():
         assert (x >= 0).sum(1).max() <= 6
 
 
-def slow(text: str) -> int:
+def slow(text: str, k: int = 4) -> int:
     words, w = [], ""
     for c in text + " ":
         if c in " \t\n\x0b\x0c\r":
@@ -33,7 +33,7 @@ def slow(text: str) -> int:
             w = ""
         else:
             w += c.lower() if "A" <= c <= "Z" else c
-    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
