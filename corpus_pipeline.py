@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group: linked fingerprints, or a likeness of 0.8 or more over five words."""
-    return simhash.dedup(docs, more=likeness.links(docs))
+    return simhash.dedup(docs, words=likeness.WORDS, more=lambda linked: likeness.connect(docs, linked))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
