@@ -2,12 +2,14 @@
 
 A worklist holds layers. The first is the text; each layer is scanned and then unwrapped: percent
 escapes and Unicode escapes give the layer with its escapes replaced, a base64 token gives a layer of
-its own, and bytes that are gzip or zlib are decompressed: those of a token, and streams in runs of escapes and of characters left as they are. Layers that were seen before at the same place
+its own at each of its four alignments (what stands before a token may look like a part of it), and bytes that are gzip or zlib are
+decompressed: those of a token, and streams in runs of escapes and of characters left as they are. A stream that is cut or damaged gives what
+comes before that. Levels of escapes that only escape the sign of an escape (%2525...) are taken off at once, down to one. Layers that were seen before at the same place
 are left out, so the list ends at a fixpoint even where layers lead back to themselves. Every layer knows
 for each of its characters the characters of the first text it came from, so that what is found in it
 has a span there: the escapes themselves, the base64 characters, or the whole token of a compressed layer.
 
-Results for odd rows: a null text is empty and has no secrets. Layers that aren't UTF-8 are read as Latin-1; what
+Results for odd rows: a null text is empty and has no secrets. Layers that aren't UTF-8 are read as Latin-1, whatever characters they have; what
 decompresses to more than PIECE bytes is scanned in pieces as it comes, a run of more than LAYER_BYTES without a line end in overlapping ones. Repeated rows get equal results.
 """
 
@@ -49,10 +51,24 @@ _SHORT = {"0": 0, "a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
 _BYTE = re.compile(
     r"\\u\{0*([0-9A-Fa-f]{1,2})\}|\\(?:u00|U000000|x)([0-9A-Fa-f]{2})|&#0*([0-9]{1,3});|&#[xX]0*([0-9A-Fa-f]{1,2});|\\([0abtnvfr\\'\"/])|([^\\\r\n\u0100-\U0010ffff])"
 )
+_ANY_ESCAPE = re.compile(r"""\\[uUx0abtnvfr\\'"/]|&#""")
 _UNIT = re.compile(r"%[0-9A-Fa-f]{2}|.")
 _BINARY = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f-\xff]")
 _HEAD = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{60,76}\r?\n)+[A-Za-z0-9+/_-]{2,76}={0,2}")
+#: Bytes that a cut or damaged stream gives at least, and that are fed at once to see how far it goes.
+CUT, FEED = 16, 64
+# Levels that only escape the sign of an escape, two and more, and what is left of them: one.
+_LEVELS = {
+    "url": ((re.compile(r"%25(?:25)+(?=[0-9A-Fa-f]{2})"), "%25"),),
+    "unicode": (
+        (re.compile(r"\\u005[cC](?:u005[cC])+(?=u[0-9A-Fa-f]{4})"), "\\u005c"),
+        (re.compile(r"\\x5[cC](?:x5[cC])+(?=x[0-9A-Fa-f]{2})"), "\\x5c"),
+        (re.compile(r"&#38;(?:#38;)+(?=#)"), "&#38;"),
+        (re.compile(r"&#[xX]26;(?:#[xX]26;)+(?=#)"), "&#x26;"),
+    ),
+}
 #: Bytes that neither a pattern nor a coding has.
 _BREAKS = (b"\n", b"\r", b"\x00")
 
@@ -126,8 +142,20 @@ def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
         rest = box.unused_data if box.eof else box.unconsumed_tail
 
 
-def stream_size(data: bytes) -> int | None:
-    """Bytes of the gzip or zlib stream that data begins with, or None."""
+def salvaged(data: bytes) -> Iterator[bytes]:
+    """What a stream gives up to where it is cut or damaged."""
+    box = zlib.decompressobj(47)
+    for at in range(0, len(data), FEED):
+        try:
+            out = box.decompress(data[at : at + FEED])
+        except zlib.error:
+            return
+        if out:
+            yield out
+
+
+def stream_size(data: bytes) -> tuple[int, bool] | None:
+    """Bytes of the gzip or zlib stream that data begins with, and whether it is whole. None if it is none, or gives less than CUT bytes before it is cut."""
     if not headed(data):
         return None
     size = 0
@@ -137,13 +165,21 @@ def stream_size(data: bytes) -> int | None:
             while not box.eof and rest:
                 box.decompress(rest, 1 << 20)
                 rest = box.unconsumed_tail
+            whole = box.eof
         except zlib.error:
-            return size or None
-        if not box.eof:
-            return size or None
+            whole = False
+        if not whole:
+            if size:
+                return size, True
+            given = 0
+            for out in salvaged(data):
+                given += len(out)
+                if given >= CUT:
+                    return len(data), False
+            return None
         size = len(data) - len(box.unused_data)
         if data[size : size + 2] != b"\x1f\x8b":
-            return size
+            return size, True
 
 
 def decoded(data: bytes) -> str:
@@ -182,22 +218,22 @@ def _sizes(text: str) -> np.ndarray:
 
 def _whole(layer: Layer, start: int, end: int, data: bytes, via: str) -> Iterator[Layer]:
     """The decompressed text, in pieces, of layer's characters from start to end; each character came from all of them."""
-    if (size := stream_size(data)) is None:
+    if (found := stream_size(data)) is None:
         return
     a, b = layer.span(start, end)
+    size, whole = found
     stream, steps = data[:size], (*layer.via, via, "compressed")
-    make: Callable[[], Iterator[bytes]] | None = lambda: inflated(iter([stream]))
+    make: Callable[[], Iterator[bytes]] | None = lambda: inflated(iter([stream])) if whole else salvaged(stream)
+    seen = {hashlib.sha256(stream).digest()}
     while make is not None:
         for piece in pieces(make()):
             text = decoded(piece)
             yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), steps)
-        make, steps = _nested(make), (*steps, "compressed")
-        if len(steps) > 1000:
-            break
+        make, steps = _nested(make, seen), (*steps, "compressed")
 
 
-def _nested(make: Callable[[], Iterator[bytes]]) -> Callable[[], Iterator[bytes]] | None:
-    """What the stream in make's bytes holds, or None if they are no whole stream or one that holds itself."""
+def _nested(make: Callable[[], Iterator[bytes]], seen: set[bytes]) -> Callable[[], Iterator[bytes]] | None:
+    """What the stream in make's bytes holds, or None if they are no whole stream or lead back to bytes in seen."""
     if not headed(next(make(), b"")):
         return None
     held, size, own, inner = [], 0, hashlib.sha256(), hashlib.sha256()
@@ -211,7 +247,8 @@ def _nested(make: Callable[[], Iterator[bytes]]) -> Callable[[], Iterator[bytes]
         return None
     for block in make():
         own.update(block)
-    if not size or own.digest() == inner.digest():
+    seen.add(own.digest())
+    if not size or inner.digest() in seen:
         return None
     whole = b"".join(held)
     return (lambda: iter([whole])) if size <= PIECE else lambda: inflated(make())
@@ -222,10 +259,11 @@ def _streams(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, via
     done = 0
     for m in _HEAD.finditer(data):
         at = m.start()
-        if at < done or (size := stream_size(data[at:])) is None:
+        if at < done or (found := stream_size(data[at:])) is None:
             continue
-        done = at + size
-        yield from _whole(layer, int(first[at]), int(last[done - 1]), data[at:done], via)
+        size, whole = found
+        done = at + (size if whole else 2)
+        yield from _whole(layer, int(first[at]), int(last[at + size - 1]), data[at : at + size], via)
 
 
 def _percent_streams(layer: Layer) -> Iterator[Layer]:
@@ -271,7 +309,7 @@ def _escape_streams(layer: Layer) -> Iterator[Layer]:
         yield from streams()
 
 
-def _replaced(layer: Layer, runs: list[tuple[int, int, str, np.ndarray, np.ndarray]], via: str) -> Layer:
+def _replaced(layer: Layer, runs: list[tuple[int, int, str, np.ndarray, np.ndarray]], *via: str) -> Layer:
     """The layer with runs (start, end, new text, and for its characters starts and ends in layer) put in."""
     starts, ends = layer.maps()
     text, new_starts, new_ends, at = [], [], [], 0
@@ -281,11 +319,24 @@ def _replaced(layer: Layer, runs: list[tuple[int, int, str, np.ndarray, np.ndarr
         new_ends += [ends[at:start], ends[last - 1]]
         at = end
     return Layer(
-        "".join([*text, layer.text[at:]]), np.concatenate([*new_starts, starts[at:]]), np.concatenate([*new_ends, ends[at:]]), (*layer.via, via)
+        "".join([*text, layer.text[at:]]), np.concatenate([*new_starts, starts[at:]]), np.concatenate([*new_ends, ends[at:]]), (*layer.via, *via)
     )
 
 
+def _flat(layer: Layer, via: str) -> Layer | None:
+    """The layer with levels that only escape the sign of an escape taken off, down to one; None if there are no such levels."""
+    runs, levels = [], 0
+    for pattern, left in _LEVELS[via]:
+        for m in pattern.finditer(layer.text):
+            runs.append((m.start(), m.end(), left, np.full(len(left), m.start()), np.full(len(left), m.end())))
+            levels = max(levels, (m.end() - m.start() - len(left)) // (len(left) - 1))
+    return _replaced(layer, sorted(runs, key=lambda r: r[0]), *[via] * levels) if runs else None
+
+
 def _percent(layer: Layer) -> Iterator[Layer]:
+    if flat := _flat(layer, "url"):
+        yield flat
+        return
     runs = []
     for m in _PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
@@ -303,6 +354,9 @@ def _percent(layer: Layer) -> Iterator[Layer]:
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
+    if flat := _flat(layer, "unicode"):
+        yield flat
+        return
     runs = []
     for m in _ESCAPE.finditer(layer.text):
         chars: list[tuple[int, int, int]] = []
@@ -319,29 +373,47 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield _replaced(layer, runs, "unicode")
 
 
+def _decode(layer: Layer, token: str, places: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
+    """What the base64 characters of token hold; they stand in layer from places up to ends."""
+    token = token[: len(token) - (len(token) % 4 == 1)]
+    try:
+        data = base64.b64decode(token + "=" * (-len(token) % 4))
+    except binascii.Error:
+        return
+    byte = np.arange(len(data))
+    yield from _streams(layer, data, places[byte * 8 // 6], ends[(byte * 8 + 13) // 6 - 1], "base64")
+    if text := decoded(data):
+        last = np.cumsum(_sizes(text) if len(text) < len(data) or text.isascii() else np.ones(len(text), np.int64))
+        first = np.concatenate([[0], last[:-1]])
+        starts, stops = layer.maps()
+        yield Layer(text, starts[places[first * 8 // 6]], stops[ends[(last * 8 + 5) // 6 - 1] - 1], (*layer.via, "base64"))
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
+    for m in _WRAPPED.finditer(layer.text):
+        places = m.start() + np.array([i for i, c in enumerate(m[0]) if c not in "\r\n="])
+        yield from _decode(layer, re.sub(r"[\r\n=]", "", m[0]).translate({45: 43, 95: 47}), places, places + 1)
     for m in _BASE64.finditer(layer.text):
         token = m[0].rstrip("=").translate({45: 43, 95: 47})
-        if len(token) % 4 == 1:
+        whole = stream_size(_bytes(token))
+        if whole is not None and whole[1]:
+            yield from _whole(layer, m.start(), m.end(), _bytes(token), "base64")
             continue
-        try:
-            data = base64.b64decode(token + "=" * (-len(token) % 4))
-        except binascii.Error:
-            continue
-        if stream_size(data) is not None:
-            yield from _whole(layer, m.start(), m.end(), data, "base64")
-        elif text := decoded(data):
-            last = np.cumsum(_sizes(text) if len(text) < len(data) or text.isascii() else np.ones(len(text), np.int64))
-            first = np.concatenate([[0], last[:-1]])
-            starts, ends = layer.maps()
-            yield Layer(text, starts[m.start() + first * 8 // 6], ends[m.start() + (last * 8 + 5) // 6 - 1], (*layer.via, "base64"))
+        places = np.arange(m.start(), m.start() + len(token))
+        for skip in range(4 if len(token) >= 20 else 1):
+            yield from _decode(layer, token[skip:], places[skip:], places[skip:] + 1)
+
+
+def _bytes(token: str) -> bytes:
+    token = token[: len(token) - (len(token) % 4 == 1)]
+    return base64.b64decode(token + "=" * (-len(token) % 4))
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
     if "%" in layer.text:
         yield from _percent_streams(layer)
         yield from _percent(layer)
-    if "\\" in layer.text or "&#" in layer.text:
+    if _ANY_ESCAPE.search(layer.text):
         yield from _escape_streams(layer)
         yield from _escapes(layer)
     yield from _base64(layer)
