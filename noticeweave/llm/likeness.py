@@ -4,10 +4,11 @@ Shingles have one order for all texts. Sets of n shingles that are as like as th
 this order, so texts only meet on these. Any order finds all pairs; shingles that a sample of the texts has often come last, so that
 few texts meet on them. Sizes and places rule out more; each pair that is left is verified over both whole sets.
 
-Groups don't need all pairs. connect() first compares each text with one other text for each of its prefix shingles, another
-one for each shingle and size, twice; texts that are connected by then don't meet any more. Only pairs of texts that share a prefix
+Groups don't need all pairs. connect() first compares each text with one other, the one that is the least (by hash, in another order each time) for
+most of its prefix shingles, twice; texts that are connected by then don't meet any more. Only texts that share a prefix
 shingle and aren't connected yet are compared one by one, so that the groups are those that all pairs give, while one group of n alike
-texts takes a number of comparisons that grows with n.
+texts takes a number of comparisons that grows with n. Before sets are compared, counts of their shingles in cells of the hash
+space (about four in each) tell how many they can have in common at most; few pairs pass that are not nearly alike.
 
 Results for odd rows: a null text, an empty one and one of only white space have no shingles and are like no other. A text of less
 words than a shingle has itself as its only one.
@@ -83,23 +84,40 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")).where("text is not null")
 
 
+def counted(found: np.ndarray) -> bytes:
+    """How many of a set's hashes begin with each of so many bits that about four do, as bytes; empty if they don't fit."""
+    bits = max(3, (max(1, len(found) // 4) - 1).bit_length())
+    cells = np.bincount((found.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return cells.astype(np.uint8).tobytes() if cells.max() < 256 else b""
+
+
+def at_most(a: bytes, b: bytes) -> int:
+    """How many hashes two sets can have in common, by their counts."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 1 << 62
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+
+
 def _prefixes(texts: DataFrame, words: int, print_words: int) -> DataFrame:
-    """h, h2, f (fingerprint), n (shingles) and keys (the prefix) of each different text that has shingles."""
+    """h, h2, f (fingerprint), n (shingles), cells (their counts) and keys (the prefix) of each different text that has shingles."""
     told = texts.sparkSession.sparkContext.broadcast(_often(texts, words))
-    added = T.StructType().add("f", T.LongType()).add("n", T.IntegerType()).add("keys", T.ArrayType(T.LongType()))
+    added = T.StructType().add("f", T.LongType()).add("n", T.IntegerType()).add("cells", T.BinaryType()).add("keys", T.ArrayType(T.LongType()))
 
     def start():  # noqa: ANN202
         often, ranks = told.value
 
-        def each(rows: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
+        def each(rows: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
             for t in rows:
                 found = shingles(t, words)
-                yield simhash.fingerprint(t, print_words), len(found), prefix(found, often, ranks)
+                yield simhash.fingerprint(t, print_words), len(found), counted(found), prefix(found, often, ranks)
 
         return each
 
-    made = annotate(texts, ["text"], added, start, ["h", "h2"])
-    return stash(made.where("n > 0").groupBy("h", "h2").agg(F.first("f").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prefixes")
+    made = annotate(texts, ["text"], added, start, ["h", "h2"]).where("n > 0")
+    return stash(made.groupBy("h", "h2").agg(*(F.first(c).alias(c) for c in ("f", "n", "cells", "keys"))), "prefixes")
 
 
 def _may_be_alike(x: str, y: str) -> Column:
@@ -151,60 +169,80 @@ def connect(docs: DataFrame, linked: DataFrame, *, text_col: str = "text", words
     """a < b, fingerprints of alike texts, so many that with linked (a, b: links that are known) they connect what all alike texts do."""
     texts = _texts(docs, text_col)
     sets = _prefixes(texts, words, words)
+    shared = _shared(sets)
     found = linked.select("a", "b")
     new = None
     for turn in range(TURNS):
-        rooted = _rooted(sets, found)
-        pairs = _stars(rooted, turn) if turn < TURNS - 1 else _rest(rooted)
-        more = _verified(pairs, texts, words)
+        roots = components(found).withColumnRenamed("node", "f").hint("merge")
+        rooted = stash(sets.drop("keys").join(roots, "f", "left").withColumn("root", F.coalesce("root", "f")), "rooted")
+        keys = stash(shared.join(rooted.select("h", "n", "root").hint("merge"), "h"), "keys")
+        met = _stars(keys, turn) if turn < TURNS - 1 else _rest(keys)
+        more = _verified(_possible(met, rooted), texts, words)
         new = more if new is None else new.unionByName(more)
         found = found.unionByName(more)
     return new
 
 
-def _rooted(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """sets with root, the least fingerprint that f is connected to."""
-    roots = components(found)
-    return stash(sets.join(roots.withColumnRenamed("node", "f").hint("merge"), "f", "left").withColumn("root", F.coalesce("root", "f")), "rooted")
+def _shared(sets: DataFrame) -> DataFrame:
+    """key, h, pos: the prefix shingles that more than one text has."""
+    keys = sets.select("h", F.posexplode("keys").alias("pos", "key"))
+    often = stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("often", F.lit(True)), "shared-shingles")
+    total = often.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return stash(lookup(keys, often, ["key"], "rows", total, [F.col("h"), F.col("pos")]).select("key", "h", "pos"), "shared")
 
 
-def _stars(rooted: DataFrame, turn: int) -> DataFrame:
-    """For each prefix shingle and size the pairs of one text, by chance, and each of the others, unless all are connected."""
+def _stars(keys: DataFrame, turn: int) -> DataFrame:
+    """x, y (hashes of texts): each text and that one which is the least for most of its shingles and its size, unless all there are connected."""
     size = F.floor(F.log("n") / F.log(F.lit(1.25)))  # sizes of one step are near enough to each other
-    keys = rooted.select("h", "root", F.explode("keys").alias("key"), size.alias("size")).select(
-        "h", "root", F.xxhash64(F.lit(turn), "key", "size").alias("k")
-    )
-    mixed = F.col("h").bitwiseXOR(F.col("k"))
-    middle = stash(
-        keys.groupBy("k").agg(F.min(mixed).alias("least"), F.min("root").alias("r"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("rows")).where("r <> r2")
-        .select("k", F.col("least").bitwiseXOR(F.col("k")).alias("to"), "rows"),
-        "middles",
+    keys = keys.select("h", "root", F.xxhash64("key", size).alias("k"))
+    mix = F.xxhash64(F.lit(turn))
+    least = stash(
+        keys.groupBy("k").agg(F.min(F.col("h").bitwiseXOR(mix)).alias("least"), F.min("root").alias("r"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("rows"))
+        .where("r <> r2").select("k", F.col("least").bitwiseXOR(mix).alias("to"), "rows"),
+        "least",
     )
-    total = middle.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    met = lookup(keys, middle, ["k"], "rows", total, [F.col("h")]).where("h <> to").select("h", "to").distinct()
-    info = rooted.select("h", "h2", "f", "n", "root")
-    x = info.select(*(F.col(c).alias(f"x{c}") for c in info.columns))
-    y = info.select(*(F.col(c).alias(f"y{c}") for c in info.columns))
-    both = met.join(x.hint("merge"), F.col("h") == F.col("xh")).join(y.hint("merge"), F.col("to") == F.col("yh"))
-    near = (F.col("xroot") != F.col("yroot")) & (5 * F.least("xn", "yn") >= 4 * F.greatest("xn", "yn"))
-    return both.where(near).select(*(s + c for s in "xy" for c in _ENDS))
-
-
-def _rest(rooted: DataFrame) -> DataFrame:
-    """All pairs that share a prefix shingle, may be alike and aren't connected."""
-    keys = rooted.select(*_ENDS, "n", "root", F.posexplode("keys").alias("pos", "key"))
+    total = least.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    met = lookup(keys, least, ["k"], "rows", total, [F.col("h")]).where("h <> to").groupBy("h", "to").agg(F.count(F.lit(1)).alias("times"))
+    return met.groupBy("h").agg(F.max(F.struct("times", "to")).alias("m")).select(F.col("h").alias("x"), F.col("m.to").alias("y"))
+
+
+def _rest(keys: DataFrame) -> DataFrame:
+    """x, y (hashes of texts): all that share a prefix shingle, may be alike and aren't connected."""
     mixed = stash(
         keys.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("rows")).where("r <> r2").select("key", F.lit(True).alias("open"), "rows"),
         "open-shingles",
     )
     total = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     left = stash(lookup(keys, mixed, ["key"], "rows", total, [F.col("h")]).drop("open"), "open")
-    # groups meet first, so that the texts of one group never do
-    groups = left.select("key", "root").distinct()
+    # groups meet first, by what their texts allow at most, so that the texts of one group never do
+    groups = left.groupBy("key", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("after"))
     p, q = groups.alias("p"), groups.alias("q")
-    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root"))).select(
+    sizes = (5 * F.col("p.most") >= 4 * F.col("q.least")) & (5 * F.col("q.most") >= 4 * F.col("p.least"))
+    places = 9 * F.least("p.after", "q.after") >= 4 * (F.col("p.least") + F.col("q.least"))
+    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")) & sizes & places).select(
         F.col("p.key").alias("key"), F.col("p.root").alias("root"), F.col("q.root").alias("other")
     )
     first = left.join(met, ["key", "root"]).alias("x")
     pairs = first.join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.other") == F.col("y.root")) & _may_be_alike("x", "y"))
-    return pairs.select(*(F.col(f"{s}.{c}").alias(s + c) for s in "xy" for c in _ENDS)).distinct()
+    return pairs.select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
+
+
+def _possible(met: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The pairs of met (x, y) that aren't connected and whose sizes and counts allow a likeness of 4/5, with both texts' f, h, h2."""
+    names = [*_ENDS, "n", "root", "cells"]
+    both = met
+    for side in "xy":
+        right = rooted.select(*(F.col(c).alias(side + c) for c in names))
+        both = both.join(right.hint("merge"), F.col(side) == F.col(f"{side}h"))
+    both = both.where((F.col("xroot") != F.col("yroot")) & (5 * F.least("xn", "yn") >= 4 * F.greatest("xn", "yn")))
+    both = both.select(*(s + c for s in "xy" for c in _ENDS), "xn", "yn", "xcells", "ycells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(6).to_numpy() + batch.column(7).to_numpy()
+            most = [at_most(a.as_py(), b.as_py()) for a, b in zip(batch.column(8), batch.column(9), strict=True)]
+            ok = pa.array([9 * m >= 4 * int(k) for m, k in zip(most, n, strict=True)], pa.bool_())
+            rows = batch.filter(ok)
+            yield pa.RecordBatch.from_arrays(rows.columns[:6], names=rows.schema.names[:6])
+
+    return both.mapInArrow(run, T.StructType(both.schema.fields[:6]))

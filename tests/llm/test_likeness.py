@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from noticeweave.llm import likeness
@@ -108,3 +109,14 @@ def test_stage_merges_alike_texts(spark):
                 x, y = sorted((root(i), root(j)))
                 top[y] = x
     assert kept == {root(i) for i, _ in data} and len(kept) < len(set(bits))
+
+
+def test_counts_bound_what_sets_share():
+    draw = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(draw.integers(1, 900))
+        a = np.unique(draw.integers(-(1 << 63), (1 << 63) - 1, n))
+        kept = a[draw.random(len(a)) < draw.random()]
+        b = np.unique(np.concatenate([kept, draw.integers(-(1 << 63), (1 << 63) - 1, int(draw.integers(1, 900)))]))
+        assert likeness.at_most(likeness.counted(a), likeness.counted(b)) >= len(np.intersect1d(a, b))
+    assert likeness.at_most(b"", likeness.counted(a)) > 1 << 60
