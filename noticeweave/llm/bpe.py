@@ -3,8 +3,10 @@
 Encoding splits a text by a pattern into pre-tokens and merges each one's bytes by rank. A text longer
 than a chunk is cut into overlapping chunks that tasks pre-tokenise and encode in parallel. The pattern
 looks ahead a few characters and never back, so two tokenisations agree from any place where both have a
-boundary: neighbouring chunks are stitched at the first such place in their overlap. Where an overlap has
-none (one endless pre-token), the two chunks are tokenised again as one.
+boundary: neighbouring chunks are stitched at the first such place in their overlap. Where overlaps have
+none (one endless pre-token), all chunks up to the next such place are tokenised again as one, once.
+
+That holds for the patterns in SEGMENTED. With any other one, texts are pre-tokenised whole, each in the task that has it.
 
 Results for odd rows: a null text is encoded as an empty one, to no ids; null ids decode to null, and an id that the
 vocabulary doesn't have decodes to the bytes of U+FFFD. Repeated rows get equal results.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,11 @@ CHUNK, OVERLAP = 65_536, 1_024
 LOOK = 4
 #: Segments of text whose ids a task remembers; it starts anew when they are as many.
 REMEMBERED = 60_000
+# Patterns in which white space only begins or fills a pre-token, and which look ahead by less than LOOK characters.
+SEGMENTED = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
 #: Unicode's white space, as the patterns of public tokenizers see it.
 SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -49,14 +56,14 @@ class Encoder(dict):
     """Ids of text; as a dict, from a segment to its ids.
 
     Segments are runs of white space, each with the run of other characters after it. Patterns of
-    byte-level tokenizers let white space only begin a pre-token or fill it, so a boundary lies before
-    each such run and a segment's ids don't depend on its neighbours.
+    byte-level tokenizers (SEGMENTED) let white space only begin a pre-token or fill it, so a boundary lies before
+    each such run and a segment's ids don't depend on its neighbours. With other patterns a text is one segment.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
         super().__init__()
         self.pretokens = regex.compile(pattern)
-        self.segments = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+        self.segments = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+" if pattern in SEGMENTED else "(?s).+")
         #: One pre-token at a time: the whole of what it gets is one piece.
         self.merge = tiktoken.Encoding("piece", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.remembered = remembered
@@ -102,25 +109,37 @@ class Chunk:
         return self.ids[self.bounds[i] : self.bounds[j]]
 
 
+def common(now: Chunk, after: Chunk, begin: int) -> np.ndarray:
+    """Places from begin on where both chunks have a boundary."""
+    mine = now.trusted()
+    return np.intersect1d(mine[mine >= max(begin, after.lo + 1)], after.starts)
+
+
 def stitch(chunks: list[Chunk], encoder: Encoder) -> np.ndarray:
     """The ids of the text that the chunks cover, in order of lo; the first begins at 0."""
     out, begin, now = [], 0, chunks[0]
-    for after in chunks[1:]:
-        mine = now.trusted()
-        mine = mine[mine >= begin]
-        both = np.intersect1d(mine[mine > after.lo], after.starts)
+    meets = [len(common(a, b, 0)) > 0 for a, b in pairwise(chunks)] + [True]
+    i = 1
+    while i < len(chunks):
+        both = common(now, chunks[i], begin)
         if len(both):
             out.append(now.between(begin, int(both[0])))
-            begin, now = int(both[0]), after
+            begin, now = int(both[0]), chunks[i]
         else:
+            mine = now.trusted()
+            mine = mine[mine >= begin]
             restart = int(mine[-1]) if len(mine) else begin
             out.append(now.between(begin, restart))
-            text = now.text[restart - now.lo : after.lo - now.lo] + after.text
-            begin, now = restart, Chunk(restart, text, *encoder.tokens(text), after.last)
+            parts, at = [now.text[restart - now.lo : chunks[i].lo - now.lo]], i
+            while not meets[i]:  # one endless pre-token: as far as it may go
+                i += 1
+            parts += [a.text[: b.lo - a.lo] for a, b in pairwise(chunks[at : i + 1])]
+            text = "".join([*parts, chunks[i].text])
+            begin, now = restart, Chunk(restart, text, *encoder.tokens(text), chunks[i].last)
+        i += 1
     return np.concatenate([*out, now.between(begin, None)])
 
 
-
 def encode(
     docs: DataFrame,
     ranks: dict[bytes, int],
@@ -134,8 +153,8 @@ def encode(
 ) -> DataFrame:
     """docs (columns in keep) with ids_col, the text's ids. Special tokens are ordinary text.
 
-    ranks is broadcast; a vocabulary has a fixed size. Texts of up to a chunk are encoded where they
-    are read; only longer ones, once for each different text, are cut and shuffled.
+    ranks is broadcast; a vocabulary has a fixed size (2,000,000 ranks at most). Texts of up to a chunk are encoded where they
+    are read; only longer ones, once for each different text, are cut and shuffled, if pattern is in SEGMENTED.
     """
     if len(ranks) > 2_000_000:
         raise ValueError("too many ranks to broadcast")
@@ -144,7 +163,7 @@ def encode(
     kept = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(*(F.col(f"`{c}`") for c in kept), text.alias("__nw_text"))
-    long = F.char_length("__nw_text") > chunk
+    long = F.char_length("__nw_text") > chunk if pattern in SEGMENTED else F.lit(False)
     schema = T.StructType([*(base.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

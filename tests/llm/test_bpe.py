@@ -56,3 +56,33 @@ def test_query(spark, library):
         ids = library.encode_ordinary(next(d.text for d in docs if d.doc_id == r.doc_id) or "")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode_bytes(ids)).hexdigest()
+
+
+def test_endless_pretokens_in_linear_time():
+    import time
+
+    from noticeweave.llm.bpe import Chunk, Encoder, stitch
+
+    encoder = Encoder(RANKS, P.PATTERN)
+
+    def cut(text, size=4096, overlap=256):
+        starts = range(0, len(text), size)
+        return [Chunk(at, text[at : at + size + overlap], *encoder.tokens(text[at : at + size + overlap]), at + size >= len(text)) for at in starts]
+
+    draw = random.Random(2)
+    for text in ("x" * 300_000, "ab " * 9000 + "y" * 90_000 + " cd" * 9000 + "z" * 50_000, "".join(draw.choices("ab ", [60, 60, 1], k=60_000)), "7" * 40_000 + "a" * 40_000):
+        chunks = cut(text)
+        began = time.time()
+        got = stitch(chunks, encoder).tolist()
+        stitched = time.time() - began
+        began = time.time()
+        want = encoder.tokens(text)[2].tolist()
+        assert got == want and stitched < 4 * (time.time() - began) + 1
+
+
+def test_patterns_that_cut_after_white_space(spark):
+    pattern = r"\S+\s*|\s+"  # white space ends a pre-token
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    rows = [(1, "one two  three\n four " * 9), (2, " x  y"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in encode(df, RANKS, pattern, chunk=20, overlap=5).collect()} == {i: library.encode_ordinary(t or "") for i, t in rows}

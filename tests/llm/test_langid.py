@@ -62,3 +62,48 @@ def test_held_out_accuracy(spark):
     assert len(got) == len(docs)
     held = [r for r in got if r.held_out and r.lang_pred != "und"]
     assert len(held) > 100 and np.mean([r.lang_pred == docs[r.doc_id] for r in held]) > 0.97
+
+
+def plain_grams(text: str | None, buckets: int) -> list[int]:
+    """Buckets of all n-grams, one character after the other."""
+    chars = [" "]
+    for c in text or "":
+        low = c.lower()
+        letter = (low if len(low) == 1 else c) if c.isalpha() else " "
+        if letter != " " or chars[-1] != " ":
+            chars.append(letter)
+    bits, out = (buckets - 1).bit_length(), []
+    for i in range(1, len(chars)):
+        h = 0
+        for order in range(3):
+            if i - order < 0:
+                break
+            h = ((h ^ ord(chars[i - order])) * 0x9E3779B1 + order + 1) & 0xFFFFFFFF
+            out.append((((h ^ h >> 15) * 0x85EBCA77) & 0xFFFFFFFF) >> 32 - bits)
+    return out
+
+
+def test_query_like_a_plain_model(spark):
+    """The whole query on sf0.001, with n-grams, counts, priors and posteriors made anew."""
+    import zlib
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    seen, n = {}, Counter()
+    for i, t, lang in rows:
+        if not held[i] and t is not None and lang is not None:
+            n[lang] += 1
+            seen.setdefault(lang, Counter()).update(plain_grams(t, 1 << 15))
+    logs = {g: (sum(c.values()) + 0.5 * (1 << 15), c) for g, c in seen.items()}
+    got = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        assert got[i].held_out == held[i]
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        own = Counter(plain_grams(t, 1 << 15))
+        sums = {g: math.log(n[g] / sum(n.values())) + sum(k * math.log((c[x] + 0.5) / total) for x, k in own.items()) for g, (total, c) in logs.items()}
+        best = max(sorted(sums), key=sums.get)
+        assert got[i].lang_pred == best
+        assert got[i].score == pytest.approx(1 / sum(math.exp(min(0, v - sums[best])) for v in sums.values()), rel=1e-2)
