@@ -58,7 +58,7 @@ _BIGRAMS = r"""(select list_distinct(list_transform(range(1, len(w)), lambda i:
 
 
 def _templates() -> str:
-    return ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
+    return ", ".join("('{}', '{}')".format(n, t.replace("'", "''").replace("\n", " ")) for n, t in TEMPLATES.items())
 
 
 OP8 = rf"""
@@ -73,7 +73,7 @@ unit as (
   select doc_id, 2, 'line', generate_subscripts(p, 1) - 1, unnest(p)
   from (select doc_id, string_split(text, chr(10)) p from documents) where len(p) > 1
 ),
-ub as (select doc_id, r, unit, i, b from (select doc_id, r, unit, i, {_BIGRAMS.format("t")} b from unit) where len(b) between 1 and 200),
+ub as (select doc_id, r, unit, i, b from (select doc_id, r, unit, i, {_BIGRAMS.format("t")} b from unit) where len(b) between 1 and 1000),
 found as (
   select doc_id, r, unit, i, name, 2.0::double * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) dice
   from ub, tb where len(ub.b) <= 1.5 * len(tb.b) and len(tb.b) <= 1.5 * len(ub.b)

@@ -33,3 +33,23 @@ def test_runs_of_paragraphs(spark):
     assert ("gpl-3.0-notice", "2 paragraphs", 1) in got[1]
     assert ("apache-2.0-notice", "3 paragraphs", 2) in got[2]
     assert not got[3] and not got[4] and not got[5]
+
+
+def test_whole_licences_in_files(spark, tmp_path):
+    from noticeweave.llm.licenses import TEMPLATES, read_templates
+
+    other = "Some words that say nothing of the matter. " * 30
+    rows = []
+    for i, name in enumerate(n for n in sorted(TEMPLATES) if n.endswith("-text")):
+        lines = "\n\n".join("\n".join(p[k : k + 70] for k in range(0, len(p), 70)) for p in TEMPLATES[name].split("\n\n"))
+        rows += [(2 * i, f"Some Licence\n\nCopyright (c) 2024, A. Author\n\n{TEMPLATES[name]}\n"), (2 * i + 1, f"{other}\n\n{TEMPLATES[name].upper()}\n\n{other}")]
+        assert len(lines) > 300
+    names = sorted(n for n in TEMPLATES if n.endswith("-text"))
+    got = {r.doc_id: {m.template for m in r.licenses} for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(names):
+        assert name in got[2 * i] and name in got[2 * i + 1]
+    (tmp_path / "own.txt").write_text("You may use this file\n\nas you like it, but not sell it to others who may not.")
+    own = read_templates(spark, str(tmp_path))
+    assert list(own) == ["own"]
+    found = scan_licenses(spark.createDataFrame([(1, f"x\n\n{own['own']}\n\ny")], "doc_id long, text string"), own).collect()
+    assert [(m.template, m.unit) for m in found[0].licenses][-1] == ("own", "2 paragraphs")
