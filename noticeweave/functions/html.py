@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -87,7 +87,7 @@ def resolve(base: str, href: str) -> str:
 
 
 def canonical(url: str | None) -> str:
-    """One form of an address: lower-case IDNA host, no default port, no tracking, sorted parameters, fragments only as routes."""
+    """One form of an address: lower-case IDNA host, no default port, no tracking, parameters decoded, sorted and encoded anew, fragments only as routes."""
     try:
         parts = urlsplit((url or "").strip())
         port = parts.port
@@ -97,10 +97,11 @@ def canonical(url: str | None) -> str:
     if parts.scheme.lower() not in ("http", "https") or not name or parts.username or parts.password:
         return ""
     standard = {"http": 80, "https": 443}[parts.scheme.lower()]
-    query = sorted(p for p in parts.query.split("&") if p and not p.split("=")[0].startswith("utm_") and p.split("=")[0] not in ("fbclid", "gclid"))
+    pairs = parse_qsl(parts.query, keep_blank_values=True)
+    query = urlencode(sorted((k, v) for k, v in pairs if not k.lower().startswith("utm_") and k.lower() not in ("fbclid", "gclid")))
     shown = f"[{name}]" if ":" in name else name
     route = parts.fragment if parts.fragment.startswith(("/", "!/")) else ""
-    return urlunsplit((parts.scheme.lower(), shown if port in (None, standard) else f"{shown}:{port}", parts.path or "/", "&".join(query), route))
+    return urlunsplit((parts.scheme.lower(), shown if port in (None, standard) else f"{shown}:{port}", parts.path or "/", query, route))
 
 
 @F.pandas_udf(_TEXT)

@@ -51,3 +51,64 @@ def claim_order() -> list[Column]:
     """Tasks as they are claimed: urgent kinds, few claims, long waits."""
     urgent = F.when(F.col("state").isin("error", "purchase"), 0).when(F.col("state") == "click", 1).otherwise(2)
     return [urgent, F.col("queued_at"), F.col("id")]
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in order: an ordered dedup."""
+    return best(rows, keys, order).drop("place")
+
+
+def search_page(rows: DataFrame, number: int, size: int = 50, tie: str = "id") -> DataFrame:
+    """A page of all found notices, newest first, undated last, as a bounded top-k."""
+    order = [F.desc_nulls_last("published_at"), F.desc("created_at"), F.col(tie)]
+    return rows.orderBy(*order).offset(size * (number - 1)).limit(size)
+
+
+def suggestions(rows: DataFrame, most: int = 8, tie: str = "id") -> DataFrame:
+    """The first most rows and, by one row more, whether there are others."""
+    order = [F.desc_nulls_last("published_at"), F.desc("created_at"), F.col(tie)]
+    some = rows.orderBy(*order).limit(most + 1)
+    placed = some.withColumn("place", F.row_number().over(W.orderBy(*order)))
+    return placed.withColumn("has_more", F.max("place").over(W.partitionBy()) > most).where(F.col("place") <= most)
+
+
+def clamped_page(rows: DataFrame, order: list[Column], number: int, size: int = 30) -> DataFrame:
+    """A page with its number held within those that there are."""
+    total = rows.count()
+    last = max(1, -(-total // size))
+    return rows.orderBy(*order).offset(size * (min(max(1, number), last) - 1)).limit(size)
+
+
+def best_profile(profiles: DataFrame, key: str) -> DataFrame:
+    """Of each page's profiles the one with most valid items, then the most specific, then the first. profiles: key, nth, valid, specificity."""
+    return profiles.groupBy(key).agg(F.max(F.struct("valid", "specificity", (-F.col("nth")).alias("first"))).alias("p")).select(key, "p.valid", "p.specificity", (-F.col("p.first")).alias("nth"))
+
+
+def candidate_order(candidates: DataFrame, key: str) -> DataFrame:
+    """place of each candidate: by prior, greatest score, and the order in which they came; none is dropped. candidates: key, nth, prior, score."""
+    return candidates.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("prior", F.desc("score"), "nth")))
+
+
+def route_priority(kind: Column, value: Column) -> Column:
+    """The rank of a link's kind, made better by one for a valuable one and worse by one for a poor one."""
+    rank = F.when(kind == "channel", 1).when(kind == "unit", 2).when(kind == "directory", 3).when(kind == "navigation", 5).otherwise(8)
+    return rank + F.when(value == "high", -1).when(value == "low", 1).otherwise(0)
+
+
+def sampled_articles(records: DataFrame, key: str, address: str, attempts: int, target: int) -> DataFrame:
+    """Each list's articles to read: different addresses in order, at most attempts, up to the one that makes target good ones. records: key, nth, address, good."""
+    once = best(records, [key, address], [F.col("nth")]).drop("place")
+    tried = once.withColumn("try", F.row_number().over(W.partitionBy(key).orderBy("nth"))).where(F.col("try") <= attempts)
+    before = F.coalesce(F.sum(F.col("good").cast("int")).over(W.partitionBy(key).orderBy("try").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return tried.withColumn("before", before).where(F.col("before") < target).drop("before")
+
+
+def notice_links(links: DataFrame, key: str, words: dict[str, int], most: int = 10) -> DataFrame:
+    """Each page's links that most likely lead to lists of notices: points for words, 3 for an index address, less a tenth for each character."""
+    points = F.lit(0)
+    for word, n in words.items():
+        points = points + F.when(F.contains(F.lower("label"), F.lit(word)), n).otherwise(0)
+    score = 10 * points + F.when(F.col("href").rlike(r"(index|list)[^/]*\.s?html?$|/$"), 30).otherwise(0) - F.char_length("label")
+    scored = links.withColumn("score", score).where(points > 0)
+    once = best(scored, [key, "href"], [F.desc("score"), F.col("node")]).drop("place")
+    return best(once, [key], [F.desc("score"), F.col("node")], most)

@@ -6,8 +6,10 @@ import datetime as dt
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Terms and characters of a query that count.
 MOST_TERMS, MOST_CHARS = 10, 200
@@ -116,3 +118,149 @@ def inbox(
 
 def excerpt(column: str, chars: int = 150) -> Column:
     return F.substring(column, 1, chars)
+
+
+def expanded_subscriptions(subscriptions: DataFrame, departments: DataFrame, directory: DataFrame) -> DataFrame:
+    """user_id, department_id of each subscription (user_id, school_id, department_ids): null is all of the school, an empty list nothing, and
+    others are with all that the directory (parent, child) has below them.
+    """
+    from noticeweave.operators.graphs import descendants
+
+    owned = departments.select(F.col("id").alias("department_id"), "school_id")
+    whole = subscriptions.where("department_ids is null").join(owned, "school_id").select("user_id", "department_id")
+    chosen = subscriptions.select("user_id", "school_id", F.explode("department_ids").alias("department_id"))
+    # closures are of departments, not of readers: each is expanded once
+    starts = chosen.select("department_id").distinct().join(directory.select(F.col("parent").alias("department_id")), "department_id", "left_semi")
+    below = reachable_pairs(directory, starts.select(F.col("department_id").alias("node")))
+    more = chosen.join(below.withColumnRenamed("root", "department_id"), "department_id").select("user_id", "school_id", F.col("node").alias("department_id"))
+    named = chosen.select("user_id", "school_id", "department_id").unionByName(more).join(owned, ["department_id", "school_id"], "left_semi")
+    return whole.unionByName(named.select("user_id", "department_id")).distinct()
+
+
+def reachable_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node: all nodes below each root, by joins that end at a fixpoint."""
+    from noticeweave.operators.graphs import _kept
+
+    pairs = _kept(roots.select(F.col("node").alias("root"), "node").distinct())
+    seen = None
+    while not pairs.isEmpty():
+        step = pairs.join(edges.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node")).where("root <> node").distinct()
+        pairs = _kept(step if seen is None else step.join(seen, ["root", "node"], "left_anti"))
+        seen = pairs if seen is None else _kept(seen.unionByName(pairs))
+    return pairs if seen is None else seen
+
+
+def normalised(args: dict[str, str]) -> dict[str, str]:
+    """Arguments of an inbox with defaults: mailbox inbox, saved or trash; period week, all or archive (the inbox: week, others: all)."""
+    args = dict(args)
+    view = args.pop("view", "inbox")
+    if view == "archived" or (view == "focus" and args.get("mailbox") == "archived"):
+        args.pop("mailbox", None)
+        args.setdefault("period", "all")
+        view = "inbox" if view == "archived" else view
+    mailbox = args.get("mailbox", "inbox") if view == "focus" else view
+    args["mailbox"] = mailbox if mailbox in ("inbox", "saved", "trash") else "inbox"
+    period = args.get("period", "week" if args["mailbox"] == "inbox" else "all")
+    args["period"] = period if period in ("week", "all", "archive") else "week"
+    return args
+
+
+def in_period(args: dict[str, str], as_of: dt.datetime) -> Column:
+    year, month = (int(args[k]) if args.get(k, "").isdigit() else 0 for k in ("year", "month"))
+    if args["period"] == "week" or (args["period"] == "archive" and not year):
+        return in_last_week(as_of)
+    if args["period"] == "archive":
+        return in_month(year, month if 1 <= month <= 12 else None)
+    return F.lit(True)
+
+
+def filtered_inbox(
+    args: dict[str, str], as_of: dt.datetime, notices: DataFrame, members: DataFrame, departments: DataFrame, schools: DataFrame, pairs: DataFrame, states: DataFrame,
+    reads: DataFrame, *, chosen: list[int] | None = None, text_columns: tuple[str, ...] = ("title",),
+) -> DataFrame:
+    """user_id and the columns of notices that readers see with args (mailbox, school, group, period, year, month, q, read) and chosen departments.
+
+    pairs (user_id, notice_id) are the readers' subscriptions; saved and trashed notices stay visible without one and in disabled schools.
+    """
+    args = normalised(args)
+    saved = args["mailbox"] != "inbox"
+    if args["mailbox"] == "saved":
+        mine = states.where("starred").select("user_id", "notice_id").distinct()
+    elif args["mailbox"] == "trash":
+        mine = trash(states, as_of)
+    else:
+        mine = pairs
+    place = allowed_departments(departments, schools, include_disabled=saved)
+    narrowed = args.get("school") or args.get("group") or chosen is not None
+    if args.get("school"):
+        place = place.where(F.col("school_id") == int(args["school"]))
+    if args.get("group"):
+        place = place.where(group_is(args["group"]))
+    if chosen is not None:
+        place = place.where(F.col("id").isin(*chosen)) if chosen else place.where(F.lit(False))
+    found = notices.where(in_period(args, as_of))
+    if args.get("q", "").strip():
+        found = found.where(has_terms(args["q"].strip(), list(text_columns)))
+    if narrowed or not saved:
+        found = in_departments(found, members, place)
+    rows = mine.join(found.withColumnRenamed("id", "notice_id"), "notice_id")
+    if args.get("read") in ("read", "unread"):
+        rows = rows.join(reads.select("user_id", "notice_id"), ["user_id", "notice_id"], "left_semi" if args["read"] == "read" else "left_anti")
+    return rows
+
+
+def title_has(query: str, column: str = "title") -> Column:
+    return F.contains(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(query.strip().lower()))
+
+
+def in_directory(schools: DataFrame, query: str = "", province: int | None = None) -> DataFrame:
+    """Schools whose name without signs, or address, has the query, in a province."""
+    from noticeweave.functions.scalars import bare
+
+    rows = schools if province is None else schools.where(F.col("province") == province)
+    q = query.strip().lower()
+    return rows.where(F.contains(F.lower(bare(F.col("name"))), F.lower(bare(F.lit(q)))) | F.contains(F.lower("url"), F.lit(q))) if q else rows
+
+
+def channels_with(channels: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """Channels that have all terms in their breadcrumb or address, compatible forms (full width, ligatures) and case aside."""
+    import unicodedata
+
+    wanted = unicodedata.normalize("NFKC", query).casefold().split()
+    hay = folded(F.concat_ws(" ", *columns))
+    return channels.where(reduce(and_, (F.contains(hay, F.lit(t)) for t in wanted), F.lit(True)))
+
+
+@F.pandas_udf(T.StringType())
+def _fold(values: pd.Series) -> pd.Series:
+    return values.str.normalize("NFKC").str.casefold()
+
+
+def folded(text: Column) -> Column:
+    """NFKC and case folding, in Arrow batches."""
+    return _fold(text)
+
+
+def active_sources(departments: DataFrame, lifecycle: DataFrame) -> DataFrame:
+    """Departments whose newest lifecycle event isn't one of retirement. lifecycle: department_id, at, state."""
+    last = lifecycle.groupBy("department_id").agg(F.max_by("state", "at").alias("state")).where("state in ('retired', 'merged')")
+    return departments.join(last.select(F.col("department_id").alias("id")), "id", "left_anti")
+
+
+def active_schools(schools: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Enabled schools with a subscriber."""
+    return schools.where("enabled").join(subscriptions.select(F.col("school_id").alias("id")), "id", "left_semi")
+
+
+def collected_sources(departments: DataFrame, directory: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Departments to collect from: they have a list's address, aren't units or groups, aren't parents in the directory, and are wanted (department_id)."""
+    rows = departments.where((F.coalesce("list_url", F.lit("")) != "") & ~F.col("kind").isin("unit", "group"))
+    rows = rows.join(directory.select(F.col("parent").alias("id")), "id", "left_anti")
+    return rows if wanted is None else rows.join(wanted.select(F.col("department_id").alias("id")), "id", "left_semi")
+
+
+def graph_scope(pages: DataFrame, school_host: str) -> DataFrame:
+    """pages (url, host, kind, state) with omitted: '' for those that a graph shows, else why not."""
+    local = (F.col("host") == school_host) | F.endswith("host", F.lit("." + school_host))
+    reason = F.when(~local, "outside").when(F.col("state") == "failed", "unread").when(F.col("kind").isin("article", "document"), "content").otherwise("")
+    return pages.withColumn("omitted", reason)

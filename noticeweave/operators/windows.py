@@ -66,3 +66,44 @@ def levels(days: DataFrame, value: str) -> DataFrame:
     """0 to 4 by quarters of the greatest value."""
     most = days.agg(F.max(value).alias("most"))
     return days.join(F.broadcast(most)).withColumn("level", F.when(F.col("most") > 0, F.ceil(F.col(value) * 4 / F.col("most"))).otherwise(0).cast("long")).drop("most")
+
+
+def prefix_sums(rows: DataFrame, order: list[Column], size: str) -> DataFrame:
+    """rows with before (the sum of size over all rows that come earlier) and total, over the whole table.
+
+    Rows are dealt by range; sums within a partition and over earlier partitions (a row for each) add up, so that no task has all rows.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    sums = dealt.groupBy("__part").agg(F.sum(size).alias("__sum"))
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"), F.sum("__sum").over(W.partitionBy()).alias("total"))
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(bases), "__part").withColumn("before", F.col("__base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("__part", "__base")
+
+
+def evictions_of_all(cache: DataFrame, order: list[Column], size: str, limit: int, stale: Column) -> DataFrame:
+    """Entries of one cache to evict, least recently used first: stale ones, and those for which more than limit bytes are left. 0: no limit."""
+    summed = prefix_sums(cache, order, size)
+    return summed.where(stale | (F.col("total") - F.col("before") > limit) & F.lit(limit > 0)).drop("before", "total")
+
+
+def trimmed(cache: DataFrame, order: list[Column], size: str, limit: int, stale: Column) -> DataFrame:
+    """Snapshots to delete: stale ones, and, if all are over limit, the oldest until three quarters of it are left."""
+    summed = prefix_sums(cache, order, size)
+    return summed.where(stale | (F.col("total") > limit) & (4 * (F.col("total") - F.col("before")) > 3 * limit)).drop("before", "total")
+
+
+def newest_versions(rows: DataFrame, key: str, order: list[Column], keep: int = 2, grace: Column | None = None) -> DataFrame:
+    """Generations to delete: not among a key's newest, and not in their time of grace."""
+    old = F.row_number().over(W.partitionBy(key).orderBy(*order)) > keep
+    return rows.withColumn("__old", old).where(F.col("__old") & ~F.coalesce(F.lit(False) if grace is None else grace, F.lit(False))).drop("__old")
+
+
+def trend(days: DataFrame, last: dt.date, n: int) -> DataFrame:
+    """The last n days with level: 0 to 4 by quarters of their greatest value."""
+    return levels(days.where(F.col("day") > F.date_sub(F.lit(last), n)), "tokens")
+
+
+def two_old_pages(pages: DataFrame, key: str, order: str, old: Column) -> DataFrame:
+    """Pages up to and with the second of two in a row on which all is old."""
+    return until_streak(pages, key, order, old, 2)

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by family."""
 
-from noticeweave.plans import analytics, inbox, texts
+from noticeweave.plans import analytics, days, inbox, ledgers, links, markup, scopes, texts
 from noticeweave.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "inbox", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "days", "inbox", "ledgers", "links", "markup", "scopes", "texts"]

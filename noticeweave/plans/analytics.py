@@ -81,17 +81,6 @@ def storage_usage(d: Domain) -> DataFrame:
     return aggregates.storage_usage(d.notices, d.states.where("starred").select("notice_id").distinct())
 
 
-@query(
-    _CALLS + """ select model, page % 1 purpose, grouping(model) * 2 + grouping(page % 1) level, count(*)::bigint calls, count(*) filter (coalesce(tokens, null) is null)::bigint unknown,
-  coalesce(sum(tokens), 0)::bigint tokens, (sum(case when hit between 0 and input_tokens then hit end) * 1000 // sum(case when hit between 0 and input_tokens then input_tokens end))::bigint cache_hits
-  from calls group by cube (model, page % 1)""",
-    domain=False,
-)
-def usage_dashboard(d: Domain) -> DataFrame:
-    calls = _calls(d).select("model", (F.col("page") % 1).alias("purpose"), F.col("tokens").alias("total_tokens"), "input_tokens", F.lit(None).cast("long").alias("output_tokens"), F.col("hit").alias("cache_hit_tokens"))
-    return aggregates.usage_rollup(aggregates.usage_row(calls)).withColumn("level", F.col("level").cast("long"))
-
-
 @query(
     _CALLS + """ select day::date as day, coalesce(tokens, 0)::bigint tokens from (select unnest(generate_series(date '2024-01-31' - 364, date '2024-01-31', interval 1 day))::date as day)
   left join (select (at_ + interval 480 minute)::date as day, sum(tokens) tokens from calls group by 1) using (day)""",
@@ -117,9 +106,9 @@ def state_counts(d: Domain) -> DataFrame:
     return aggregates.state_counts(d.tasks, "school_id", "state", ["view", "error"])
 
 
-@query("select l_suppkey from lineitem group by 1 having bool_and(l_quantity >= 2)", domain=False)
+@query("select l_suppkey from lineitem group by 1 having bool_and(l_quantity < 50 or l_discount < 0.1)", domain=False)
 def article_only_targets(d: Domain) -> DataFrame:
-    return aggregates.all_edges(d.table("lineitem"), "l_suppkey", F.col("l_quantity") >= 2)
+    return aggregates.all_edges(d.table("lineitem"), "l_suppkey", (F.col("l_quantity") < 50) | (F.col("l_discount") < 0.1))
 
 
 @query(" select school_id, max(queued_at) queued_at from tasks group by 1")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gzip
+import zlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,3 +43,74 @@ def faults(rows: DataFrame, key: str, references: dict[str, tuple[DataFrame, str
         lost = rows.where(F.col(column).isNotNull()).join(table.select(F.col(other).alias(column)), column, "left_anti")
         found = found.unionByName(lost.agg(F.lit(f"{column} leads nowhere").alias("fault"), F.count(F.lit(1)).alias("n")))
     return found
+
+
+def read_evidence(spark: SparkSession, path: str, sites: list[str] | None = None) -> DataFrame:
+    """Evidence by site: a folder for each site_key, of which only the wanted ones are listed and read."""
+    rows = spark.read.parquet(path)
+    return rows if sites is None else rows.where(F.col("site_key").isin(*sites))
+
+
+def write_evidence(rows: DataFrame, path: str) -> None:
+    rows.repartition("site_key").write.mode("overwrite").partitionBy("site_key").parquet(path)
+
+
+def _unzip(data: bytes | None) -> str | None:
+    try:
+        return None if data is None else gzip.decompress(bytes(data)).decode("utf-8", "replace")
+    except (OSError, EOFError, zlib.error):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def _unzipped(values: pd.Series) -> pd.Series:
+    return values.map(_unzip)
+
+
+def unzipped(packed: Column) -> Column:
+    """Texts from gzip bytes, in Arrow batches; null for null and for what is no gzip."""
+    return _unzipped(packed)
+
+
+def snapshot_bodies(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """wanted (site_key, url, hash) with the body of that very content, or null. Bodies are read for wanted ones only."""
+    keys = ["site_key", "url", "hash"]
+    return wanted.join(snapshots.select(*keys, "payload"), keys, "left").withColumn("body", unzipped(F.col("payload"))).drop("payload")
+
+
+def unpacked_report(catalog: DataFrame, payload: str, schema: str) -> DataFrame:
+    """The rows of a published catalog's gzip JSON."""
+    return catalog.withColumn("report", F.from_json(unzipped(F.col(payload)), schema)).select(*(c for c in catalog.columns if c != payload), "report.*")
+
+
+def tolerant_union(tables: list[DataFrame], columns: dict[str, str]) -> DataFrame:
+    """Rows of tables of several ages, with columns (name to type): missing ones are null, unknown ones are left out."""
+    shaped = [t.select(*(F.col(c).try_cast(k).alias(c) if c in t.columns else F.lit(None).cast(k).alias(c) for c, k in columns.items())) for t in tables]
+    out = shaped[0]
+    for t in shaped[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def valid_import(rows: DataFrame, key: str, most: int, types: dict[str, str]) -> DataFrame:
+    """fault and n of an import's rows: values that don't fit their type, and more than most rows."""
+    parts = [rows.agg(F.lit("too many rows").alias("fault"), F.greatest(F.lit(0), F.count(F.lit(1)) - most).alias("n"))]
+    parts += [rows.agg(F.lit(f"{c} is no {k}").alias("fault"), F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(k).isNull()).alias("n")) for c, k in types.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("n > 0")
+
+
+def profiles(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rules as rows, from lines of JSON; nth is their order within a file."""
+    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.where("_bad is null").drop("_bad")
+
+
+def attachments(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, sha256 and whole (a PDF from its head to its end mark) of attachments; only ends of files are looked at."""
+    files = spark.read.format("binaryFile").load(path)
+    head, tail = F.substring("content", 1, 5), F.substring("content", F.greatest(F.lit(1), F.length("content") - 1023), 1024)
+    whole = (head == F.encode(F.lit("%PDF-"), "UTF-8")) & F.contains(F.decode(tail, "ISO-8859-1"), F.lit("%%EOF"))
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"), whole.alias("whole"))
