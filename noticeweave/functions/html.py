@@ -75,11 +75,20 @@ def parse(html: str | None) -> _Page:
 
 
 def resolve(base: str, href: str) -> str:
-    """An absolute address, or '' for what isn't a page."""
+    """An absolute address, or '' for what isn't a page. http:host/path of the base's host under the other scheme is absolute, as browsers read it."""
     href = href.strip()
-    if not href or href.startswith("#") or href.lower().startswith(("javascript:", "mailto:", "tel:", "data:")):
+    if not href or href.lower().startswith(("javascript:", "mailto:", "tel:", "data:")) or (href.startswith("#") and not href.startswith(("#/", "#!/"))):
         return ""
     try:
+        link, own = urlsplit(href), urlsplit(base)
+        scheme = link.scheme.lower()
+        if scheme in ("http", "https") and not link.netloc and scheme != own.scheme.lower():
+            rest = href.split(":", 1)[1]
+            bare = urlsplit(f"{scheme}://{rest.removeprefix('/')}")
+            odd = rest.startswith("//") or "\\" in href or any(c.isspace() or c < " " for c in href)
+            if odd or not own.hostname or bare.hostname != own.hostname or bare.username or bare.port not in (None, {"http": 80, "https": 443}[scheme]):
+                return ""
+            return urlunsplit(bare)
         found = urljoin(base, href)
     except ValueError:
         return ""

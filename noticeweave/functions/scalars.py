@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import html
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that only track.
 TRACKING = ("fbclid", "gclid")
@@ -363,3 +365,111 @@ def backoff(failures: Column, steps: tuple[int, ...] = (60, 300, 1800, 7200)) ->
 
 def local_day(at: Column, offset_minutes: int) -> Column:
     return F.to_date(at + F.make_dt_interval(mins=F.lit(offset_minutes)))
+
+
+def name_without(name: Column, endings: tuple[str, ...]) -> Column:
+    """A name in one form: cleaned, without what stands in brackets at its end and without common endings."""
+    plain = F.regexp_replace(clean(name), r"\s*[(（\[【][^)）\]】]*[)）\]】]$", "")
+    for e in endings:
+        plain = F.when(F.endswith(plain, F.lit(e)) & (F.char_length(plain) > len(e)), F.trim(F.substring(plain, 1, F.char_length(plain) - len(e)))).otherwise(plain)
+    return plain
+
+
+def column_label(label: Column) -> Column:
+    """A list's label without signs around it and words for more."""
+    return F.regexp_replace(F.regexp_replace(clean(label), r"(?i)\s*(more|更多)\s*(>>|»|>)?$", ""), r"^[\s·•|>»:：]+|[\s·•|>»:：]+$", "")
+
+
+def source_label(unit: Column, label: Column) -> Column:
+    """How a source is shown: its unit and its label, the label alone if it begins with the unit or there is none."""
+    u, c = F.coalesce(clean(unit), F.lit("")), F.coalesce(column_label(label), F.lit(""))
+    return F.when((u == "") | F.startswith(c, u), c).when(c == "", u).otherwise(F.concat(u, F.lit(" · "), c))
+
+
+def plain_title(title: Column) -> Column:
+    """A title without a date at its beginning or end, marks of new ones and dots of shortened ones."""
+    t = F.regexp_replace(clean(title), r"(?i)^\[?(new|置顶|热)\]?\s+", "")
+    t = F.regexp_replace(t, r"^\s*[\[(（]?20\d{2}[-./年]\d{1,2}[-./月]\d{1,2}日?[\])）]?\s*|\s*[\[(（]?20\d{2}[-./年]\d{1,2}[-./月]\d{1,2}日?[\])）]?\s*$", "")
+    return F.trim(F.regexp_replace(t, r"(\.{3}|…)+$", ""))
+
+
+def provenance(line: Column) -> Column:
+    """The different sources that a line of fields names, in order: what follows source, from or 来源 up to the next field."""
+    found = F.regexp_extract_all(line, F.lit(r"(?i)(?:来源|source|from)\s*[:：]\s*(.*?)\s*(?=(?:来源|作者|编辑|时间|浏览|source|author|editor|date|views)\s*[:：]|$)"), 1)
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
+
+
+def in_json_array(array: Column, value: Column) -> Column:
+    """Whether a JSON array of strings has a value, exactly."""
+    return F.coalesce(F.array_contains(F.from_json(array, "array<string>"), value), F.lit(False))
+
+
+def json_hashes(value: Column) -> Column:
+    """All 64-digit hashes anywhere in a JSON text, each once."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(value, F.lit('(?<![0-9a-f])([0-9a-f]{64})(?![0-9a-f])'), 1)))
+
+
+def feed_items(feed: Column) -> Column:
+    """The items of a feed's JSON as an array: those of all its lists, or its own samples."""
+    parsed = F.from_json(feed, "lists array<struct<column:string,samples:array<struct<url:string,date:string>>>>, samples array<struct<url:string,date:string>>")
+    inner = F.flatten(F.transform(F.filter(parsed["lists"], lambda x: x["samples"].isNotNull()), lambda x: x["samples"]))
+    return F.coalesce(inner, parsed["samples"], F.array().cast("array<struct<url:string,date:string>>"))
+
+
+def json_faults(text: Column, schema: dict, path: str = "$") -> Column:
+    """An array of what in a JSON text doesn't fit a schema: type, required, properties, enum, minimum, maximum, minLength, maxLength, items' type."""
+    return F.filter(F.array(*_faults(text, schema, path)), lambda f: f.isNotNull()) if _faults(text, schema, path) else F.array().cast("array<string>")
+
+
+# Names of types in schemas and how Spark calls those of a variant.
+_TYPES = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DOUBLE|DECIMAL|FLOAT)", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID"}
+
+
+def _faults(text: Column, schema: dict, path: str) -> list[Column]:
+    whole = F.try_parse_json(text)
+    value = F.try_variant_get(whole, path, "variant")
+    kind = F.schema_of_variant(value)
+    out = []
+    if "type" in schema:
+        wanted = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        fits = kind.rlike("|".join(_TYPES[t] for t in wanted))
+        out.append(F.when(whole.isNull() if path == "$" else F.lit(False), F.lit(f"{path}: no JSON")).when(value.isNotNull() & ~fits, F.lit(f"{path}: no {'/'.join(wanted)}")))
+    if "enum" in schema:
+        out.append(F.when(value.isNotNull() & ~F.try_variant_get(whole, path, "string").isin(*map(str, schema["enum"])), F.lit(f"{path}: not listed")))
+    number = F.when(kind.rlike(_TYPES["number"]), F.try_variant_get(whole, path, "double"))
+    string = F.when(kind.rlike(_TYPES["string"]), F.try_variant_get(whole, path, "string"))
+    for name, bad in (("minimum", lambda n: number < n), ("maximum", lambda n: number > n), ("minLength", lambda n: F.char_length(string) < n), ("maxLength", lambda n: F.char_length(string) > n)):
+        if name in schema:
+            out.append(F.when(bad(schema[name]), F.lit(f"{path}: {name}")))
+    for name in schema.get("required", ()):
+        out.append(F.when(value.isNotNull() & F.try_variant_get(whole, f"{path}.{name}", "variant").isNull(), F.lit(f"{path}.{name}: missing")))
+    for name, inner in schema.get("properties", {}).items():
+        out += _faults(text, inner, f"{path}.{name}")
+    return out
+
+
+def register_priorities(spark: SparkSession, name: str, rules: tuple[tuple[str, int], ...], otherwise: int) -> None:
+    """A SQL function of a label: the number of the first rule that it meets. It is an expression, not a Python function."""
+    cases = " ".join(f"WHEN rlike(label, r'{p}') THEN {n}" for p, n in rules)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(label STRING) RETURNS INT RETURN CASE WHEN label IS NULL THEN {otherwise} {cases} ELSE {otherwise} END")
+
+
+def _byte_pieces(text: str | None, limit: int) -> list[str]:
+    data, out, at = (text or "").encode("utf-8"), [], 0
+    while at < len(data):
+        end = min(len(data), at + limit)
+        while end < len(data) and data[end] & 0xC0 == 0x80:  # not inside a character
+            end -= 1
+        out.append(data[at:end].decode("utf-8"))
+        at = end
+    return out or [""]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pieces_of(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([_byte_pieces(t, int(n)) for t, n in zip(texts, limits, strict=True)], dtype=object)
+
+
+def byte_pieces(text: Column, limit: int = 8192) -> Column:
+    """A text in pieces of up to limit (4 at least) bytes of UTF-8, none of which splits a character; one empty piece for none."""
+    return _pieces_of(text, F.lit(limit))

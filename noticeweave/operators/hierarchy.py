@@ -204,3 +204,26 @@ def configured_below(edges: DataFrame, roots: DataFrame, configured: DataFrame)
     counts = seen.join(configured.select("node"), "node", "left_semi").groupBy("root").agg(F.countDistinct("node").alias("n"))
     n = F.coalesce("n", F.lit(0))
     return roots.select(F.col("node").alias("root")).distinct().join(counts, "root", "left").select("root", n.alias("n"), F.floor(1000 * (3 + F.least(F.lit(7.0), 2 * F.log2(1 + n)))).cast("long").alias("radius"))
+
+
+def facts(relations: DataFrame, evidence: DataFrame, material: DataFrame) -> DataFrame:
+    """key, kind, source, target, proofs and state of each relation: proved by evidence that the material still has, or a gap.
+
+    relations: kind, source, target (any number of times); evidence: kind, source, target, url, locator, hash; material: url, hash. The key is a digest of the three.
+    """
+    names = ["kind", "source", "target"]
+    now = evidence.join(material.select("url", "hash"), ["url", "hash"], "left_semi").groupBy(*names).agg(F.array_sort(F.collect_set(F.struct("url", "locator"))).alias("proofs"))
+    once = relations.select(*names).distinct().join(now, names, "left")
+    key = F.substring(F.sha2(F.to_json(F.struct(*names)), 256), 1, 24)
+    return once.select(key.alias("key"), *names, F.coalesce(F.size("proofs"), F.lit(0)).alias("proofs"), F.when(F.col("proofs").isNull(), "gap").otherwise("proved").alias("state"))
+
+
+def candidates(feeds: DataFrame, owners: DataFrame) -> DataFrame:
+    """url, page and group of what fetched pages list: the group only where exactly one owner claims the page. feeds: page, url; owners: page, group."""
+    return feeds.distinct().join(only_owner(owners, "page", "group"), "page", "left").select("url", "page", "group")
+
+
+def forest(edges: DataFrame, depths: DataFrame) -> DataFrame:
+    """child, parent: of each page's parents that are less deep the least, so that no cycle is left; degrees are graphs.degrees."""
+    a, b = depths.select(F.col("url").alias("parent"), F.col("depth").alias("d1")), depths.select(F.col("url").alias("child"), F.col("depth").alias("d2"))
+    return edges.join(a, "parent").join(b, "child").where("d1 < d2").groupBy("child").agg(F.min("parent").alias("parent"))

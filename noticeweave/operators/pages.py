@@ -270,3 +270,77 @@ def content_class(texts: DataFrame, status: Column, words: Column) -> Column:
         F.when(status.isNull(), "network_error").when(status.isin(401, 403), "denied").when(status == 429, "denied").when(status >= 500, "network_error").when(status >= 400, "empty")
         .when(words == 0, "requires_render").when(words < 5, "empty").otherwise("usable")
     )
+
+
+def _inside(rows: DataFrame, key: str, items: DataFrame, selector: str) -> DataFrame:
+    """item and the first element in it that a selector names."""
+    around = items.select(F.col(key).alias("i_key"), F.col("node").alias("item"), F.col("last").alias("i_last"))
+    found = select_nodes(rows, key, selector).join(around, (F.col(key) == F.col("i_key")) & (F.col("node") >= F.col("item")) & (F.col("node") <= F.col("i_last")))
+    return found.groupBy(key, "item").agg(F.min_by(F.struct("text", "href"), "node").alias("found"))
+
+
+def extracted_columns(rows: DataFrame, key: str, config: dict[str, str]) -> DataFrame:
+    """Each item of a configured list (list, title, link, date selectors): nth, title, href, date and fault: no title, no link, no date or repeated link."""
+    found = select_nodes(rows, key, config["list"])
+    items = found.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy("node")))
+    out = items.select(key, "node", "nth")
+    for name in ("title", "link", "date"):
+        part = _inside(rows, key, items, config[name]).select(key, F.col("item").alias("node"), F.col("found").alias(name))
+        out = out.join(part, [key, "node"], "left")
+    date = dates.first_date(F.col("date.text"))
+    again = F.count(F.lit(1)).over(W.partitionBy(key, "link.href")) > 1
+    fault = F.when(F.coalesce("title.text", F.lit("")) == "", "no title").when(F.coalesce("link.href", F.lit("")) == "", "no link").when(again, "repeated link").when(date.isNull(), "no date").otherwise("")
+    return out.select(key, "nth", "title.text", "link.href", date.alias("day"), fault.alias("fault"))
+
+
+def observation(columns: DataFrame, key: str, config: dict[str, str]) -> DataFrame:
+    """key and a digest of what a configuration selects on a page: its selectors and the items in order."""
+    items = F.transform(F.sort_array(F.collect_list(F.struct("nth", F.coalesce("text", F.lit("")).alias("t"), F.coalesce("href", F.lit("")).alias("h")))), lambda i: F.concat_ws("\u0000", i["t"], i["h"]))
+    told = "\u0001".join(f"{k}={v}" for k, v in sorted(config.items()))
+    return columns.groupBy(key).agg(F.sha2(F.concat_ws("\u0001", F.lit(told), F.array_join(items, "\u0001")), 256).alias("digest"))
+
+
+def table_cells(rows: DataFrame, key: str) -> DataFrame:
+    """row, header, text and href of each cell below a table's header row: relations of tables are read from these."""
+    cells = rows.where(F.col("tag").isin("td", "th")).select(key, "node", "parent", "place", "last", "tag", "text")
+    lines = rows.where("tag = 'tr'").select(key, F.col("node").alias("row"), F.col("last").alias("row_last"))
+    tables = rows.where("tag = 'table'").select(F.col(key).alias("t_key"), F.col("node").alias("table"), F.col("last").alias("t_last"))
+    placed = lines.join(tables, (F.col(key) == F.col("t_key")) & (F.col("row") > F.col("table")) & (F.col("row") <= F.col("t_last"))).groupBy(key, "row").agg(F.max("table").alias("table"))
+    joined = cells.join(placed.withColumnRenamed("row", "parent"), [key, "parent"])
+    heads = joined.where("tag = 'th'").groupBy(key, "table", "place").agg(F.min_by("text", "node").alias("header"))
+    links = links_of(rows, key, joined.select(key, "node", "last")).groupBy(key, F.col("owner").alias("node")).agg(F.min_by("href", "node").alias("href"))
+    return joined.where("tag = 'td'").join(heads, [key, "table", "place"]).join(links, [key, "node"], "left").select(key, F.col("parent").alias("row"), "header", "text", "href")
+
+
+def header_fields(rows: DataFrame, key: str) -> DataFrame:
+    """name and value of short elements beside the first heading that say name: value, up to the first paragraph."""
+    first = rows.where(F.col("tag").isin("h1", "h2")).groupBy(key).agg(F.min_by(F.struct("node", "parent", "last"), "node").alias("h"))
+    body = rows.where("tag = 'p'").join(first, key).where(F.col("node") > F.col("h.last")).groupBy(key).agg(F.min("node").alias("p"))
+    near = rows.join(first, key).join(body, key, "left").where((F.col("node") > F.col("h.last")) & (F.col("node") < F.coalesce("p", F.lit(1 << 30))) & (F.col("node") == F.col("last")) & (F.char_length("text") <= 160))
+    said = F.regexp_extract(F.col("text"), r"^\s*([^:：]{1,20})\s*[:：]\s*(.+?)\s*$", 1), F.regexp_extract(F.col("text"), r"^\s*([^:：]{1,20})\s*[:：]\s*(.+?)\s*$", 2)
+    return near.select(key, said[0].alias("name"), said[1].alias("value")).where("name <> '' and value <> ''")
+
+
+def publication_lists(rows: DataFrame, key: str, valid: float = 0.6) -> DataFrame:
+    """column, title, href and day of lists below headings: each list's items with links, if valid of them have a title of 8 characters and a date."""
+    heads = rows.where(F.col("tag").isin("h2", "h3", "h4")).select(F.col(key).alias("h_key"), F.col("node").alias("head"), F.col("parent").alias("h_parent"), F.col("text").alias("column"))
+    lists = rows.where(F.col("tag").isin("ul", "ol")).select(key, F.col("node").alias("list"), "parent", F.col("last").alias("l_last"))
+    named = lists.join(heads, (F.col(key) == F.col("h_key")) & (F.col("parent") == F.col("h_parent")) & (F.col("head") < F.col("list"))).groupBy(key, "list").agg(F.max_by("column", "head").alias("column"))
+    items = rows.where("tag = 'li'").withColumnRenamed("parent", "list").join(named, [key, "list"])
+    links = links_of(rows, key, items).groupBy(key, F.col("owner").alias("node")).agg(F.min_by(F.struct("label", "href"), "node").alias("a"))
+    whole = items.join(links, [key, "node"]).select(key, "list", "column", "node", F.col("a.label").alias("title"), "a.href", dates.first_date(F.col("text")).alias("day"))
+    good = (F.char_length("title") >= 8) & F.col("day").isNotNull()
+    share = whole.groupBy(key, "list").agg(F.avg(good.cast("double")).alias("share")).where(F.col("share") >= valid)
+    return whole.join(share.select(key, "list"), [key, "list"], "left_semi").select(key, "column", "title", "href", "day")
+
+
+def structure(rows: DataFrame, key: str) -> DataFrame:
+    """Entries of nested menus: label, href, relation (menu_group with entries below it, else navigation_entry) and parent (the label of the entry around it)."""
+    items = rows.where("tag = 'li'").select(key, "node", "last")
+    links = links_of(rows, key, items).groupBy(key, F.col("owner").alias("item")).agg(F.min_by(F.struct("label", "href", "node"), "node").alias("a"))
+    entries = items.withColumnRenamed("node", "item").join(links, [key, "item"])
+    outer = entries.select(F.col(key).alias("o_key"), F.col("item").alias("o_item"), F.col("last").alias("o_last"), F.col("a.label").alias("o_label"))
+    near = entries.join(outer, (F.col(key) == F.col("o_key")) & (F.col("o_item") < F.col("item")) & (F.col("item") <= F.col("o_last")), "left").groupBy(key, "item").agg(F.max_by("o_label", "o_item").alias("parent"), F.max("o_item").alias("above"))
+    below = near.where("above is not null").select(key, F.col("above").alias("item"), F.lit(True).alias("group")).distinct()
+    joined = entries.join(near.select(key, "item", "parent"), [key, "item"]).join(below, [key, "item"], "left")
+    return joined.select(key, "a.label", "a.href", F.when(F.col("group"), "menu_group").otherwise("navigation_entry").alias("relation"), "parent")

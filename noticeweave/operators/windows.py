@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -107,3 +110,31 @@ def trend(days: DataFrame, last: dt.date, n: int) -> DataFrame:
 def two_old_pages(pages: DataFrame, key: str, order: str, old: Column) -> DataFrame:
     """Pages up to and with the second of two in a row on which all is old."""
     return until_streak(pages, key, order, old, 2)
+
+
+def pruned(evidence: DataFrame, order: list[Column], size: str, limit: int, stale: Column, active: Column) -> DataFrame:
+    """Evidence files to delete, oldest first: stale ones and those for which what may go is still over limit; active ones are never touched."""
+    return evictions_of_all(evidence.where(~active), order, size, limit, stale)
+
+
+def limited(hits: DataFrame, key: str, at: str, most: int, seconds: float) -> DataFrame:
+    """hits with allowed: at most so many in a window that begins with the first hit after the last one ended.
+
+    Keys are dealt and sorted; a task goes through its rows with the state of one key in hand, so that no key is held as a whole.
+    """
+    from noticeweave.streaming.events import count_in_window
+
+    schema = T.StructType([*hits.schema.fields, T.StructField("allowed", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, began, n = None, None, 0
+        for batch in batches:
+            allowed: list[bool] = []
+            for k, rows in batch.groupby(key, sort=False, dropna=False):
+                if now is None or k != now[0]:
+                    now, began, n = (k,), None, 0
+                got, began, n = count_in_window([t.timestamp() for t in rows[at]], began, n, most, seconds)
+                allowed += got
+            yield batch.assign(allowed=allowed)
+
+    return hits.repartition(key).sortWithinPartitions(key, at).mapInPandas(run, schema)

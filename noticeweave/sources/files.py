@@ -72,6 +72,16 @@ def unzipped(packed: Column) -> Column:
     return _unzipped(packed)
 
 
+@F.pandas_udf(T.BinaryType())
+def _zipped(values: pd.Series) -> pd.Series:
+    return values.map(lambda t: None if t is None else gzip.compress(t.encode("utf-8"), mtime=0))
+
+
+def zipped(text: Column) -> Column:
+    """Gzip bytes of texts, equal for equal texts."""
+    return _zipped(text)
+
+
 def snapshot_bodies(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:
     """wanted (site_key, url, hash) with the body of that very content, or null. Bodies are read for wanted ones only."""
     keys = ["site_key", "url", "hash"]

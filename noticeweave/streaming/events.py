@@ -60,3 +60,34 @@ def limit_stream(stream: DataFrame, key: str, at: str, most: int, seconds: int)
 def event_windows(stream: DataFrame, at: str, kind: str, length: str, late: str) -> DataFrame:
     """Counts by window of event time and kind; an extension, with a watermark."""
     return stream.withWatermark(at, late).groupBy(F.window(at, length), kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CURSOR = T.StructType([T.StructField("source", T.LongType()), T.StructField("pages", T.LongType()), T.StructField("known", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("stopped", T.BooleanType())])
+
+
+def advance(pages: int, known: int, streak: int, stopped: bool, items: list[bool], most: int) -> tuple[int, int, int, bool]:
+    """A source's cursor after a page with items (whether each was known before): stops after most known ones in a row."""
+    if stopped:
+        return pages, known, streak, stopped
+    for old in items:
+        known += old
+        streak = streak + 1 if old else 0
+        if streak >= most:
+            return pages + 1, known, streak, True
+    return pages + 1, known, streak, False
+
+
+def cursor_stream(stream: DataFrame, most: int = 3) -> DataFrame:
+    """source, pages, known, streak, stopped after each batch, from rows of source, page, nth, known; the state goes on after a restart."""
+
+    def step(k: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else (0, 0, 0, False)
+        rows = pd.concat(list(batches)).sort_values(["page", "nth"])
+        for _, items in rows.groupby("page", sort=True):
+            now = advance(*now, [bool(x) for x in items["known"]], most)
+        state.update(now)
+        yield pd.DataFrame([(k[0], *now)], columns=_CURSOR.fieldNames())
+
+    held = T.StructType(_CURSOR.fields[1:])
+    rows = stream.select(F.col("source").cast("long").alias("source"), "page", "nth", "known")
+    return rows.groupBy("source").applyInPandasWithState(step, _CURSOR, held, "update", GroupStateTimeout.NoTimeout)
