@@ -43,12 +43,12 @@ def matches(selector: str) -> Column:
 
 def select_nodes(rows: DataFrame, key: str, selector: str) -> DataFrame:
     """Elements that a selector (parts with spaces between: descendants) names, in order."""
-    *outer, inner = selector.split()
-    found = rows.where(matches(inner))
-    for part in reversed(outer):
-        around = rows.where(matches(part)).select(F.col(key).alias("o_key"), F.col("node").alias("o_node"), F.col("last").alias("o_last"))
+    first, *inner = selector.split()
+    found = rows.where(matches(first))
+    for part in inner:
+        around = found.select(F.col(key).alias("o_key"), F.col("node").alias("o_node"), F.col("last").alias("o_last"))
         inside = (F.col(key) == F.col("o_key")) & (F.col("node") > F.col("o_node")) & (F.col("node") <= F.col("o_last"))
-        found = found.join(around, inside, "left_semi")
+        found = rows.where(matches(part)).join(around, inside, "left_semi")
     return found
 
 
@@ -161,9 +161,10 @@ def article_content(rows: DataFrame, key: str, selector: str | None = None) -> D
     if selector:
         for i, s in enumerate(selector.split(",")):
             tries.append(select_nodes(rows, key, s.strip()).select(key, "node", "last", F.lit(i).alias("rank"), F.lit("configured_selector").alias("method")))
-    for i, s in enumerate(ARTICLES):
-        first = rows.where(matches(s)).groupBy(key).agg(F.min_by(F.struct("node", "last", "text"), "node").alias("e"))
-        tries.append(first.where(F.char_length("e.text") >= 100).select(key, "e.node", "e.last", F.lit(100 + i).alias("rank"), F.lit("semantic_match").alias("method")))
+    # the first element of each selector, all in one pass
+    named = rows.select(key, "node", "last", F.char_length("text").alias("chars"), F.explode(F.array_compact(F.array(*(F.when(matches(s), 100 + i) for i, s in enumerate(ARTICLES))))).alias("rank"))
+    first = named.groupBy(key, "rank").agg(F.min(F.struct("node", "last", "chars")).alias("e")).where("e.chars >= 100")
+    tries.append(first.select(key, "e.node", "e.last", "rank", F.lit("semantic_match").alias("method")))
     dense = main_content(rows, key).where("chars >= 200").select(key, "node").join(rows.select(key, "node", "last"), [key, "node"])
     tries.append(dense.select(key, "node", "last", F.lit(200).alias("rank"), F.lit("text_density").alias("method")))
     tries.append(rows.where("tag = 'body'").select(key, "node", "last", F.lit(300).alias("rank"), F.lit("body_fallback").alias("method")))

@@ -119,7 +119,7 @@ def profiles(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, sha256 and whole (a PDF from its head to its end mark) of attachments; only ends of files are looked at."""
+    """path, size, sha256 and whole (a PDF from its head to its end mark) of attachments. Empty files have no row."""
     files = spark.read.format("binaryFile").load(path)
     head, tail = F.substring("content", 1, 5), F.substring("content", F.greatest(F.lit(1), F.length("content") - 1023), 1024)
     whole = (head == F.encode(F.lit("%PDF-"), "UTF-8")) & F.contains(F.decode(tail, "ISO-8859-1"), F.lit("%%EOF"))
