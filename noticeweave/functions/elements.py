@@ -11,7 +11,7 @@ from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,9 +120,12 @@ def page_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def elements(texts: DataFrame, key: str) -> DataFrame:
-    """A row for each element, with its text."""
-    rows = texts.select(key, "text", F.explode("elements").alias("e")).select(key, "text", "e.*")
-    return rows.withColumn("text", F.substring("text", F.col("begin") + 1, F.col("end") - F.col("begin")))
+    """A row for each element, with its text, cut out before the rows are made so that none carries its page."""
+
+    def cut(e: Column) -> Column:
+        return F.struct(*(e[f.name].alias(f.name) for f in ELEMENT.fields), F.substring(F.col("text"), e["begin"] + 1, e["end"] - e["begin"]).alias("text"))
+
+    return texts.select(key, F.explode(F.transform("elements", cut)).alias("e")).select(key, "e.*")
 
 
 # What sanitised pages may have.

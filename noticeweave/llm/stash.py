@@ -30,13 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/noticeweave/{spark.sparkContext.applicationId}"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/noticeweave/{name}-{uuid.uuid4().hex}"
+    """df written to the application's folder and read again. The tables stay until clear(): results are lazy and read them."""
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> bool:
+    """Deletes the application's tables once its results are written; those of other applications stay. True if there were some."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: list[Column]) -> DataFrame:
     """left inner join right on keys, where right (a stashed table) has a row for each key.
 

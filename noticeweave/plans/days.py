@@ -48,7 +48,7 @@ def extracted_dates(d: Domain) -> DataFrame:
 
 
 @query(
-    """select o_orderkey, case when o_orderkey % 4 = 0 then ('20' || strftime(o_orderdate, '%m-%m-%d'))::date end compact, o_orderkey % 3 = 0 editorial,
+    """select o_orderkey, case when o_orderkey % 4 = 0 then try_cast('20' || strftime(o_orderdate, '%m-%m-%d') as date) end compact, o_orderkey % 3 = 0 editorial,
   case o_orderkey % 6 when 0 then 'missing' when 1 then 'non_publication' when 2 then 'ambiguous' when 3 then 'publication' when 4 then 'listing' else 'non_publication' end as "role" from orders""",
     domain=False,
 )

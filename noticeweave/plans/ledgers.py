@@ -387,7 +387,7 @@ def whole_cache_evictions(d: Domain) -> DataFrame:
 
 @query(
     """, c as (select *, sum(content_bytes) over () t, coalesce(sum(content_bytes) over (order by created_at, id rows between unbounded preceding and 1 preceding), 0) b from notices)
-  select id from c where t > 1000000000 and 4 * (t - b) > 3 * 1000000000"""
+  select id from c where t > 1000000000 and 4 * (t - b) > 3000000000"""
 )
 def trimmed_snapshots(d: Domain) -> DataFrame:
     return windows.trimmed(d.notices, [F.col("created_at"), F.col("id")], "content_bytes", 1_000_000_000, F.lit(False)).select("id")
@@ -428,16 +428,17 @@ def link_priorities(d: Domain) -> DataFrame:
 
 
 @query(
-    """with f as (select l_orderkey list, l_partkey % 5 address, min(l_linenumber) nth from lineitem group by 1, 2), t as (select f.*, row_number() over (partition by list order by nth) tr, l_quantity > 25 good from f join lineitem on l_orderkey = list and l_linenumber = nth),
+    """with x as (select l_orderkey list, l_linenumber nth, min(l_partkey) % 5 address, min(l_quantity) > 25 good from lineitem group by 1, 2), f as (select list, address, min(nth) nth from x group by 1, 2), t as (select f.*, row_number() over (partition by list order by nth) tr, good from f join x using (list, nth)),
   b as (select *, coalesce(sum(good::int) over (partition by list order by tr rows between unbounded preceding and 1 preceding), 0) bf from t where tr <= 4) select list, nth from b where bf < 2""",
     domain=False,
 )
 def sampled_articles(d: Domain) -> DataFrame:
-    rows = d.table("lineitem").select(F.col("l_orderkey").alias("list"), F.col("l_linenumber").alias("nth"), (F.col("l_partkey") % 5).alias("address"), (F.col("l_quantity") > 25).alias("good"))
+    lines = d.table("lineitem").groupBy(F.col("l_orderkey").alias("list"), F.col("l_linenumber").alias("nth")).agg(F.min("l_partkey").alias("p"), F.min("l_quantity").alias("q"))
+    rows = lines.select("list", "nth", (F.col("p") % 5).alias("address"), (F.col("q") > 25).alias("good"))
     return ranking.sampled_articles(rows, "list", "address", 4, 2).select("list", "nth")
 
 
-@query(" select school_id, sum(case when id % 3 = 0 then 6000000 when id % 3 = 1 then 3000000 else 2000000 end)::decimal(34,6) / 1000000 demand from tasks group by 1")
+@query(" select school_id, (sum(case when id % 3 = 0 then 6 when id % 3 = 1 then 3 else 2 end))::decimal(34,6) demand from tasks group by 1")
 def demand_scores(d: Domain) -> DataFrame:
     rows = d.tasks.select("school_id", F.lit(6).alias("weight"), (F.col("id") % 3).alias("done"))
     return ranking.demand(rows, "school_id", "weight", "done").withColumn("demand", F.col("demand").cast("decimal(34,6)"))

@@ -13,9 +13,9 @@ from noticeweave.plans.domain import Domain
 from noticeweave.plans.registry import query
 
 # The strings of a page's part, each without outer white space, one after the other.
-_DECODED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_DECODED = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 _PLAIN = "array_to_string(list_transform(string_split(regexp_replace({0}, '<[^>]*>', chr(1), 'g'), chr(1)), lambda s: trim(" + _DECODED.format("s") + ", ' ' || chr(10) || chr(9) || chr(13))), '')"
-_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
 
 
 def _landed(d: Domain) -> DataFrame:
@@ -69,7 +69,7 @@ def page_links(d: Domain) -> DataFrame:
 
 
 @query(
-    f"""with t as (select page_id, {_PLAIN.format("regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<nav>.*</nav>|<footer>.*</footer>', '', 'g')")} x from pages)
+    f"""with t as (select page_id, {_PLAIN.format("regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<nav>.*</nav>|<footer>.*</footer>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')")} x from pages)
   select page_id, sum(length(x))::bigint >= 0 has_text, md5(regexp_replace(x, '\\s', '', 'g')) body_hash from t group by page_id, x""",
     domain=False,
 )

@@ -69,3 +69,43 @@ def test_odd_rows(spark):
             n = out.count()
             assert n <= some.count() and (n > 0 or not some.count())
         docs = out if stage is not corpus_pipeline.tokens else docs
+
+
+def test_odd_rows_by_value(spark):
+    """What each stage keeps of nulls, empty texts, repeated rows and equal ids."""
+    names = "doc_id long, text string, lang string, n_chars long, lang_pred string"
+    rows = [(1, None, "en", 3, "a"), (2, "", "en", 0, "a"), (3, "Hello there", None, 11, None), (3, "Hello there", None, 11, None), (None, "Hi\nyou\nall\nx", "en", 12, "b"), (5, "Hi\nyou\nall\ny", None, None, "c")]
+    docs = spark.createDataFrame(rows, names)
+
+    def ids(stage, some=docs):
+        return sorted((str(r.doc_id), r.text, r.n_chars) for r in stage(spark, some, "/root/testdata/sf0.001").collect())
+
+    assert ids(corpus_pipeline.language_id) == sorted((str(r[0]), r[1], r[3]) for r in rows[2:])
+    only = lambda *a: corpus_pipeline.language_id(*a, languages=("xx",))
+    assert ids(only) == [] and ids(lambda *a: corpus_pipeline.language_id(*a, least=1.1)) == []
+    # a null id comes first in order, so document 5 loses the window
+    assert ids(corpus_pipeline.line_dedup) == sorted([("1", None, 3), ("2", "", 0), ("3", "Hello there", 11), ("3", "Hello there", 11), ("None", "Hi\nyou\nall\nx", 12), ("5", "y", 1)], key=str)
+    kept = ids(corpus_pipeline.near_dedup)
+    assert [k for k in kept if k[0] in "12"] == [("1", None, 3)] and [k for k in kept if k[0] == "3"] == [("3", "Hello there", 11)]
+    assert ids(corpus_pipeline.decontamination) == sorted(((str(r[0]), r[1], r[3]) for r in rows), key=str)
+    out = sorted(((str(r.doc_id), r.n_tokens, len(r.ids), r.round_trip) for r in corpus_pipeline.tokens(spark, docs, "").collect()))
+    assert len(out) == 6 and all(r[3] and r[1] == r[2] for r in out) and [r[1] for r in out if r[0] in "12"] == [0, 0]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_posterior_rejects(spark):
+    """A text of two languages in equal parts is as likely either: only a sure model keeps it."""
+    rows = [(i, "alpha beta gamma", "aa", 1) for i in range(5)] + [(i, "uno dos tres", "bb", 1) for i in range(5, 10)] + [(20, "alpha dos", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    kept = lambda least: {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "", least=least).collect()}
+    assert 20 in kept(0.5) and 20 not in kept(0.999999) and set(range(10)) <= kept(0.9)
+
+
+def test_tables_are_cleared(spark):
+    from noticeweave.llm import stash
+
+    table = stash.stash(spark.range(5), "x")
+    assert table.count() == 5
+    # other tests' tables are in the same application: only the call's answer and the folder's name are looked at
+    assert stash.own_folder(spark).endswith(spark.sparkContext.applicationId)
