@@ -6,7 +6,8 @@ in some order, one segment with none and another with at most two, or else two s
 
 - keys of one segment's bits and a codeword near another segment (up to six codewords for a segment), where
   two segments with at most two errors share a codeword, and
-- keys of two segments' nearest codewords and parities against those of all words one bit away in both.
+- keys of two segments' nearest codewords and parities against those of all words one bit away in both. These have 26 bits. Where there are
+  so many fingerprints that too many would meet on them, the codewords near the third segment (it has at most two errors then) go into the key as well.
 
 Keys join different fingerprints only; each candidate is verified in the join by counting bits, at the first key it can
 have, so that it is emitted about once. Exact copies share a fingerprint and never meet as pairs.
@@ -34,6 +35,8 @@ from noticeweave.llm.stash import lookup, stash
 
 WORDS, ERRORS, SEED = 4, 4, 42
 SEGMENTS = (22, 21, 21)
+#: Keys of two codewords also have the third segment's from so many fingerprints on: the links are the same, fewer others meet.
+WIDE = 1 << 26
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 _SHIFT = (0, 22, 43)
@@ -87,21 +90,25 @@ def _parity(part: np.ndarray) -> np.ndarray:
     return np.bitwise_count(part).astype(np.int64) & 1
 
 
-def _single_keys(prints: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys of the nearest codewords (own), or of those of words one bit away, with the parities that own has."""
+def _single_keys(prints: np.ndarray, own: bool, wide: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of the nearest codewords (own), or of those of words one bit away, with the parities that own has; wide: and codewords near the third segment."""
     parts = _segments(prints)
     for c, (i, j) in enumerate(_SINGLE):
         if own:
-            key = golay.decode(parts[i]) << 12 | golay.decode(parts[j])
-            yield (c << 26) | (_parity(parts[i]) << 25) | (_parity(parts[j]) << 24) | key, prints, np.ones(len(prints), bool)
+            row, key, odd = np.arange(len(prints)), golay.decode(parts[i]) << 12 | golay.decode(parts[j]), (_parity(parts[i]), _parity(parts[j]))
         else:
             first, second = golay.flipped(parts[i], SEGMENTS[i]), golay.flipped(parts[j], SEGMENTS[j])
             row, x, y = np.nonzero((first >= 0)[:, :, None] & (second >= 0)[:, None, :])
-            key = first[row, x] << 12 | second[row, y]
-            yield (c << 26) | (1 - _parity(parts[i])[row] << 25) | (1 - _parity(parts[j])[row] << 24) | key, prints[row], np.ones(len(row), bool)
+            key, odd = first[row, x] << 12 | second[row, y], (1 - _parity(parts[i]), 1 - _parity(parts[j]))
+        key = (c << 26) | (odd[0][row] << 25) | (odd[1][row] << 24) | key
+        if wide:
+            near = golay.near(parts[3 - i - j], SEGMENTS[3 - i - j])
+            at, which = np.nonzero(near[row] >= 0)
+            row, key = row[at], key[at] << 12 | near[row[at], which]
+        yield key, prints[row], np.ones(len(row), bool)
 
 
-def _keyed(prints: DataFrame, kind: str) -> DataFrame:
+def _keyed(prints: DataFrame, kind: str, wide: bool = False) -> DataFrame:
     """key, f (fingerprint), near for each key of each fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +116,15 @@ def _keyed(prints: DataFrame, kind: str) -> DataFrame:
             whole = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(whole), 4096):
                 some = whole[at : at + 4096]
-                made: Iterable = _exact_keys(some) if kind == "exact" else _single_keys(some, kind == "own")
+                made: Iterable = _exact_keys(some) if kind == "exact" else _single_keys(some, kind == "own", wide)
                 for columns in made:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "f", "near"])
 
     return prints.select("f").mapInArrow(run, "key long, f long, near boolean")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """a < b for all pairs of different fingerprints f in prints that differ in up to four bits, some more than once."""
+def links(prints: DataFrame, wide: bool = False) -> DataFrame:
+    """a < b for all pairs of different fingerprints f in prints that differ in up to four bits, some more than once. wide: longer keys, for very many."""
     a, b = F.col("x.f"), F.col("y.f")
     diff = a.bitwiseXOR(b)
     errors = [F.bit_count(diff.bitwiseAND(F.lit(((1 << n) - 1 << s) - (1 << 64 if s + n == 64 else 0)))) for s, n in zip(_SHIFT, SEGMENTS, strict=True)]
@@ -139,8 +146,9 @@ def links(prints: DataFrame) -> DataFrame:
     )
     none = (errors[0] > 0) & (errors[1] > 0) & (errors[2] > 0)
     one = first([(errors[i] == 1) & (errors[j] == 1) for i, j in _SINGLE])
-    more = _keyed(prints, "own").alias("x").join(
-        _keyed(prints, "flipped").alias("y"), (F.col("x.key") == F.col("y.key")) & few & none & (F.shiftright(F.col("x.key"), 26) == one)
+    case_at = 38 if wide else 26
+    more = _keyed(prints, "own", wide).alias("x").join(
+        _keyed(prints, "flipped", wide).alias("y"), (F.col("x.key") == F.col("y.key")) & few & none & (F.shiftright(F.col("x.key"), case_at) == one)
     )
     pair = [a.alias("a"), b.alias("b")]
     return found.select(*pair).unionByName(more.select(*pair))
@@ -152,7 +160,7 @@ def near_groups(prints: DataFrame, more: Callable[[DataFrame], DataFrame] | None
     prints, a stashed table, has f and id. more gives further links of fingerprints for the table of links found here.
     """
     each = stash(prints.groupBy("f").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprints")
-    found = stash(links(each), "links")
+    found = stash(links(each, each.count() >= WIDE), "links")
     roots = components(found if more is None else found.unionByName(more(found)))
     named = stash(
         each.join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", "least", "n", F.coalesce("root", "f").alias("root")), "named"

@@ -54,14 +54,15 @@ def groups(prints: list[int]) -> list[int]:
     return [top(i) for i in range(len(prints))]
 
 
-def test_all_links(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_all_links(spark, wide):
     draw = random.Random(2)
     made = {draw.getrandbits(64) for _ in range(60)}
     for f in list(made):
         for k in (1, 2, 3, 4, 4, 4, 5, 6):
             made.add(f ^ sum(1 << b for b in draw.sample(range(64), k)))
     signed = sorted(np.array(sorted(made), np.uint64).view(np.int64).tolist())
-    got = links(spark.createDataFrame([(f,) for f in signed], "f long")).distinct().collect()
+    got = links(spark.createDataFrame([(f,) for f in signed], "f long"), wide).distinct().collect()
     want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     assert {(r.a, r.b) for r in got} == want and len(want) > 400
 
@@ -84,7 +85,9 @@ def test_groups(spark):
     prints = [slow(t or "") for _, t in data]
     assert [fingerprint(t) & (1 << 64) - 1 for _, t in data] == prints
     df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"f": F.lit(1), "fingerprint": F.lit("x")})
+    named = {r.f: r.component_id for r in near_duplicates(df.select(F.col("doc_id").alias("f"), F.col("text").alias("id")), id_col="f", text_col="id").collect()}
     got = sorted(near_duplicates(df.repartition(3)).collect())
+    assert named == {r.doc_id: r.component_id for r in got}
     want = groups(prints)
     assert [(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got] == [(i, prints[i], want[i]) for i in range(len(data))]
     kept = dedup(df)
