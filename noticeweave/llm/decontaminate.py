@@ -14,7 +14,7 @@ equal results.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeweave.llm.arrow import annotate
+from noticeweave.llm.stash import stash
 
 WINDOW = 13
 #: Item words in one block of tables. A larger benchmark is searched block after block; a block bounds
-#: what the driver and a task hold at once.
+#: what is broadcast, and what the driver and a task hold at once.
 BLOCK_WORDS = 500_000
 #: Windows of a stretch that one lane of the search runs through.
 STRETCH = 4096
@@ -187,6 +188,55 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words:
         yield block
 
 
+def block_hits(found: list[list[bytes]], tables: Tables) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+    """For each text, given as words, the stretches of words (end exclusive) inside occurrences of one block's windows, and the items."""
+    sizes = np.array([len(x) for x in found], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    get = tables.vocabulary.get
+    ids = np.fromiter((get(w, 0) for x in found for w in x), np.int32, int(bounds[-1]))
+    cover = np.zeros(int(bounds[-1]) + 1, np.int64)
+    names: list[set[str]] = [set() for _ in found]
+    for group in tables.groups:
+        begin, owner = search(ids, bounds, group)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + group.rows.shape[1], -1)
+        text = np.searchsorted(bounds, begin, side="right") - 1
+        for t, o in set(zip(text.tolist(), owner.tolist(), strict=True)):
+            names[t].add(tables.items[o])
+    inside = (np.cumsum(cover[:-1]) > 0).astype(np.int8)
+    for i, who in enumerate(names):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], inside[bounds[i] : bounds[i + 1]], [0]])))
+        yield list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), sorted(who)
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    """Words inside any of the stretches."""
+    total, reach = 0, 0
+    for lo, hi in sorted(spans):
+        total += max(0, hi - max(lo, reach))
+        reach = max(reach, hi)
+    return total
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+_HITS = T.StructType([T.StructField("spans", _SPANS), T.StructField("who", T.ArrayType(T.StringType()))])
+
+
+def _searched(docs: DataFrame, text_col: str, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """h, h2 (hashes of the text), spans and who of each text with hits of one block: its tables are broadcast, and let go once this is written."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")).where("text is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(build_tables(block, window))
+
+    def start() -> Callable:
+        return lambda texts: (([{"lo": a, "hi": b} for a, b in spans], who) for spans, who in block_hits([words(t) for t in texts], shared.value))
+
+    found = annotate(rows, ["text"], _HITS, start, ["h", "h2"]).where(F.size("who") > 0)
+    kept = stash(found.groupBy("h", "h2").agg(F.first(F.struct("spans", "who")).alias("f")).select("h", "h2", "f.*"), "hits")
+    shared.destroy()
+    return kept
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -200,26 +250,32 @@ def find_contamination(
 ) -> DataFrame:
     """docs with n_words, n_hit (words inside an occurring window), items (sorted ids) and contaminated.
 
-    The benchmark is read to the driver block by block and each block's tables are broadcast; a block has
-    block_words words at most. A task holds one block's tables at a time.
+    The benchmark is read to the driver block by block; a block has block_words words at most, or one item. One block's tables are broadcast and
+    the documents searched in one scan. If there are more, each is searched by a job of its own, whose hits by text are written; only
+    one block's tables exist at a time.
     """
-    context = docs.sparkSession.sparkContext
-    shared = [
-        context.broadcast(build_tables(block, window))
-        for block in item_blocks(benchmark, item_col, item_text_col, block_words)
-    ]
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(build_tables(first, window))
+        return annotate(docs, [text_col], ADDED, lambda: lambda texts: scan([words(t) for t in texts], [lambda: shared.value]), keep)
+    hits = None
+    for block in chain([first, second], blocks):
+        more = _searched(docs, text_col, block, window)
+        hits = more if hits is None else hits.unionByName(more)
+    merged = stash(hits.groupBy(F.col("h").alias("__nw_m"), F.col("h2").alias("__nw_m2")).agg(F.flatten(F.collect_list("spans")).alias("__nw_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("who")))).alias("__nw_who")), "merged-hits")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED.fieldNames()]
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), text.alias("__nw_text"), F.xxhash64(text).alias("__nw_h"), F.xxhash64(F.lit(1), text).alias("__nw_h2"))
+    same = (F.col("__nw_h") == F.col("__nw_m")) & (F.col("__nw_h2") == F.col("__nw_m2"))
+    joined = rows.join(merged.hint("merge"), same, "left")
 
     def start() -> Callable:
-        def load(value) -> Callable[[], Tables]:
-            def tables() -> Tables:
-                for other in shared:
-                    if other is not value:
-                        vars(other).pop("_value", None)  # read again from the worker's file when needed
-                return value.value
-
-            return tables
+        def run(texts: list[str | None], spans: list[list[dict] | None], who: list[list[str] | None]) -> Iterator[tuple[int, int, list[str], bool]]:
+            for t, found, items in zip(texts, spans, who, strict=True):
+                n, h = len(words(t)), covered([(s["lo"], s["hi"]) for s in found or []])
+                yield n, h, items or [], h > 0 and 20 * h >= n
 
-        loads = [load(value) for value in shared]
-        return lambda texts: scan([words(t) for t in texts], loads)
+        return run
 
-    return annotate(docs, [text_col], ADDED, start, keep)
+    return annotate(joined, [F.col("__nw_text"), F.col("__nw_spans"), F.col("__nw_who")], ADDED, start, kept)

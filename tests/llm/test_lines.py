@@ -78,3 +78,18 @@ def test_contamination_like_a_loop(spark, block):
     assert find_contamination(df.limit(0), spark.createDataFrame(items[:1], "item_id string, text string")).count() == 0
     none = find_contamination(df, spark.createDataFrame([], "item_id string, text string"))
     assert none.where("contaminated or n_hit > 0").count() == 0
+
+
+def test_blocks_of_a_benchmark_like_one(spark):
+    """A benchmark of many blocks gives what one block gives, for copies, nulls and clashing columns too."""
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(draw.choices(words, k=draw.choice((2, 5, 13, 14, 20))))) for i in range(60)] + [(60, None), (61, ""), (5, "w1 w2 w3")]
+    texts = [" ".join([*draw.choices(words, k=20), draw.choice(items[:60])[1], *draw.choices(words, k=draw.randrange(300))]) for _ in range(40)] + [None, "", "w1"]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:9])), "doc_id long, text string").withColumns({"h": F.lit(1), "spans": F.lit("s"), "items": F.lit(0)})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (find_contamination(docs, bench, block_words=n) for n in (10**6, 50))
+    assert one.columns == many.columns
+    key = lambda r: (r.doc_id, r.n_words, r.n_hit, r.items, r.contaminated, r.h, r.spans)
+    assert sorted(map(key, one.collect())) == sorted(map(key, many.collect()))
+    assert sum(r.contaminated for r in many.collect()) > 10 and find_contamination(docs.limit(0), bench, block_words=50).count() == 0
