@@ -5,29 +5,51 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def merge_stream(stream: DataFrame, path: str, keys: list[str], at: str, checkpoint: str) -> StreamingQuery:
-    """Keeps at path, in one folder for each version, the newest row of each key; late rows are taken, nothing is deleted.
+def merge_stream(stream: DataFrame, path: str, keys: list[str], at: str, checkpoint: str, buckets: int = 16) -> StreamingQuery:
+    """Keeps at path the newest row of each key; late rows are taken, nothing is deleted.
 
-    A batch that runs again writes the same version again, so a restart changes nothing.
+    Keys fall into buckets. A batch reads and writes the buckets that it touches only, in a folder of its version; a manifest of the version names
+    each bucket's newest folder. A batch that runs again writes the same version again, so a restart changes nothing. merged() reads the table.
     """
     from noticeweave.operators.merge import newest_wins
 
     def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = {r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()}  # as many as buckets
+        known = _manifest(spark, path, number - 1) if number > 0 else {}
         fresh = batch.select(*batch.columns)
-        if number > 0:
-            fresh = fresh.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"))
-        newest_wins(fresh, keys, at).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if old := [f"{path}/version={known[b]}/bucket={b}" for b in sorted(touched & known.keys())]:
+            fresh = fresh.unionByName(spark.read.schema(batch.schema).parquet(*old))
+        kept = newest_wins(fresh, keys, at).select(*batch.columns, bucket.alias("bucket"))
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        places = sorted((known | dict.fromkeys(touched, number)).items())
+        spark.createDataFrame(places, _PLACES).coalesce(1).write.mode("overwrite").json(f"{path}/_manifest/{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_PLACES = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    return {r.bucket: r.version for r in spark.read.schema(_PLACES).json(f"{path}/_manifest/{number}").collect()}
+
+
+def merged(spark: SparkSession, path: str, schema: T.StructType, number: int) -> DataFrame:
+    """The table of merge_stream after a batch."""
+    places = _manifest(spark, path, number)
+    folders = [f"{path}/version={v}/bucket={b}" for b, v in sorted(places.items())]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 _SEEN = T.StructType([T.StructField("key", T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("allowed", T.BooleanType())])
 _STATE = T.StructType([T.StructField("began", T.DoubleType()), T.StructField("n", T.LongType())])
 

@@ -98,3 +98,17 @@ def test_arguments():
     assert scope.normalised({"view": "focus", "mailbox": "saved"}) == {"mailbox": "saved", "period": "all"}
     assert scope.normalised({}) == {"mailbox": "inbox", "period": "week"} and scope.normalised({"view": "trash", "period": "x"})["period"] == "week"
     assert [schedule.route_turn(n, 4, 3) for n in (1, 3, 4, 12)] == ["rank", "branch", "oldest", "oldest"]
+
+
+def test_merges_touch_some_buckets(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    first = [(k, start, 0) for k in range(40)]
+    df = spark.createDataFrame(first, "k long, at timestamp, v int")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    for number, rows in enumerate(([*first], [(3, start + dt.timedelta(1), 1), (99, start, 2)], [(3, start - dt.timedelta(1), 5)])):
+        spark.createDataFrame(rows, df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        events.merge_stream(stream, f"{tmp_path}/out", ["k"], "at", f"{tmp_path}/c").awaitTermination()
+        got = {r.k: r.v for r in events.merged(spark, f"{tmp_path}/out", df.schema, number).collect()}
+        assert got == ({k: 0 for k in range(40)} if number == 0 else {k: 0 for k in range(40)} | {3: 1, 99: 2})
+    assert len(list((tmp_path / "out" / "version=1").glob("bucket=*"))) <= 2
