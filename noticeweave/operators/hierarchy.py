@@ -184,7 +184,7 @@ def common_ancestors(paths: DataFrame, key: str, path: str) -> DataFrame:
     """key and the beginning that all of its paths (arrays) have in common."""
     shared = F.aggregate(
         F.slice("paths", 2, F.greatest(F.lit(0), F.size("paths") - 1)), F.get("paths", F.lit(0)),
-        lambda a, b: F.transform(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.struct(i.alias("i"), (F.slice(a, 1, i) == F.slice(b, 1, i)).alias("same"))), lambda s: s["same"]), lambda s: F.element_at(a, s["i"])),
+        lambda a, b: F.transform(F.filter(F.transform(F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda i: i > 0), lambda i: F.struct(i.alias("i"), (F.slice(a, 1, i) == F.slice(b, 1, i)).alias("same"))), lambda s: s["same"]), lambda s: F.element_at(a, s["i"])),
     )
     several = paths.groupBy(key).agg(F.array_sort(F.collect_set(path)).alias("paths"))
     return several.select(key, shared.alias("ancestors"), F.size("paths").alias("n"))

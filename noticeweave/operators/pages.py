@@ -345,3 +345,56 @@ def structure(rows: DataFrame, key: str) -> DataFrame:
     below = near.where("above is not null").select(key, F.col("above").alias("item"), F.lit(True).alias("group")).distinct()
     joined = entries.join(near.select(key, "item", "parent"), [key, "item"]).join(below, [key, "item"], "left")
     return joined.select(key, "a.label", "a.href", F.when(F.col("group"), "menu_group").otherwise("navigation_entry").alias("relation"), "parent")
+
+
+def titled(rows: DataFrame, titles: DataFrame, key: str) -> DataFrame:
+    """The heading (node, parent, begin, end, last) of each page that has the title of titles (key, title), if only one does."""
+    from noticeweave.functions.scalars import title_key
+
+    named = titles.select(key, title_key(F.col("title")).alias("wanted")).where("wanted <> ''")
+    found = rows.where(F.col("tag").isin("h1", "h2", "h3", "h4")).withColumn("told", title_key(F.col("text"))).join(named, key).where("told = wanted")
+    return found.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "parent", "begin", "end", "last")).alias("h")).where("n = 1").select(key, "h.*")
+
+
+def article_dates(rows: DataFrame, titles: DataFrame, key: str) -> DataFrame:
+    """key, state, day and basis of an article's publication: the only date beside its only heading, up to the first paragraph, or else the only one of the page's metadata.
+
+    Dates of events and changes don't count; without a heading of that title, or with several dates, the day is unknown.
+    """
+    heads = titled(rows, titles, key).select(key, F.col("node").alias("h_node"), F.col("last").alias("h_last"))
+    body = rows.where("tag = 'p'").join(heads, key).where("node > h_last").groupBy(key).agg(F.min("node").alias("p"))
+    leaf = (F.col("node") == F.col("last")) & (F.col("node") > F.col("h_last")) & (F.col("node") < F.coalesce("p", F.lit(1 << 30)))
+    near = rows.join(heads, key).join(body, key, "left").where(leaf & (F.char_length("text") <= 160) & ~F.concat_ws(" ", "text", "classes").rlike(dates.NOT_PUBLISHED))
+    shown = near.select(key, F.lit(0).alias("rank"), dates.first_date(F.col("text")).alias("day"))
+    named = F.lower(F.coalesce(F.element_at("attrs", F.lit("name")), F.element_at("attrs", F.lit("property")), F.element_at("attrs", F.lit("itemprop")), F.lit("")))
+    metas = rows.where((F.col("tag") == "meta") & named.isin("pubdate", "publishdate", "date", "datepublished", "article:published_time")).join(heads, key, "left_semi")
+    both = shown.unionByName(metas.select(key, F.lit(1).alias("rank"), dates.first_date(F.coalesce(F.element_at("attrs", F.lit("content")), F.lit(""))).alias("day"))).where("day is not null")
+    ranked = both.groupBy(key, "rank").agg(F.countDistinct("day").alias("n"), F.min("day").alias("day")).groupBy(key).agg(F.min(F.struct("rank", "n", "day")).alias("b"))
+    joined = titles.select(key).distinct().join(heads, key, "left").join(ranked, key, "left")
+    fine = F.col("h_node").isNotNull() & (F.col("b.n") == 1)
+    state = F.when(fine, "verified").when(F.col("h_node").isNull(), "no_heading").otherwise("missing_or_conflicting")
+    return joined.select(key, state.alias("state"), F.when(fine, F.col("b.day")).alias("day"), F.when(fine, F.when(F.col("b.rank") == 0, "visible").otherwise("meta")).alias("basis"))
+
+
+def bound_bodies(rows: DataFrame, titles: DataFrame, key: str, least: int = 50) -> DataFrame:
+    """key and body: the text after a page's only heading of its title, within the element that holds it, if it has least characters."""
+    heads = titled(rows, titles, key)
+    holders = rows.select(key, F.col("node").alias("parent"), F.col("begin").alias("p_begin"), F.col("text").alias("p_text"))
+    cut = heads.join(holders, [key, "parent"]).select(key, F.substring(F.col("p_text"), F.col("end") - F.col("p_begin") + 1, F.char_length("p_text")).alias("body"))
+    return cut.where(F.char_length("body") >= least)
+
+
+def fragments(rows: DataFrame, key: str, size: int = 16_384) -> DataFrame:
+    """key, chunk, path and text: a page's innermost blocks in order, put together up to size characters, each with the tags around it."""
+    from noticeweave.functions.elements import _BLOCKS
+    from noticeweave.functions.scalars import packed
+
+    blocks = rows.where(F.col("tag").isin(*sorted(_BLOCKS), "li", "td", "th"))
+    inner = blocks.select(F.col(key).alias("i_key"), F.col("node").alias("i_node"))
+    lowest = blocks.join(inner, (F.col(key) == F.col("i_key")) & (F.col("i_node") > F.col("node")) & (F.col("i_node") <= F.col("last")), "left_anti").where("text <> ''")
+    around = rows.select(F.col(key).alias("o_key"), F.col("node").alias("o_node"), F.col("last").alias("o_last"), F.col("tag").alias("o_tag"))
+    held = lowest.join(around, (F.col(key) == F.col("o_key")) & (F.col("o_node") < F.col("node")) & (F.col("o_last") >= F.col("node")), "left")
+    shelled = held.groupBy(key, "node", "tag", "text").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_node", "o_tag"))), lambda x: x["o_tag"]).alias("shell"))
+    page = shelled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("node", "text", F.concat_ws(">", "shell", "tag").alias("path")))).alias("b"))
+    numbered = page.select(key, F.explode(F.arrays_zip("b", packed(F.col("b.text"), size).alias("chunk"))).alias("z"))
+    return numbered.select(key, F.col("z.chunk").alias("chunk"), "z.b.path", "z.b.text")

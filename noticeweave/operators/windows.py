@@ -138,3 +138,27 @@ def limited(hits: DataFrame, key: str, at: str, most: int, seconds: float) -> Da
             yield batch.assign(allowed=allowed)
 
     return hits.repartition(key).sortWithinPartitions(key, at).mapInPandas(run, schema)
+
+
+def retained(rows: DataFrame, root: str, key: str, order: list[str], size: str, keep: int, budget: int) -> DataFrame:
+    """rows with kept: of each key's keep newest versions those that fit, newest first, into what is left of the root's bytes; one that doesn't fit is passed over.
+
+    order: columns, greatest first. The fold goes over rows sorted by root with one number in hand.
+    """
+    nth = F.row_number().over(W.partitionBy(root, key).orderBy(*(F.desc(c) for c in order)))
+    ranked = rows.withColumn("__nth", nth)
+    schema = T.StructType([*ranked.schema.fields, T.StructField("kept", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, left = None, budget
+        for batch in batches:
+            kept = []
+            for r, n, s in zip(batch[root], batch["__nth"], batch[size], strict=True):
+                if now is None or r != now[0]:
+                    now, left = (r,), budget
+                fits = n <= keep and s <= left
+                left -= s if fits else 0
+                kept.append(fits)
+            yield batch.assign(kept=kept)
+
+    return ranked.repartition(root).sortWithinPartitions(root, *(F.desc(c) for c in order)).mapInPandas(run, schema).drop("__nth")

@@ -213,3 +213,55 @@ def publication_lists(d: Domain) -> DataFrame:
 @query("select s_suppkey id, l.a as \"label\", l.b href, l.c relation, l.d parent from supplier, (select unnest([{'a': 'Units', 'b': '/u', 'c': 'menu_group', 'd': null}, {'a': 'First', 'b': '/u/1', 'c': 'navigation_entry', 'd': 'Units'}, {'a': 'Second', 'b': '/u/2', 'c': 'navigation_entry', 'd': 'Units'}, {'a': 'Home', 'b': '/h', 'c': 'navigation_entry', 'd': null}]) l)", domain=False)
 def menu_structure(d: Domain) -> DataFrame:
     return P.structure(_columns(d), "id").where("href not like '/n/%'").select("id", "label", "href", "relation", "parent")
+
+
+@query(
+    """, x as (select id, author_id k, id % 3 root, created_at, content_bytes sz from notices), r as (select *, row_number() over (partition by root, k order by created_at desc, id desc) nth from x), o as (select *, row_number() over (partition by root order by created_at desc, id desc) i from r),
+  f as (with recursive w(root, i, id, kept, lft) as (select root, i, id, nth <= 2 and sz <= 900000000, case when nth <= 2 and sz <= 900000000 then 900000000 - sz else 900000000 end from o where i = 1
+    union all select o.root, o.i, o.id, o.nth <= 2 and o.sz <= w.lft, case when o.nth <= 2 and o.sz <= w.lft then w.lft - o.sz else w.lft end from w join o on o.root = w.root and o.i = w.i + 1) select id, kept from w) select id, kept from f"""
+)
+def retained_generations(d: Domain) -> DataFrame:
+    rows = d.notices.select("id", F.col("author_id").alias("k"), (F.col("id") % 3).alias("root"), "created_at", "content_bytes")
+    return windows.retained(rows, "root", "k", ["created_at", "id"], "content_bytes", 2, 900_000_000).select("id", "kept")
+
+
+def _articles(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """A page for each order, and its title: with a day beside the heading, in metadata, with several, or without a heading."""
+    o, title, day = F.col("o_orderkey"), F.concat(F.lit("Order: "), F.col("o_orderpriority")), F.date_format("o_orderdate", "yyyy-MM-dd")
+    meta = F.when(o % 5 == 1, F.concat(F.lit('<meta name="pubdate" content="'), day, F.lit('">'))).otherwise("")
+    beside = F.when(o % 5 == 0, F.concat(F.lit("<span>Published: "), day, F.lit("</span><span class=event-date>2001-01-01</span>"))).when(o % 5 == 2, "<i>2001-01-01</i><i>2001-01-02</i>").otherwise("<i>no day</i>")
+    heading = F.when(o % 5 == 3, F.lit("<h1>Something else</h1>")).when(o % 5 == 4, F.concat(F.lit("<h2>"), title, F.lit("</h2><h2>"), title, F.lit("</h2>"))).otherwise(F.concat(F.lit("<h1>"), F.lower(title), F.lit("</h1>")))
+    page = F.concat(F.lit("<html><head>"), meta, F.lit("</head><body><nav>Menu</nav><div>"), heading, beside, F.lit("<p>"), F.repeat(F.lit("Words. "), 9), F.lit("</p><ul><li>One</li><li>Two</li></ul></div><p>1999-09-09</p></body></html>"))
+    rows = d.table("orders").select(o.alias("k"), page.alias("html"), title.alias("title"))
+    return E.elements(E.page_texts(rows, "k", "html"), "k"), rows.select("k", "title")
+
+
+@query(
+    """select o_orderkey k, case when o_orderkey % 5 in (0, 1) then 'verified' when o_orderkey % 5 = 2 then 'missing_or_conflicting' else 'no_heading' end as "state", case when o_orderkey % 5 in (0, 1) then o_orderdate::date end as "day",
+  case o_orderkey % 5 when 0 then 'visible' when 1 then 'meta' end basis from orders""",
+    domain=False,
+)
+def article_dates(d: Domain) -> DataFrame:
+    rows, titles = _articles(d)
+    return P.article_dates(rows, titles, "k")
+
+
+@query(
+    """select o_orderkey k, case o_orderkey % 5 when 0 then 'Published: ' || strftime(o_orderdate, '%Y-%m-%d') || '2001-01-01' when 2 then '2001-01-012001-01-02' else 'no day' end || rtrim(repeat('Words. ', 9)) || 'OneTwo' body from orders where o_orderkey % 5 < 3""",
+    domain=False,
+)
+def bound_bodies(d: Domain) -> DataFrame:
+    rows, titles = _articles(d)
+    return P.bound_bodies(rows, titles, "k")
+
+
+@query(
+    """select o_orderkey k, c.chunk, c.path, c.text from orders, (select unnest([{'chunk': 0, 'path': 'html>body>nav', 'text': 'Menu'}, {'chunk': 1, 'path': 'html>body>div>p', 'text': rtrim(repeat('Words. ', 9))}, {'chunk': 2, 'path': 'html>body>div>ul>li', 'text': 'One'},
+  {'chunk': 2, 'path': 'html>body>div>ul>li', 'text': 'Two'}, {'chunk': 2, 'path': 'html>body>p', 'text': '1999-09-09'}]) c) where o_orderkey % 5 = 3""",
+    domain=False,
+)
+def page_fragments(d: Domain) -> DataFrame:
+    rows, _ = _articles(d)
+    found = P.fragments(rows.where("k % 5 = 3"), "k", 60)
+    # the heading's own block comes before the paragraph and shares the menu's chunk
+    return found.where("text <> 'Something else'").select("k", "chunk", "path", "text")
