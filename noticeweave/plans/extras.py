@@ -147,10 +147,10 @@ def spanning_forest(d: Domain) -> DataFrame:
 
 @query(
     """, c as (select *, sum(content_bytes) over () - coalesce(sum(content_bytes) over (order by created_at, id rows between unbounded preceding and 1 preceding), 0) rest from notices where id % 5 > 0)
-  select id from c where created_at < timestamp '1992-02-01' or rest > 500000000"""
+  select id from c where created_at < timestamp '1995-02-01' or rest > 500000000"""
 )
 def pruned_evidence(d: Domain) -> DataFrame:
-    stale = F.col("created_at") < F.lit(dt.datetime(1992, 2, 1))
+    stale = F.col("created_at") < F.lit(dt.datetime(1995, 2, 1))
     return windows.pruned(d.notices, [F.col("created_at"), F.col("id")], "content_bytes", 500_000_000, stale, F.col("id") % 5 == 0).select("id")
 
 

@@ -154,14 +154,14 @@ def latest_summary(d: Domain) -> DataFrame:
 
 @query(
     """, a as (select id, title, published_at from notices where created_at < timestamp '1998-01-01'),
-  b as (select id, case when title like '%O' then 'open' else title end title, published_at from notices where created_at >= timestamp '1993-01-01')
+  b as (select id, case when title like '%O' then 'open' else title end title, published_at from notices where created_at >= timestamp '1996-01-01')
   select coalesce(a.id, b.id) id, case when a.id is null then 'added' when b.id is null then 'removed' else 'changed' end change
   from a full join b on a.id = b.id where a.id is null or b.id is null or a.title is distinct from b.title or a.published_at is distinct from b.published_at"""
 )
 def snapshot_delta(d: Domain) -> DataFrame:
     rows = d.notices.select("id", "title", "published_at", "created_at")
     before = rows.where("created_at < timestamp '1998-01-01'").drop("created_at")
-    after = rows.where("created_at >= timestamp '1993-01-01'").drop("created_at").withColumn("title", F.when(F.endswith("title", F.lit("O")), "open").otherwise(F.col("title")))
+    after = rows.where("created_at >= timestamp '1996-01-01'").drop("created_at").withColumn("title", F.when(F.endswith("title", F.lit("O")), "open").otherwise(F.col("title")))
     return joins.delta(before, after, "id")
 
 

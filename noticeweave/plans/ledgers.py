@@ -377,12 +377,12 @@ def foraging_places(d: Domain) -> DataFrame:
 
 @query(
     """, c as (select *, sum(content_bytes) over () - coalesce(sum(content_bytes) over (order by created_at, id rows between unbounded preceding and 1 preceding), 0) rest from notices)
-  select id from c where created_at < timestamp '1992-03-01' or rest > (select sum(content_bytes) // 3 from notices)"""
+  select id from c where created_at < timestamp '1995-03-01' or rest > (select sum(content_bytes) // 3 from notices)"""
 )
 def whole_cache_evictions(d: Domain) -> DataFrame:
     rows = d.notices
     limit = rows.agg(F.floor(F.sum("content_bytes") / 3)).first()[0]
-    return windows.evictions_of_all(rows, [F.col("created_at"), F.col("id")], "content_bytes", limit, F.col("created_at") < F.lit(dt.datetime(1992, 3, 1))).select("id")
+    return windows.evictions_of_all(rows, [F.col("created_at"), F.col("id")], "content_bytes", limit, F.col("created_at") < F.lit(dt.datetime(1995, 3, 1))).select("id")
 
 
 @query(
@@ -445,7 +445,7 @@ def demand_scores(d: Domain) -> DataFrame:
 
 
 @query(
-    """, b as (select id, title from notices where created_at < timestamp '1994-01-01'), a as (select id, case when id % 5 = 0 then 'x' else title end title from notices where created_at >= timestamp '1993-01-01' and created_at < timestamp '1994-06-01'),
+    """, b as (select id, title from notices where created_at < timestamp '1997-01-01'), a as (select id, case when id % 5 = 0 then 'x' else title end title from notices where created_at >= timestamp '1996-01-01' and created_at < timestamp '1997-06-01'),
   ch as (select coalesce(a.id, b.id) id, case when a.id is null then 'removed' when b.id is null then 'added' else 'changed' end change from a full join b on a.id = b.id where a.id is null or b.id is null or a.title <> b.title)
   select id % 7 k, id, change, row_number() over (partition by id % 7 order by id, change)::int + 100 revision from ch"""
 )
@@ -453,8 +453,8 @@ def change_journal(d: Domain) -> DataFrame:
     from noticeweave.operators.joins import delta
 
     rows = d.notices.select("id", "title", "created_at")
-    before = rows.where("created_at < timestamp '1994-01-01'").drop("created_at")
-    after = rows.where("created_at >= timestamp '1993-01-01' and created_at < timestamp '1994-06-01'").select("id", F.when(F.col("id") % 5 == 0, "x").otherwise(F.col("title")).alias("title"))
+    before = rows.where("created_at < timestamp '1997-01-01'").drop("created_at")
+    after = rows.where("created_at >= timestamp '1996-01-01' and created_at < timestamp '1997-06-01'").select("id", F.when(F.col("id") % 5 == 0, "x").otherwise(F.col("title")).alias("title"))
     return merge.journal(delta(before, after, "id").withColumn("k", F.col("id") % 7), "k", 100).select("k", "id", "change", "revision")
 
 

@@ -161,9 +161,9 @@ def website_owners(d: Domain) -> DataFrame:
     return hierarchy.website_owners(sources, units)
 
 
-@query("select l_partkey % 50 target, min(l_suppkey % 3) as \"owner\" from lineitem where l_linenumber < 3 and l_quantity < 6 group by 1 having count(distinct l_suppkey % 3) = 1", domain=False)
+@query("select l_partkey target, min(l_suppkey % 3) as \"owner\" from lineitem where l_linenumber < 3 and l_quantity < 6 group by 1 having count(distinct l_suppkey % 3) = 1", domain=False)
 def publication_owners(d: Domain) -> DataFrame:
-    claims = d.table("lineitem").where("l_linenumber < 3 and l_quantity < 6").select((F.col("l_partkey") % 50).alias("target"), (F.col("l_suppkey") % 3).alias("owner"))
+    claims = d.table("lineitem").where("l_linenumber < 3 and l_quantity < 6").select(F.col("l_partkey").alias("target"), (F.col("l_suppkey") % 3).alias("owner"))
     return hierarchy.only_owner(claims, "target", "owner")
 
 

@@ -65,11 +65,11 @@ def saved_in_group(d: Domain) -> DataFrame:
 
 @query(
     _PAIRS + """ select p.user_id, p.notice_id from pairs p join notices n on n.id = p.notice_id join reads r using (user_id, notice_id)
-  where year(coalesce(n.published_at, n.created_at)) = 1994 and month(coalesce(n.published_at, n.created_at)) = 3 and contains(lower(n.title), 'high')
-  and exists (select 1 from members m join departments d on d.id = m.department_id join schools s on s.id = d.school_id and s.enabled where m.notice_id = n.id and d.id in (1, 2, 3, 5, 7))"""
+  where year(coalesce(n.published_at, n.created_at)) = 1996 and contains(lower(n.title), 'high')
+  and exists (select 1 from members m join departments d on d.id = m.department_id join schools s on s.id = d.school_id and s.enabled where m.notice_id = n.id and d.id between 1 and 59)"""
 )
 def read_in_archive(d: Domain) -> DataFrame:
-    return _filtered(d, {"view": "focus", "mailbox": "inbox", "period": "archive", "year": "1994", "month": "3", "q": " HIGH ", "read": "read"}, [1, 2, 3, 5, 7])
+    return _filtered(d, {"view": "focus", "mailbox": "inbox", "period": "archive", "year": "1996", "month": "0", "q": " HIGH ", "read": "read"}, list(range(1, 60)))
 
 
 @query(" select user_id, notice_id from states where not starred and trashed_at >= timestamp '1998-07-03 00:00:00' and notice_id in (select id from notices)")
@@ -82,12 +82,11 @@ def title_search(d: Domain) -> DataFrame:
     return d.notices.where(scope.title_has(" MEDIUM ")).select("id")
 
 
-@query(" select id, name from schools where contains(lower(name), 'unitedk') or contains(lower(name), 'saudia') or contains(lower(name), 'nit') and province = 3")
+@query(" select id, name from schools where contains(lower(replace(name, '_', '')), 'nation1') or contains(lower(name), '_13') or contains(lower(name), 'nation') and province = 3")
 def school_search(d: Domain) -> DataFrame:
     rows = d.schools.withColumn("url", F.concat(F.lit("https://"), F.col("name")))
-    rows = rows.withColumn("name", F.replace("name", F.lit(" "), F.lit("-")))
-    found = scope.in_directory(rows, " United-K ").union(scope.in_directory(rows, "saudi a")).union(scope.in_directory(rows, "NIT", 3))
-    return found.select("id", F.replace("name", F.lit("-"), F.lit(" ")).alias("name")).distinct()
+    found = scope.in_directory(rows, " Nation-1 ").union(scope.in_directory(rows, "_13")).union(scope.in_directory(rows, "NATION", 3))
+    return found.select("id", "name").distinct()
 
 
 @query(" select id from departments where id % 7 = 3 and contains(list_url, '-00000')")
