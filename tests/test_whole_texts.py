@@ -12,4 +12,4 @@ def test_whole_texts(spark):
     assert any(t.lower().find("the", 400) > 0 for t in texts.values())
     for i, t in texts.items():
         assert marked[i].count("<mark>") == t.lower().count("the")
-        assert sum(c.isascii() and c.isalnum() for c in keys[i]) == sum(c.isascii() and c.isalnum() for c in t)
+        assert sum(c.isascii() and c.isalnum() for c in keys[i]) == sum(c.isascii() and c.isalnum() for c in t.replace("ß", "ss"))
