@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from noticeweave.operators.graphs import _kept
+
 #: States of collections that aren't complete.
 INCOMPLETE = ("repairing", "discovering", "needs_check", "retry_wait")
 
@@ -38,7 +40,8 @@ def claim_window(tasks: DataFrame, as_of: dt.datetime, kinds: Iterable[str], mos
 
 def positions(tasks: DataFrame, order: list[Column], key: str) -> DataFrame:
     """For every task how many stand before it in order, by a range partition and prefix counts: nothing is compared with everything."""
-    ordered = tasks.select(key, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("o")).repartitionByRange("o").withColumn("part", F.spark_partition_id())
+    ranged = tasks.select(key, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("o")).repartitionByRange("o")
+    ordered = _kept(ranged.withColumn("part", F.spark_partition_id()))  # ranges are drawn from a sample: drawn twice they might differ
     # one count for each partition: as many rows as partitions
     counts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from noticeweave.operators.graphs import _kept
+
 
 def evictions(cache: DataFrame, keys: list[str], order: list[str], size: str, limit: int, cutoff: dt.datetime, at: str) -> DataFrame:
     """Entries to evict, least recently used first: too old, or in excess of the limit while what came before is gone.
@@ -75,8 +77,9 @@ def prefix_sums(rows: DataFrame, order: list[Column], size: str) -> DataFrame:
     """rows with before (the sum of size over all rows that come earlier) and total, over the whole table.
 
     Rows are dealt by range; sums within a partition and over earlier partitions (a row for each) add up, so that no task has all rows.
+    Ranges are drawn from a sample, so the dealt rows are kept: drawn twice they might differ.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = _kept(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sums = dealt.groupBy("__part").agg(F.sum(size).alias("__sum"))
     earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select("__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"), F.sum("__sum").over(W.partitionBy()).alias("total"))
@@ -131,7 +134,7 @@ def limited(hits: DataFrame, key: str, at: str, most: int, seconds: float) -> Da
         for batch in batches:
             allowed: list[bool] = []
             for k, rows in batch.groupby(key, sort=False, dropna=False):
-                if now is None or k != now[0]:
+                if now is None or not (k == now[0] or k != k and now[0] != now[0]):  # nulls are one key
                     now, began, n = (k,), None, 0
                 got, began, n = count_in_window([t.timestamp() for t in rows[at]], began, n, most, seconds)
                 allowed += got
