@@ -33,15 +33,19 @@ def permille(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part * 1000 / whole)).cast("long")
 
 
-def outcomes(logs: DataFrame, state: str, good: str, bad: str) -> DataFrame:
-    counts = logs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(state) == good).alias("n_good"), F.count_if(F.col(state) == bad).alias("n_bad"))
-    return counts.withColumn("success", permille(F.col("n_good"), F.col("n_good") + F.col("n_bad")))
+def outcomes(logs: DataFrame, state: str, good: str, bad: str, new: str, at: str, as_of: dt.datetime, days: int = 7) -> DataFrame:
+    """n, n_good, n_bad, success (ten-thousandths of those that ended, null without any) and new of the last days."""
+    recent = logs.where((F.col(at) > F.lit(as_of - dt.timedelta(days=days))) & (F.col(at) <= F.lit(as_of)))
+    counts = recent.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(state) == good).alias("n_good"), F.count_if(F.col(state) == bad).alias("n_bad"), F.coalesce(F.sum(new), F.lit(0)).alias("new"))
+    ended = F.col("n_good") + F.col("n_bad")
+    return counts.withColumn("success", F.when(ended > 0, F.floor(F.col("n_good") * 10_000 / ended)).cast("long"))
 
 
 def queue_metrics(tasks: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """state, n and seconds that the oldest waits."""
+    """state, capability, n, and for pending ones the seconds that the oldest waits."""
     age = F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp(F.min("queued_at"))
-    return tasks.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(0), age).cast("long").alias("oldest_s"))
+    found = tasks.groupBy("state", "capability").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(0), age).cast("long").alias("oldest_s"))
+    return found.withColumn("oldest_s", F.when(F.col("state") == "pending", F.col("oldest_s")))
 
 
 def queue_ahead(tasks: DataFrame, order: list[Column], row: DataFrame) -> DataFrame:
@@ -52,10 +56,10 @@ def queue_ahead(tasks: DataFrame, order: list[Column], row: DataFrame) -> DataFr
     return tasks.withColumn("rank", rank).join(few, F.col("rank") < F.col("mine")).groupBy("task_id").agg(F.count(F.lit(1)).alias("ahead"))
 
 
-def storage_usage(notices: DataFrame, kept: DataFrame) -> DataFrame:
-    """Bytes of pinned and of other notices."""
+def storage_usage(notices: DataFrame, kept: DataFrame, kind: Column) -> DataFrame:
+    """n and bytes of pinned and of other notices by kind, missing sizes as none."""
     marked = notices.join(kept.select(F.col("notice_id").alias("id"), F.lit(True).alias("kept")), "id", "left")
-    return marked.groupBy(F.coalesce("kept", F.lit(False)).alias("pinned")).agg(
+    return marked.groupBy(kind.alias("kind"), F.coalesce("kept", F.lit(False)).alias("pinned")).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("content_bytes"), F.lit(0)).alias("bytes")
     )
 

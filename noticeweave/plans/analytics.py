@@ -56,14 +56,20 @@ def available_years(d: Domain) -> DataFrame:
     return d.notices.where("published_at is not null").select(F.year("published_at").cast("long").alias("y")).distinct()
 
 
-@query(" select count(*)::bigint n, count(*) filter (state = 'purchase')::bigint n_good, count(*) filter (state = 'error')::bigint n_bad, (count(*) filter (state = 'purchase') * 1000 // count(*) filter (state in ('purchase', 'error')))::bigint success from tasks")
+_RECENT = "from (select *, json_extract_string(props, '$.k')::bigint k from tasks where queued_at > timestamp '2024-01-13 12:00:00' and queued_at <= timestamp '2024-01-20 12:00:00')"
+
+
+@query(f" select count(*)::bigint n, count(*) filter (state = 'purchase')::bigint n_good, count(*) filter (state = 'error')::bigint n_bad, coalesce(sum(k), 0)::bigint \"new\", case when count(*) filter (state in ('purchase', 'error')) > 0 then (count(*) filter (state = 'purchase') * 10000 // count(*) filter (state in ('purchase', 'error')))::bigint end success {_RECENT}")
 def outcome_stats(d: Domain) -> DataFrame:
-    return aggregates.outcomes(d.tasks, "state", "purchase", "error")
+    logs = d.tasks.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return aggregates.outcomes(logs, "state", "purchase", "error", "k", "queued_at", dt.datetime(2024, 1, 20, 12))
 
 
-@query(" select state, count(*)::bigint n, greatest(0, (epoch(timestamp '2030-01-01') - floor(epoch(min(queued_at)))))::bigint oldest_s from tasks group by 1")
+@query(" select s state, c capability, count(*)::bigint n, case when s = 'pending' then greatest(0, epoch(timestamp '2030-01-01') - floor(epoch(min(queued_at))))::bigint end oldest_s from (select *, case when state = 'view' then 'pending' else state end s, ['http', 'browser', 'model'][id % 3 + 1] c from tasks) group by 1, 2")
 def queue_metrics(d: Domain) -> DataFrame:
-    return aggregates.queue_metrics(d.tasks, dt.datetime(2030, 1, 1))
+    capability = F.element_at(F.array(F.lit("http"), F.lit("browser"), F.lit("model")), (F.col("id") % 3 + 1).cast("int"))
+    tasks = d.tasks.withColumns({"state": F.when(F.col("state") == "view", "pending").otherwise(F.col("state")), "capability": capability})
+    return aggregates.queue_metrics(tasks, dt.datetime(2030, 1, 1))
 
 
 @query(
@@ -76,9 +82,10 @@ def queue_ahead(d: Domain) -> DataFrame:
     return aggregates.queue_ahead(tasks, ranking.claim_order(), tasks.where(F.col("id") == last))
 
 
-@query(" select n.id in (select notice_id from states where starred) pinned, count(*)::bigint n, sum(content_bytes)::bigint bytes from notices n group by 1")
+@query(" select case when title like '%F' then 'body' else 'attachment' end kind, n.id in (select notice_id from states where starred) pinned, count(*)::bigint n, coalesce(sum(case when id % 4 > 0 then content_bytes end), 0)::bigint bytes from notices n group by 1, 2")
 def storage_usage(d: Domain) -> DataFrame:
-    return aggregates.storage_usage(d.notices, d.states.where("starred").select("notice_id").distinct())
+    rows = d.notices.withColumn("content_bytes", F.when(F.col("id") % 4 > 0, F.col("content_bytes")))
+    return aggregates.storage_usage(rows, d.states.where("starred").select("notice_id").distinct(), F.when(F.endswith("title", F.lit("F")), "body").otherwise("attachment"))
 
 
 @query(
