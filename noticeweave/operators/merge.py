@@ -84,3 +84,28 @@ def since(log: DataFrame, key: str, revision: int) -> DataFrame:
     """key, n and complete: whether the changes after a revision have no gap (else start anew)."""
     later = log.where(F.col("revision") > revision)
     return later.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.max("revision") - revision == F.count(F.lit(1))).alias("complete"))
+
+
+def _signed(edges: DataFrame, parent: str, name: str) -> DataFrame:
+    """parent and a signature of its different rows, whatever their order."""
+    row = F.substring(F.md5(F.to_json(F.struct(*sorted(edges.columns)))), 1, 12)
+    each = edges.distinct().withColumn("__h", F.conv(row, 16, 10).cast("decimal(20,0)"))
+    return each.groupBy(parent).agg(F.concat_ws(":", F.count(F.lit(1)), F.sum("__h")).alias(name))
+
+
+def archived(edges: DataFrame, fresh: DataFrame, parent: str) -> DataFrame:
+    """The rows that a snapshot replaces and that go to the history: those of parents in fresh whose rows aren't the same as before."""
+    both = _signed(edges, parent, "old").join(_signed(fresh, parent, "new"), parent).where("old <> new")
+    return edges.join(both.select(parent), parent, "left_semi")
+
+
+def preview(rows: DataFrame, ident: str, at: str) -> DataFrame:
+    """n and token of what a deletion would take: the token changes if a row comes, goes or gets another date. No order is needed."""
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(ident).cast("string"), F.date_format(at, "yyyy-MM-dd HH:mm:ss"))), 1, 8), 16, 10).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(row), F.lit(0)).cast("string")).alias("token"))
+
+
+def deleted(table: DataFrame, scope: DataFrame, ident: str, at: str, token: str) -> DataFrame:
+    """table without scope, if scope still has the token of its preview; else as it is."""
+    same = preview(scope, ident, at).select(F.col("token") == token).scalar()
+    return table.join(scope.where(same).select(ident), ident, "left_anti")

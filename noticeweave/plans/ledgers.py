@@ -474,3 +474,32 @@ def replaced_edges(d: Domain) -> DataFrame:
 @query("select l_orderkey parent, l_partkey child from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'O')", domain=False)
 def kept_edges(d: Domain) -> DataFrame:
     return merge.without_dangling(d.table("lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("child")), d.table("orders").where("o_orderstatus = 'O'"), "parent", "o_orderkey")
+
+
+@query(
+    """with o as (select distinct l_orderkey parent, l_partkey child from lineitem), f as (select distinct l_orderkey parent, case when l_orderkey % 4 = 0 then l_partkey else l_suppkey end child from lineitem where l_orderkey % 3 > 0),
+  so as (select parent, list(child order by child) x from o group by 1), sf as (select parent, list(child order by child) y from f group by 1) select o.parent, o.child from o join so using (parent) join sf using (parent) where x <> y""",
+    domain=False,
+)
+def archived_edges(d: Domain) -> DataFrame:
+    rows = d.table("lineitem")
+    edges = rows.select(F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("child")).distinct()
+    fresh = rows.where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("parent"), F.when(F.col("l_orderkey") % 4 == 0, F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("child"))
+    return merge.archived(edges, fresh, "parent")
+
+
+_OLD = "(select * from notices where published_at < timestamp '1996-01-01')"
+
+
+@query(f" select count(*)::bigint n, count(*) || ':' || sum(('0x' || substr(md5(id || '|' || strftime(published_at, '%Y-%m-%d %H:%M:%S')), 1, 8))::bigint)::bigint as \"token\" from {_OLD}")
+def deletion_preview(d: Domain) -> DataFrame:
+    return merge.preview(d.notices.where("published_at < timestamp '1996-01-01'"), "id", "published_at")
+
+
+@query(" select id, true fresh from notices where published_at is null or published_at >= timestamp '1996-01-01' union all select id, false from notices")
+def bound_deletions(d: Domain) -> DataFrame:
+    rows = d.notices.select("id", "published_at")
+    scope = rows.where("published_at < timestamp '1996-01-01'")
+    token = merge.preview(scope, "id", "published_at").first().token
+    done, refused = merge.deleted(rows, scope, "id", "published_at", token), merge.deleted(rows, scope, "id", "published_at", "0:0")
+    return done.select("id", F.lit(True).alias("fresh")).unionByName(refused.select("id", F.lit(False).alias("fresh")))
