@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeweave.llm import simhash
-from noticeweave.llm.arrow import annotate
+from noticeweave.llm.arrow import annotate, small_batches
 from noticeweave.llm.graph import components
 from noticeweave.llm.stash import lookup, stash
 
@@ -167,7 +167,12 @@ def links(docs: DataFrame, *, text_col: str = "text", words: int = WORDS, print_
 
 def connect(docs: DataFrame, linked: DataFrame, *, text_col: str = "text", words: int = WORDS) -> DataFrame:
     """a < b, fingerprints of alike texts, so many that with linked (a, b: links that are known) they connect what all alike texts do."""
-    texts = _texts(docs, text_col)
+    with small_batches(docs.sparkSession):
+        return _connected(_texts(docs, text_col), linked, words)
+
+
+def _connected(texts: DataFrame, linked: DataFrame, words: int) -> DataFrame:
+    """connect of texts: all of it is written when this returns."""
     sets = _prefixes(texts, words, words)
     shared = _shared(sets)
     found = linked.select("a", "b")
