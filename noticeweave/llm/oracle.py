@@ -106,4 +106,90 @@ select conv_id, count(*)::bigint n_turns,
 from one group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2, "op3_chat": OP3, "op4_decontamination": OP4, "op8_licenses": OP8}
+_TERM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+with doc as (select coalesce(lang, '') lang, coalesce(source, '') source, row_number() over () d, {_TERM} w from documents),
+tok as (select lang, source, d, unnest(w) t from doc),
+kept as (select lang, t, count(*) c from tok group by all having count(distinct d) >= 3),
+grp as (select distinct lang, source from doc),
+cnt as (select lang, source, t, count(*) c from tok semi join kept using (lang, t) group by all),
+v as (select lang, count(*) v, sum(c) n from kept group by all),
+gn as (select grp.lang, grp.source, coalesce(sum(c), 0) n from grp left join cnt using (lang, source) group by all),
+p as (
+  select lang, gn.source, kept.t, coalesce(cnt.c, 0) c, 1 + (1000000000::hugeint * (coalesce(cnt.c, 0) + 1)) // (gn.n + v.v) p,
+         1 + (1000000000::hugeint * (kept.c + 1)) // (v.n + v.v) q
+  from gn join kept using (lang) join v using (lang) left join cnt on cnt.lang = gn.lang and cnt.source = gn.source and cnt.t = kept.t
+),
+two as (
+  select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) val
+  from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all
+),
+pairs as (select a.lang, a.source, b.source item, coalesce(val, 0) val from grp a join grp b on a.lang = b.lang and a.source <> b.source
+          left join two on two.lang = a.lang and two.source = a.source and two.item = b.source),
+terms as (select lang, source, t item, (p - q) * (p - q) // q val from p where c > 0 and p > q),
+every as (select lang, source, 'pair' part, item, val from pairs union all select lang, source, 'term', item, val from terms)
+select lang, source, part, item, val::bigint "value", k::int "rank"
+from (select *, row_number() over (partition by lang, source, part order by val desc, item) k from every) where part = 'pair' or k <= 200
+"""
+
+# CRC-32 byte by byte: a table of 256 entries made by its rule, and bytes from their hexadecimal digits.
+OP12 = """
+with crc as (
+  select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) tab
+  from range(256) r(n)
+),
+doc as (
+  select doc_id, coalesce(strlen(text), 0) + 8 size, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) crc
+  from documents, crc
+),
+summed as (select *, sum(size) over (order by doc_id) - size before, sum(size) over () total from doc),
+cut as (select *, (((2 * before + size) * 24) // (2 * total))::int shard from summed)
+select doc_id, size::bigint size, crc::bigint text_crc32, 'bytes' law, shard, row_number() over (partition by shard order by doc_id) - 1 slot, null::int grown_shard
+from cut
+"""
+
+OP13 = r"""
+with recursive word as (
+  select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents
+),
+lab as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by 1),
+bad as (
+  select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+         map {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': doc_id > min(doc_id) over (partition by t)} f
+  from word left join lab using (doc_id)
+),
+m as (
+  select part, list_sort(list_filter(map_keys(f), lambda k: f[k])) x, count(*) n, sum(good) good, sum(toxic) toxic from bad group by all
+),
+orders as (
+  select '' o union all select o || l from orders, unnest(['A', 'B', 'C', 'D', 'E']) u(l) where length(o) < 5 and not contains(o, l)
+),
+step as (select o, i, o[i] l, string_split(left(o, i - 1), '') was from orders, range(1, 6) r(i) where length(o) = 5),
+row as (
+  select part, o, i, l,
+         coalesce(sum(n) filter (not list_has_any(x, was) and not list_contains(x, l)), 0) kept,
+         coalesce(sum(n) filter (not list_has_any(x, was) and list_contains(x, l)), 0) removed,
+         coalesce(sum(n) filter (list_has_any(x, was) and list_contains(x, l)), 0) redundant,
+         coalesce(sum(n) filter (x = [l]), 0) unique_fails,
+         coalesce(sum(good) filter (not list_has_any(x, was) and list_contains(x, l)), 0) good_lost,
+         coalesce(sum(toxic) filter (not list_has_any(x, was) and list_contains(x, l)), 0) toxic_lost
+  from m, step group by all
+)
+select part, o filter_order, i::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails,
+       good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, (sum(removed) over (partition by part, l))::bigint shapley
+from row
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2,
+    "op3_chat": OP3,
+    "op4_decontamination": OP4,
+    "op8_licenses": OP8,
+    "op11_divergence": OP11,
+    "op12_sharding": OP12,
+    "op13_filter_interactions": OP13,
+}

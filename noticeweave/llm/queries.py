@@ -11,12 +11,14 @@ from pyspark.sql.window import Window as W
 from noticeweave.llm.bpe import decode, encode, read_ranks
 from noticeweave.llm.chat import format_replies, read_back
 from noticeweave.llm.decontaminate import find_contamination
-
+from noticeweave.llm.divergence import divergences
+from noticeweave.llm.interactions import audit
 from noticeweave.llm.langid import predict, train
 from noticeweave.llm.licenses import scan_licenses
 from noticeweave.llm.lines import dedup_lines
 from noticeweave.llm.repeats import remove_repeats
 from noticeweave.llm.secrets import KINDS, scan_secrets
+from noticeweave.llm.shards import assign_shards
 from noticeweave.llm.simhash import near_duplicates
 from noticeweave.llm.winnow import as_string, compare_edits
 
@@ -142,6 +144,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("removed", F.col("n_removed") > 0)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), flags)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -153,4 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_divergence": op11_divergence,
+    "op12_sharding": op12_sharding,
+    "op13_filter_interactions": op13_filter_interactions,
 }
