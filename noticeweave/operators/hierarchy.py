@@ -150,14 +150,6 @@ def only_owner(claims: DataFrame, target: str, owner: str) -> DataFrame:
     return claims.groupBy(target).agg(F.countDistinct(owner).alias("n"), F.min(owner).alias(owner)).where("n = 1").select(target, owner)
 
 
-def website_owners(sources: DataFrame, units: DataFrame) -> DataFrame:
-    """source and unit whose website's path is the source's or above it on the same host: the only longest one, or none. Both: id, host, path."""
-    u = units.select("host", F.col("id").alias("unit"), F.regexp_replace("path", "/+$", "").alias("base"))
-    near = sources.join(u, "host").where((F.col("path") == F.col("base")) | F.startswith("path", F.concat("base", F.lit("/"))))
-    best = near.groupBy(F.col("id").alias("source")).agg(F.max(F.struct(F.length("base").alias("n"), "base")).alias("m"))
-    return only_owner(near.withColumnRenamed("id", "source").join(best.select("source", F.col("m.base").alias("base")), ["source", "base"]), "source", "unit")
-
-
 def placements(sources: DataFrame, directory: DataFrame, groups: Column) -> DataFrame:
     """source, group, parents (all that a directory has, in order) and level of each source: several parents are several placements of one row."""
     held = directory.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_set("parent")).alias("parents"))

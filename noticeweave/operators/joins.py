@@ -38,21 +38,6 @@ def latest_valid(notices: DataFrame, snapshots: DataFrame, keys: list[str]) -> D
     return same.withColumn("place", F.row_number().over(newest)).where("place = 1").drop("place")
 
 
-def within(inner: Column, outer: Column) -> Column:
-    """Whether a path is another one or under it."""
-    base = F.rtrim(outer, F.lit("/"))
-    return (inner == base) | F.startswith(inner, F.concat(base, F.lit("/")))
-
-
-def longest_owner(names: DataFrame, owners: DataFrame, key: str, separator: str = "-") -> DataFrame:
-    """For each row of names (id, name) the owner of the same key whose name and a separator it begins with: the only longest, or none."""
-    o = owners.select(key, F.col("id").alias("owner_id"), F.col("name").alias("owner"))
-    found = names.join(o, key).where(F.startswith("name", F.concat(F.col("owner"), F.lit(separator))))
-    best = found.groupBy("id").agg(F.max(F.length("owner")).alias("size"))
-    only = found.join(best, "id").where(F.length("owner") == F.col("size")).groupBy("id").agg(F.min("owner_id").alias("owner_id"), F.count(F.lit(1)).alias("n"))
-    return names.select("id", "name").join(only.where("n = 1").select("id", "owner_id"), "id", "left")
-
-
 def delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """key and change (added, removed, changed) between two states of a table."""
     columns = sorted(set(before.columns) - {key})

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by family."""
 
-from noticeweave.plans import analytics, days, extras, inbox, ledgers, links, markup, scopes, texts
+from noticeweave.plans import analytics, days, extras, inbox, ledgers, links, markup, places, scopes, texts
 from noticeweave.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "days", "extras", "inbox", "ledgers", "links", "markup", "scopes", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "days", "extras", "inbox", "ledgers", "links", "markup", "places", "scopes", "texts"]

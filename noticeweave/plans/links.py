@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeweave.functions.scalars import host
-from noticeweave.operators import graphs, hierarchy
+from noticeweave.operators import graphs, hierarchy, placements
 from noticeweave.plans.domain import Domain
 from noticeweave.plans.registry import query
 from noticeweave.plans.scopes import tree
@@ -158,7 +158,7 @@ def website_owners(d: Domain) -> DataFrame:
     p, s = F.col("p_partkey"), F.col("s_suppkey")
     sources = d.table("part").select(p.alias("id"), (F.col("p_size") % 5).cast("long").alias("host"), F.concat(F.lit("/a/"), p % 4, F.lit("/"), p % 3).alias("path"))
     units = d.table("supplier").select(s.alias("id"), (s % 5).alias("host"), F.when(s % 3 == 0, "/a/").when(s % 3 == 1, F.concat(F.lit("/a/"), s % 4)).otherwise("/b").alias("path"))
-    return hierarchy.website_owners(sources, units)
+    return placements.website_owners(sources, units)
 
 
 @query("select l_partkey target, min(l_suppkey % 3) as \"owner\" from lineitem where l_linenumber < 3 and l_quantity < 6 group by 1 having count(distinct l_suppkey % 3) = 1", domain=False)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeweave.functions import scalars as S
-from noticeweave.operators import joins, ranking, scope
+from noticeweave.operators import joins, placements, ranking, scope
 from noticeweave.plans.domain import Domain
 from noticeweave.plans.inbox import AS_OF, _MEMBERS, _PAIRS, _members, _pairs
 from noticeweave.plans.registry import query
@@ -227,16 +227,16 @@ def import_faults(d: Domain) -> DataFrame:
 def longest_owners(d: Domain) -> DataFrame:
     part = d.table("part").withColumn("key", F.col("p_partkey"))
     owners = part.select("key", (F.col("p_size") * 1000 + F.length("p_brand")).alias("id"), F.split("p_name", " ")[0].alias("name")).union(part.select("key", (F.col("p_size") * 1000 + 1).alias("id"), F.substring("p_name", 1, 3).alias("name")))
-    return joins.longest_owner(part.select("key", F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), owners, "key", " ").select("id", F.col("owner_id"))
+    return placements.longest_owner(part.select("key", F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), owners, "key", " ").select("id", F.col("owner_id"))
 
 
 @query(" select a.id inner_id, b.id outer_id from departments a join departments b on a.school_id = b.school_id and (a.id = b.id or a.id % 3 = 0 and b.id % 3 = 1)")
 def path_containment(d: Domain) -> DataFrame:
     place = F.when(F.col("id") % 3 == 0, "/a/b/c").when(F.col("id") % 3 == 1, "/a/b/").otherwise(F.concat(F.lit("/x"), F.col("id")))
     rows = d.departments.select("id", "school_id", F.when(F.col("id") % 3 == 0, F.concat(place, F.lit("/"), F.col("id"))).otherwise(place).alias("path"))
-    inner, outer = rows.select("school_id", F.col("id").alias("inner_id"), F.col("path").alias("p")), rows.select("school_id", F.col("id").alias("outer_id"), F.col("path").alias("q"))
     # several rows have the path /a/b/: each is within itself only
-    return inner.join(outer, "school_id").where(joins.within(F.col("p"), F.col("q")) & ((F.col("inner_id") == F.col("outer_id")) | (F.col("p") != F.col("q")))).select("inner_id", "outer_id")
+    pairs = placements.contained(rows, rows, "school_id").join(rows.select(F.col("id").alias("inner_id"), F.col("path").alias("p")), "inner_id").join(rows.select(F.col("id").alias("outer_id"), F.col("path").alias("q")), "outer_id")
+    return pairs.where((F.col("inner_id") == F.col("outer_id")) | (F.col("p") != F.col("q"))).select("inner_id", "outer_id")
 
 
 @query("select page_id::bigint a, page_id + 1000 b from pages where page_id % 3 = 0 union all select page_id + 1000, page_id from pages where page_id % 3 = 0", domain=False)
