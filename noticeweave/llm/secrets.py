@@ -2,14 +2,15 @@
 
 A worklist holds layers. The first is the text; each layer is scanned and then unwrapped: percent
 escapes and Unicode escapes give the layer with its escapes replaced, a base64 token gives a layer of
-its own at each of its four alignments (what stands before a token may look like a part of it), and bytes that are gzip or zlib are
-decompressed: those of a token, and streams in runs of escapes and of characters left as they are. A stream that is cut or damaged gives what
-comes before that. Levels of escapes that only escape the sign of an escape (%2525...) are taken off at once, down to one. Layers that were seen before at the same place
+its own at each of its four alignments (what stands before a token may look like a part of it) that leaves as many characters as the shortest
+secret takes, and bytes that are gzip, zlib, bzip2 or xz are decompressed: those of a token, and streams in runs of escapes and of characters left as they are. A
+stream that is cut or damaged gives what comes before that (for bzip2 and xz up to the last whole block). Levels of escapes that only escape the sign of an escape (%2525...) are taken off at once, down to one. Layers that were seen before at the same place
 are left out, so the list ends at a fixpoint even where layers lead back to themselves. Every layer knows
 for each of its characters the characters of the first text it came from, so that what is found in it
 has a span there: the escapes themselves, the base64 characters, or the whole token of a compressed layer.
 
-Results for odd rows: a null text is empty and has no secrets. Layers that aren't UTF-8 are read as Latin-1, whatever characters they have; what
+Results for odd rows: a null text is empty and has no secrets. Layers that aren't UTF-8 are read as Latin-1; of base64 that isn't, the
+stretches of ASCII and the lines with escapes are, since nothing else can hold a secret or a coding. What
 decompresses to more than PIECE bytes is scanned in pieces as it comes, a run of more than LAYER_BYTES without a line end in overlapping ones. Repeated rows get equal results.
 """
 
@@ -17,12 +18,15 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -51,14 +55,20 @@ _SHORT = {"0": 0, "a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
 _BYTE = re.compile(
     r"\\u\{0*([0-9A-Fa-f]{1,2})\}|\\(?:u00|U000000|x)([0-9A-Fa-f]{2})|&#0*([0-9]{1,3});|&#[xX]0*([0-9A-Fa-f]{1,2});|\\([0abtnvfr\\'\"/])|([^\\\r\n\u0100-\U0010ffff])"
 )
+_BYTES_LINE = re.compile(r"[^\r\n\u0100-\U0010ffff]+")
 _ANY_ESCAPE = re.compile(r"""\\[uUx0abtnvfr\\'"/]|&#""")
 _UNIT = re.compile(r"%[0-9A-Fa-f]{2}|.")
 _BINARY = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f-\xff]")
-_HEAD = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78]")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{60,76}\r?\n)+[A-Za-z0-9+/_-]{2,76}={0,2}")
-#: Bytes that a cut or damaged stream gives at least, and that are fed at once to see how far it goes.
-CUT, FEED = 16, 64
+# Bytes that can begin a stream: zlib's two are a multiple of 31, and so is this list of all of them.
+_ZLIB = b"|".join(re.escape(bytes(h)) for h in ((a, b) for a in range(8, 0x79, 16) for b in range(256)) if (h[0] << 8 | h[1]) % 31 == 0)
+_HEAD = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|" + _ZLIB, re.DOTALL)
+# What of bytes that are no text can hold a pattern or a coding: ASCII, and lines with an escape.
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+_LINE, _ESCAPE_BYTES = re.compile(rb"[^\r\n]+"), re.compile(rb"""\\[uUx0abtnvfr\\'"/]|&#""")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # LEAST_BASE64
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]{2,}={0,2}")
+#: Bytes that a cut or damaged stream gives at least: no secret is shorter. Base64 characters that hold as many. Bytes fed at first, and at most.
+CUT, LEAST_BASE64, FEED, MOST_FED = 12, 16, 64, 1 << 16
 # Levels that only escape the sign of an escape, two and more, and what is left of them: one.
 _LEVELS = {
     "url": ((re.compile(r"%25(?:25)+(?=[0-9A-Fa-f]{2})"), "%25"),),
@@ -117,14 +127,36 @@ class Layer:
         return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), *where
 
 
-def headed(data: bytes) -> bool:
-    """Whether data begins like gzip or zlib."""
-    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+def headed(data: bytes | memoryview) -> bool:
+    """Whether data begins like gzip, zlib, bzip2 or xz."""
+    return _HEAD.match(data) is not None
+
+
+def opened(data: bytes | memoryview) -> Any:
+    """What decompresses a stream that begins like data."""
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(lzma.FORMAT_XZ) if data[:1] == b"\xfd" else zlib.decompressobj(47)
+
+
+def given(box: Any, block: bytes | memoryview) -> Iterator[bytes]:
+    """What block adds, up to BLOCK bytes at a time; zlib.error if it is damaged."""
+    try:
+        yield box.decompress(block, BLOCK)
+        if hasattr(box, "needs_input"):
+            while not box.eof and not box.needs_input:
+                yield box.decompress(b"", BLOCK)
+        else:
+            while not box.eof and box.unconsumed_tail:
+                yield box.decompress(box.unconsumed_tail, BLOCK)
+    except (OSError, EOFError, lzma.LZMAError) as e:
+        raise zlib.error(str(e)) from e
 
 
 def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
-    """What all members of a gzip or zlib stream hold, up to BLOCK bytes at a time; zlib.error if it is cut or damaged."""
-    box, rest = zlib.decompressobj(47), b""
+    """What all members of a stream hold, up to BLOCK bytes at a time; zlib.error if it is cut or damaged."""
+    rest = next(blocks, b"")
+    box = opened(rest)
     while True:
         if not rest and not (rest := next(blocks, b"")):
             if box.eof:
@@ -136,48 +168,59 @@ def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
             if rest[:2] != b"\x1f\x8b":
                 return
             box = zlib.decompressobj(47)
-        out = box.decompress(rest, BLOCK)
-        if out:
-            yield out
-        rest = box.unused_data if box.eof else box.unconsumed_tail
+        yield from filter(None, given(box, rest))
+        rest = box.unused_data if box.eof else b""
 
 
-def salvaged(data: bytes) -> Iterator[bytes]:
-    """What a stream gives up to where it is cut or damaged."""
-    box = zlib.decompressobj(47)
-    for at in range(0, len(data), FEED):
+def salvaged(data: bytes | memoryview) -> Iterator[bytes]:
+    """What a stream gives up to where it is cut or damaged, to the byte for gzip and zlib."""
+    box, at, step = opened(data), 0, FEED
+    while at < len(data) and not box.eof:
+        block = data[at : at + step]
+        before = box.copy() if hasattr(box, "copy") else None
+        out: list[bytes] = []
         try:
-            out = box.decompress(data[at : at + FEED])
+            out.extend(given(box, block))
         except zlib.error:
+            if before is not None:
+                try:
+                    for i in range(len(block)):
+                        yield before.decompress(block[i : i + 1])
+                except zlib.error:
+                    pass
             return
-        if out:
-            yield out
+        yield from out
+        at, step = at + len(block), min(2 * step, MOST_FED)
 
 
-def stream_size(data: bytes) -> tuple[int, bool] | None:
-    """Bytes of the gzip or zlib stream that data begins with, and whether it is whole. None if it is none, or gives less than CUT bytes before it is cut."""
+def stream_size(data: bytes | memoryview) -> tuple[int, bool] | None:
+    """Bytes of the stream that data begins with, and whether it is whole. None if it is none, or gives less than CUT bytes before it is cut.
+
+    Little is fed at first, so that what only begins like a stream costs little.
+    """
     if not headed(data):
         return None
     size = 0
     while True:
-        box, rest = zlib.decompressobj(47), data[size:]
+        box, at, step = opened(data[size : size + 8]), size, FEED
         try:
-            while not box.eof and rest:
-                box.decompress(rest, 1 << 20)
-                rest = box.unconsumed_tail
+            while not box.eof and at < len(data):
+                for _ in given(box, data[at : at + step]):
+                    pass
+                at, step = min(len(data), at + step), min(2 * step, MOST_FED)
             whole = box.eof
         except zlib.error:
             whole = False
         if not whole:
             if size:
                 return size, True
-            given = 0
+            n = 0
             for out in salvaged(data):
-                given += len(out)
-                if given >= CUT:
+                n += len(out)
+                if n >= CUT:
                     return len(data), False
             return None
-        size = len(data) - len(box.unused_data)
+        size = at - len(box.unused_data)
         if data[size : size + 2] != b"\x1f\x8b":
             return size, True
 
@@ -256,10 +299,10 @@ def _nested(make: Callable[[], Iterator[bytes]], seen: set[bytes]) -> Callable[[
 
 def _streams(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, via: str) -> Iterator[Layer]:
     """The decompressed text of each stream in data; byte i of data stands in layer from first[i] to last[i]."""
-    done = 0
+    done, view = 0, memoryview(data)
     for m in _HEAD.finditer(data):
         at = m.start()
-        if at < done or (found := stream_size(data[at:])) is None:
+        if at < done or (found := stream_size(view[at:])) is None:
             continue
         size, whole = found
         done = at + (size if whole else 2)
@@ -288,16 +331,22 @@ def _byte(m: re.Match[str]) -> int:
 
 
 def _escape_streams(layer: Layer) -> Iterator[Layer]:
-    """Streams in runs of escapes and other characters, each of which is a byte."""
+    """Streams in runs of escapes and other characters, each of which is a byte: runs end with lines, so lines without an escape have none."""
+    for line in _BYTES_LINE.finditer(layer.text):
+        if _ANY_ESCAPE.search(line[0]):
+            yield from _line_streams(layer, line.start(), line.end())
+
+
+def _line_streams(layer: Layer, start: int, end: int) -> Iterator[Layer]:
     run: list[tuple[int, int, int]] = []
-    at = 0
+    at = start
 
     def streams() -> Iterator[Layer]:
         data = bytes(x for x, _, _ in run)
         if _BINARY.search(data):
             yield from _streams(layer, data, np.array([a for _, a, _ in run]), np.array([b for _, _, b in run]), "unicode")
 
-    for m in _BYTE.finditer(layer.text):
+    for m in _BYTE.finditer(layer.text, start, end):
         value = _byte(m)
         if run and (m.start() != at or value > 0xFF):
             yield from streams()
@@ -380,19 +429,34 @@ def _decode(layer: Layer, token: str, places: np.ndarray, ends: np.ndarray) -> I
         data = base64.b64decode(token + "=" * (-len(token) % 4))
     except binascii.Error:
         return
-    byte = np.arange(len(data))
-    yield from _streams(layer, data, places[byte * 8 // 6], ends[(byte * 8 + 13) // 6 - 1], "base64")
-    if text := decoded(data):
-        last = np.cumsum(_sizes(text) if len(text) < len(data) or text.isascii() else np.ones(len(text), np.int64))
-        first = np.concatenate([[0], last[:-1]])
-        starts, stops = layer.maps()
-        yield Layer(text, starts[places[first * 8 // 6]], stops[ends[(last * 8 + 5) // 6 - 1] - 1], (*layer.via, "base64"))
+    if _HEAD.search(data):
+        byte = np.arange(len(data))
+        yield from _streams(layer, data, places[byte * 8 // 6], ends[(byte * 8 + 13) // 6 - 1], "base64")
+    starts, stops = layer.maps()
+
+    def piece(text: str, first: np.ndarray, last: np.ndarray) -> Layer:
+        return Layer(text, starts[places[first * 8 // 6]], stops[ends[(last * 8 + 5) // 6 - 1] - 1], (*layer.via, "base64"))
+
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        # Bytes: only stretches that can hold something become layers.
+        lines = (m for m in _LINE.finditer(data) if _ESCAPE_BYTES.search(m[0])) if _ESCAPE_BYTES.search(data) else ()
+        for m in (*_STRETCH.finditer(data), *lines):
+            at = np.arange(m.start(), m.end())
+            yield piece(m[0].decode("latin-1"), at, at + 1)
+        return
+    if text:
+        last = np.cumsum(_sizes(text))
+        yield piece(text, np.concatenate([[0], last[:-1]]), last)
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
     for m in _WRAPPED.finditer(layer.text):
+        bare = re.sub(r"[\r\n=]", "", m[0]).translate({45: 43, 95: 47})
         places = m.start() + np.array([i for i, c in enumerate(m[0]) if c not in "\r\n="])
-        yield from _decode(layer, re.sub(r"[\r\n=]", "", m[0]).translate({45: 43, 95: 47}), places, places + 1)
+        for skip in range(4):
+            yield from _decode(layer, bare[skip:], places[skip:], places[skip:] + 1)
     for m in _BASE64.finditer(layer.text):
         token = m[0].rstrip("=").translate({45: 43, 95: 47})
         whole = stream_size(_bytes(token))
@@ -400,8 +464,9 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             yield from _whole(layer, m.start(), m.end(), _bytes(token), "base64")
             continue
         places = np.arange(m.start(), m.start() + len(token))
-        for skip in range(4 if len(token) >= 20 else 1):
-            yield from _decode(layer, token[skip:], places[skip:], places[skip:] + 1)
+        for skip in range(4):
+            if len(token) - skip >= LEAST_BASE64:
+                yield from _decode(layer, token[skip:], places[skip:], places[skip:] + 1)
 
 
 def _bytes(token: str) -> bytes:
