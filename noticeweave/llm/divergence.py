@@ -33,7 +33,7 @@ LEAST_DOCS, RANKS, SCALE = 3, 200, 1_000_000_000
 #: Groups that are handed to tasks at most (24 bytes each).
 GROUPS = 1_000_000
 #: Bytes of text that are sorted together, and pairs of entries that are computed together.
-SLICE, PAIRS = 16 << 20, 1 << 20
+SLICE, PAIRS = 8 << 20, 1 << 18
 _SPACE = 32
 _TERMS = np.full(256, _SPACE, np.uint8)
 _TERMS[97:123] = np.arange(97, 123)
