@@ -1,7 +1,8 @@
 """Lists, articles, navigation and pagers of pages, as operations on the table of elements (functions/elements.py).
 
-Every operator reads rows of key, node, parent, place, depth, last (descendant), tag, classes, ident, href, attrs, begin, end and text.
-An element's descendants are the nodes after it up to last, so that no tree is walked. All grouping is by page.
+Every operator reads rows of key, node, parent, place, depth, last (descendant), tag, classes, ident, href, attrs, begin, end and text: a table that is
+written once, of which each reads the columns that it needs. An element's descendants are the nodes after it up to last, so that no tree is walked;
+what lies in what comes from running values in document order (nesting.py), never from comparing elements of a page with each other. All grouping is by page.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noticeweave.functions import dates
+from noticeweave.operators import nesting
 
-# Containers of lists, parts of pages that aren't content, and selectors of articles in order.
+# Containers of lists, parts of pages that aren't content, selectors of articles in order, titles that are navigation, and words of pages' frames.
 CONTAINERS = ("ul", "ol", "div", "section", "article", "tbody", "table", "dl", "main", "body")
 NOISE = ("nav", "footer", "header", "aside")
 NOISE_WORDS = ("sidebar", "comment", "share", "related-post", "recommend", "breadcrumb", "toolbar", "page-nav")
 LIST_NOISE = ("footer", "sidebar", "comment", "share", "related")
 ARTICLES = ("article", "[role=main]", "main", ".article-content", ".article", ".content", ".main", ".post-content", ".entry-content", ".detail")
-NAVIGATION_WORDS = ("home", "next", "previous", "last", "login", "register", "more", "back", "English", "sitemap")
+NAVIGATION_WORDS = ("首页", "下一页", "上一页", "末页", "登录", "注册", "更多", "返回", "English", "中文", "网站地图")
+FOOTING_WORDS = ("首页", "末页", "登录", "注册", "版权所有")
 FILES = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|rar|7z|txt|csv)$"
 
 
@@ -44,12 +47,10 @@ def matches(selector: str) -> Column:
 def select_nodes(rows: DataFrame, key: str, selector: str) -> DataFrame:
     """Elements that a selector (parts with spaces between: descendants) names, in order."""
     first, *inner = selector.split()
-    found = rows.where(matches(first))
+    found = rows.withColumn("__hit", matches(first))
     for part in inner:
-        around = found.select(F.col(key).alias("o_key"), F.col("node").alias("o_node"), F.col("last").alias("o_last"))
-        inside = (F.col(key) == F.col("o_key")) & (F.col("node") > F.col("o_node")) & (F.col("node") <= F.col("o_last"))
-        found = rows.where(matches(part)).join(around, inside, "left_semi")
-    return found
+        found = found.withColumn("__in", nesting.covered(key, F.col("__hit"))).withColumn("__hit", matches(part) & F.col("__in"))
+    return found.where("__hit").drop("__hit", "__in")
 
 
 def _words_in(words: tuple[str, ...]) -> Column:
@@ -62,8 +63,7 @@ def _words_in(words: tuple[str, ...]) -> Column:
 
 def without(rows: DataFrame, key: str, condition: Column) -> DataFrame:
     """rows without the elements that meet a condition and all that is in them."""
-    gone = rows.where(condition).select(F.col(key).alias("g_key"), F.col("node").alias("g_node"), F.col("last").alias("g_last"))
-    return rows.join(gone, (F.col(key) == F.col("g_key")) & (F.col("node") >= F.col("g_node")) & (F.col("node") <= F.col("g_last")), "left_anti")
+    return rows.withColumn("__gone", nesting.covered(key, condition, own=True)).where("not __gone").drop("__gone")
 
 
 def signatures(rows: DataFrame, key: str) -> DataFrame:
@@ -74,10 +74,19 @@ def signatures(rows: DataFrame, key: str) -> DataFrame:
 
 
 def links_of(rows: DataFrame, key: str, owners: DataFrame) -> DataFrame:
-    """owner and the links (a with href) in each of owners (key, node, last), the owner itself included."""
-    o = owners.select(F.col(key).alias("o_key"), F.col("node").alias("owner"), F.col("last").alias("o_last"))
-    links = rows.where("tag = 'a' and href <> ''").select(key, "node", "href", F.col("text").alias("label"))
-    return links.join(o, (F.col(key) == F.col("o_key")) & (F.col("node") >= F.col("owner")) & (F.col("node") <= F.col("o_last"))).drop("o_key", "o_last")
+    """owner and the links (a with href) in each of owners (key, node, last), the owner itself included: as many rows as links have owners around them."""
+    links = _links(rows, key)
+    held = nesting.enclosing(owners.select(key, "node", "last"), links, key)
+    return links.join(held, [key, "node"])
+
+
+def _links(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where("tag = 'a' and href <> ''").select(key, "node", "href", F.col("text").alias("label"))
+
+
+def _first_links(rows: DataFrame, key: str, owners: DataFrame) -> DataFrame:
+    """key, node of owners that hold a link, and a: label and href of the first."""
+    return nesting.first_inside(owners, _links(rows, key), key, F.struct("label", "href")).withColumnRenamed("found", "a")
 
 
 def repeating_blocks(rows: DataFrame, key: str, least: int = 3, least_text: int = 8) -> DataFrame:
@@ -108,14 +117,14 @@ def repeating_blocks(rows: DataFrame, key: str, least: int = 3, least_text: int
 def notice_lists(blocks: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The blocks that may list notices: five items, half with links, three tenths with dates, different links, three titles that aren't navigation."""
     good = blocks.where("count >= 5 and link_ratio >= 0.5 and date_ratio >= 0.3 and unique_links >= 0.5")
-    items = good.select(key, F.col("parent").alias("b_parent"), F.col("first").alias("b_first"), F.col("last").alias("b_last"))
-    mine = rows.join(items, key).where((F.col("parent") == F.col("b_parent")) & F.col("node").between(F.col("b_first"), F.col("b_last")))
-    five = mine.withColumn("nth", F.row_number().over(W.partitionBy(key, "b_parent", "b_first").orderBy("node"))).where("nth <= 5")
-    titles = links_of(rows, key, five).groupBy(key, F.col("owner").alias("node")).agg(F.min_by("label", "node").alias("label"))
+    items = good.select(key, "parent", F.col("first").alias("b_first"), F.col("last").alias("b_last"))
+    mine = rows.join(items, [key, "parent"]).where(F.col("node").between(F.col("b_first"), F.col("b_last")))
+    five = mine.withColumn("nth", F.row_number().over(W.partitionBy(key, "parent", "b_first").orderBy("node"))).where("nth <= 5")
+    titles = _first_links(rows, key, five).select(key, "node", F.col("a.label").alias("label"))
     nav = F.lit(False)
     for w in NAVIGATION_WORDS:
         nav = nav | F.contains("label", F.lit(w))
-    named = five.join(titles, [key, "node"]).where((F.char_length("label") >= 4) & ~nav).groupBy(key, F.col("b_parent").alias("parent")).agg(F.count(F.lit(1)).alias("titles"))
+    named = five.join(titles, [key, "node"]).where((F.char_length("label") >= 4) & ~nav).groupBy(key, "parent").agg(F.count(F.lit(1)).alias("titles"))
     return good.join(named.where("titles >= 3"), [key, "parent"])
 
 
@@ -123,19 +132,16 @@ def test_selectors(rows: DataFrame, key: str, list_selector: str, most: int = 10
     """For each item (up to most a page) its first link's label and address, its date, and a warning for what is missing."""
     found = select_nodes(rows, key, list_selector)
     items = found.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy("node"))).where(F.col("nth") <= most)
-    first = links_of(rows, key, items).groupBy(key, F.col("owner").alias("node")).agg(F.min_by(F.struct("label", "href"), "node").alias("a"))
-    joined = items.join(first, [key, "node"], "left")
+    joined = items.join(_first_links(rows, key, items), [key, "node"], "left")
     date = dates.first_date(F.col("text"))
     warning = F.when(F.col("a").isNull(), "no link").when(F.col("a.label") == "", "no title").when(date.isNull(), "no date").otherwise("")
     return joined.select(key, "nth", F.coalesce("a.label", "text").alias("title"), F.coalesce("a.href", F.lit("")).alias("href"), date.alias("date"), warning.alias("warning"))
 
 
 def _measured(rows: DataFrame, key: str) -> DataFrame:
-    """rows with tags (descendants) and link_chars."""
-    inside = rows.where("tag = 'a'").select(F.col(key).alias("a_key"), F.col("node").alias("a_node"), F.char_length("text").alias("a_chars"))
-    joined = rows.join(inside, (F.col(key) == F.col("a_key")) & (F.col("a_node") > F.col("node")) & (F.col("a_node") <= F.col("last")), "left")
-    chars = joined.groupBy(key, "node").agg(F.coalesce(F.sum("a_chars"), F.lit(0)).alias("link_chars"))
-    return rows.join(chars, [key, "node"]).withColumn("tags", F.col("last") - F.col("node"))
+    """rows with tags (descendants) and link_chars (of links that are in an element)."""
+    chars = F.when(F.col("tag") == "a", F.char_length("text"))
+    return nesting.sums_inside(rows, key, link_chars=chars).withColumn("tags", F.col("last") - F.col("node"))
 
 
 def main_content(rows: DataFrame, key: str) -> DataFrame:
@@ -155,7 +161,8 @@ def article_content(rows: DataFrame, key: str, selector: str | None = None) -> D
     """key, method, text and confidence of each page's article: a configured selector, article-like elements in order of ARTICLES with
     100 characters, the densest container with 200, or the body.
 
-    confidence is 0.1 and 0.3 for under 50 and 100 characters, else 0.5 and up to 0.2 for the method and 0.1 for the length.
+    confidence in hundredths is 10 and 30 for under 50 and 100 characters, else 50 and up to 20 for the method and 10 for the length, less 20 for more
+    than three words of pages' frames and 10 for very many spaces.
     """
     tries = []
     if selector:
@@ -191,7 +198,8 @@ def article_content(rows: DataFrame, key: str, selector: str | None = None) -> D
     bonus = F.when(F.col("method") == "configured_selector", 20).when(F.col("method") == "semantic_match", 15).when(F.col("method") == "text_density", 10).otherwise(0)
     length = F.when(n > 2000, 10).when(n > 500, 5).otherwise(0)
     spaces = n - F.char_length(F.replace("text", F.lit(" ")))
-    percent = F.when(n == 0, 0).when(n < 50, 10).when(n < 100, 30).otherwise(50 + bonus + length - F.when(spaces * 5 > n, 10).otherwise(0))
+    framing = sum(((n - F.char_length(F.replace("text", F.lit(w)))) / len(w) for w in FOOTING_WORDS), F.lit(0))
+    percent = F.when(n == 0, 0).when(n < 50, 10).when(n < 100, 30).otherwise(50 + bonus + length - F.when(framing > 3, 20).otherwise(0) - F.when(spaces * 5 > n, 10).otherwise(0))
     return made.withColumn("confidence", percent.cast("long"))
 
 
@@ -200,10 +208,9 @@ def navigation(rows: DataFrame, key: str, least: int = 4) -> DataFrame:
     areas = rows.where(matches("nav") | matches("[role=navigation]") | matches(".nav") | matches(".menu"))
     inside = links_of(rows, key, areas)
     area = inside.groupBy(key, "owner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).groupBy(key).agg(F.max(F.struct("n", -F.col("owner"))).alias("m"))
-    mine = inside.join(area.select(key, (-F.col("m.col2")).alias("owner")), [key, "owner"])
-    items = rows.where("tag = 'li'").select(F.col(key).alias("i_key"), F.col("node").alias("item"), F.col("last").alias("i_last"))
-    held = mine.join(items, (F.col(key) == F.col("i_key")) & (F.col("item") < F.col("node")) & (F.col("i_last") >= F.col("node")), "left")
-    return held.groupBy(key, "node", "label", "href").agg(F.count("item").alias("level"), F.max("item").alias("item"))
+    mine = inside.join(area.select(key, (-F.col("m.col2")).alias("owner")), [key, "owner"]).drop("owner")
+    held = nesting.nearest(rows.where("tag = 'li'"), mine, key).withColumnRenamed("owner", "item")
+    return mine.join(held, [key, "node"]).select(key, "node", "label", "href", "level", "item")
 
 
 def pager(rows: DataFrame, key: str) -> DataFrame:
@@ -255,10 +262,14 @@ def static_notices(rows: DataFrame, key: str, most: int = 150) -> DataFrame:
     kept = without(rows, key, F.col("tag").isin("nav", "header", "footer"))
     links = kept.where("tag = 'a' and href <> ''").select(key, F.col("node").alias("link"), F.col("depth").alias("l_depth"), "href", F.col("text").alias("title"))
     links = links.where(F.char_length("title").between(8, 350))
-    around = kept.select(F.col(key).alias("r_key"), "node", "last", "depth", "text")
-    near = links.join(around, (F.col(key) == F.col("r_key")) & (F.col("node") <= F.col("link")) & (F.col("last") >= F.col("link")) & (F.col("l_depth") - F.col("depth") < 4))
-    others = links_of(kept, key, near.select(key, "node", "last").distinct()).groupBy(key, F.col("owner").alias("node")).agg(F.countDistinct("href").alias("hrefs"))
-    regions = near.join(others, [key, "node"]).where("hrefs = 1").where(F.char_length("text") <= 700).withColumn("date", dates.first_date(F.col("text")))
+    near = None
+    at = links.withColumn("node", F.col("link"))
+    for _ in range(4):  # the link and three elements around it, by their parents
+        here = at.join(kept.select(key, "node", "parent", "last", "depth", "text"), [key, "node"])
+        near = here if near is None else near.unionByName(here)
+        at = here.select(*links.columns, F.col("parent").alias("node"))
+    others = links_of(kept, key, near.select(key, "node", "last").distinct()).groupBy(key, F.col("owner").alias("node")).agg(F.min("href").alias("h1"), F.max("href").alias("h2")).where("h1 = h2")
+    regions = near.join(others, [key, "node"]).where(F.char_length("text") <= 700).withColumn("date", dates.first_date(F.col("text")))
     best = regions.where("date is not null").groupBy(key, "link", "href", "title").agg(F.max_by("date", "depth").alias("date"))
     once = best.groupBy(key, "href").agg(F.min_by(F.struct("link", "title", "date"), "link").alias("n"))
     placed = once.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("n.link"))).where(F.col("place") <= most)
@@ -274,10 +285,8 @@ def content_class(texts: DataFrame, status: Column, words: Column) -> Column:
 
 
 def _inside(rows: DataFrame, key: str, items: DataFrame, selector: str) -> DataFrame:
-    """item and the first element in it that a selector names."""
-    around = items.select(F.col(key).alias("i_key"), F.col("node").alias("item"), F.col("last").alias("i_last"))
-    found = select_nodes(rows, key, selector).join(around, (F.col(key) == F.col("i_key")) & (F.col("node") >= F.col("item")) & (F.col("node") <= F.col("i_last")))
-    return found.groupBy(key, "item").agg(F.min_by(F.struct("text", "href"), "node").alias("found"))
+    """key, node of items and found: text and href of the first element in it that a selector names."""
+    return nesting.first_inside(items, select_nodes(rows, key, selector), key, F.struct("text", "href"))
 
 
 def extracted_columns(rows: DataFrame, key: str, config: dict[str, str]) -> DataFrame:
@@ -286,7 +295,7 @@ def extracted_columns(rows: DataFrame, key: str, config: dict[str, str]) -> Data
     items = found.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy("node")))
     out = items.select(key, "node", "nth")
     for name in ("title", "link", "date"):
-        part = _inside(rows, key, items, config[name]).select(key, F.col("item").alias("node"), F.col("found").alias(name))
+        part = _inside(rows, key, items, config[name]).withColumnRenamed("found", name)
         out = out.join(part, [key, "node"], "left")
     date = dates.first_date(F.col("date.text"))
     again = F.count(F.lit(1)).over(W.partitionBy(key, "link.href")) > 1
@@ -304,12 +313,10 @@ def observation(columns: DataFrame, key: str, config: dict[str, str]) -> DataFra
 def table_cells(rows: DataFrame, key: str) -> DataFrame:
     """row, header, text and href of each cell below a table's header row: relations of tables are read from these."""
     cells = rows.where(F.col("tag").isin("td", "th")).select(key, "node", "parent", "place", "last", "tag", "text")
-    lines = rows.where("tag = 'tr'").select(key, F.col("node").alias("row"), F.col("last").alias("row_last"))
-    tables = rows.where("tag = 'table'").select(F.col(key).alias("t_key"), F.col("node").alias("table"), F.col("last").alias("t_last"))
-    placed = lines.join(tables, (F.col(key) == F.col("t_key")) & (F.col("row") > F.col("table")) & (F.col("row") <= F.col("t_last"))).groupBy(key, "row").agg(F.max("table").alias("table"))
-    joined = cells.join(placed.withColumnRenamed("row", "parent"), [key, "parent"])
+    placed = nesting.nearest(rows.where("tag = 'table'"), rows.where("tag = 'tr'"), key).where("level > 0").select(key, F.col("node").alias("parent"), F.col("owner").alias("table"))
+    joined = cells.join(placed, [key, "parent"])
     heads = joined.where("tag = 'th'").groupBy(key, "table", "place").agg(F.min_by("text", "node").alias("header"))
-    links = links_of(rows, key, joined.select(key, "node", "last")).groupBy(key, F.col("owner").alias("node")).agg(F.min_by("href", "node").alias("href"))
+    links = _first_links(rows, key, joined).select(key, "node", F.col("a.href").alias("href"))
     return joined.where("tag = 'td'").join(heads, [key, "table", "place"]).join(links, [key, "node"], "left").select(key, F.col("parent").alias("row"), "header", "text", "href")
 
 
@@ -324,11 +331,12 @@ def header_fields(rows: DataFrame, key: str) -> DataFrame:
 
 def publication_lists(rows: DataFrame, key: str, valid: float = 0.6) -> DataFrame:
     """column, title, href and day of lists below headings: each list's items with links, if valid of them have a title of 8 characters and a date."""
-    heads = rows.where(F.col("tag").isin("h2", "h3", "h4")).select(F.col(key).alias("h_key"), F.col("node").alias("head"), F.col("parent").alias("h_parent"), F.col("text").alias("column"))
-    lists = rows.where(F.col("tag").isin("ul", "ol")).select(key, F.col("node").alias("list"), "parent", F.col("last").alias("l_last"))
-    named = lists.join(heads, (F.col(key) == F.col("h_key")) & (F.col("parent") == F.col("h_parent")) & (F.col("head") < F.col("list"))).groupBy(key, "list").agg(F.max_by("column", "head").alias("column"))
+    # the latest heading before a list among the children of one element
+    before = W.partitionBy(key, "parent").orderBy("node").rowsBetween(W.unboundedPreceding, -1)
+    named = rows.where(F.col("tag").isin("h2", "h3", "h4", "ul", "ol")).withColumn("column", F.last(F.when(F.col("tag").startswith("h"), F.col("text")), ignorenulls=True).over(before))
+    named = named.where(F.col("tag").isin("ul", "ol") & F.col("column").isNotNull()).select(key, F.col("node").alias("list"), "column")
     items = rows.where("tag = 'li'").withColumnRenamed("parent", "list").join(named, [key, "list"])
-    links = links_of(rows, key, items).groupBy(key, F.col("owner").alias("node")).agg(F.min_by(F.struct("label", "href"), "node").alias("a"))
+    links = _first_links(rows, key, items)
     whole = items.join(links, [key, "node"]).select(key, "list", "column", "node", F.col("a.label").alias("title"), "a.href", dates.first_date(F.col("text")).alias("day"))
     good = (F.char_length("title") >= 8) & F.col("day").isNotNull()
     share = whole.groupBy(key, "list").agg(F.avg(good.cast("double")).alias("share")).where(F.col("share") >= valid)
@@ -338,10 +346,13 @@ def publication_lists(rows: DataFrame, key: str, valid: float = 0.6) -> DataFram
 def structure(rows: DataFrame, key: str) -> DataFrame:
     """Entries of nested menus: label, href, relation (menu_group with entries below it, else navigation_entry) and parent (the label of the entry around it)."""
     items = rows.where("tag = 'li'").select(key, "node", "last")
-    links = links_of(rows, key, items).groupBy(key, F.col("owner").alias("item")).agg(F.min_by(F.struct("label", "href", "node"), "node").alias("a"))
-    entries = items.withColumnRenamed("node", "item").join(links, [key, "item"])
-    outer = entries.select(F.col(key).alias("o_key"), F.col("item").alias("o_item"), F.col("last").alias("o_last"), F.col("a.label").alias("o_label"))
-    near = entries.join(outer, (F.col(key) == F.col("o_key")) & (F.col("o_item") < F.col("item")) & (F.col("item") <= F.col("o_last")), "left").groupBy(key, "item").agg(F.max_by("o_label", "o_item").alias("parent"), F.max("o_item").alias("above"))
+    entries = items.join(_first_links(rows, key, items), [key, "node"])
+    parents = rows.select(key, "node", "parent").join(entries.select(key, "node"), [key, "node"])
+    # what holds an entry holds its parent
+    outer = nesting.nearest(entries, parents.select(key, F.col("parent").alias("node")).distinct(), key).where("level > 0").select(key, F.col("node").alias("parent"), F.col("owner").alias("above"))
+    labels = entries.select(key, F.col("node").alias("above"), F.col("a.label").alias("o_label"))
+    near = parents.join(outer, [key, "parent"], "left").join(labels, [key, "above"], "left").select(key, F.col("node").alias("item"), F.col("o_label").alias("parent"), "above")
+    entries = entries.withColumnRenamed("node", "item")
     below = near.where("above is not null").select(key, F.col("above").alias("item"), F.lit(True).alias("group")).distinct()
     joined = entries.join(near.select(key, "item", "parent"), [key, "item"]).join(below, [key, "item"], "left")
     return joined.select(key, "a.label", "a.href", F.when(F.col("group"), "menu_group").otherwise("navigation_entry").alias("relation"), "parent")
@@ -390,11 +401,10 @@ def fragments(rows: DataFrame, key: str, size: int = 16_384) -> DataFrame:
     from noticeweave.functions.scalars import packed
 
     blocks = rows.where(F.col("tag").isin(*sorted(_BLOCKS), "li", "td", "th"))
-    inner = blocks.select(F.col(key).alias("i_key"), F.col("node").alias("i_node"))
-    lowest = blocks.join(inner, (F.col(key) == F.col("i_key")) & (F.col("i_node") > F.col("node")) & (F.col("i_node") <= F.col("last")), "left_anti").where("text <> ''")
-    around = rows.select(F.col(key).alias("o_key"), F.col("node").alias("o_node"), F.col("last").alias("o_last"), F.col("tag").alias("o_tag"))
-    held = lowest.join(around, (F.col(key) == F.col("o_key")) & (F.col("o_node") < F.col("node")) & (F.col("o_last") >= F.col("node")), "left")
-    shelled = held.groupBy(key, "node", "tag", "text").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_node", "o_tag"))), lambda x: x["o_tag"]).alias("shell"))
+    lowest = nesting.innermost(blocks, key).where("text <> ''")
+    around = nesting.enclosing(rows, lowest, key).where("owner <> node").join(rows.select(key, F.col("node").alias("owner"), F.col("tag").alias("o_tag")), [key, "owner"])
+    shells = around.groupBy(key, "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("owner", "o_tag"))), lambda x: x["o_tag"]).alias("shell"))
+    shelled = lowest.select(key, "node", "tag", "text").join(shells, [key, "node"], "left").withColumn("shell", F.coalesce("shell", F.array().cast("array<string>")))
     page = shelled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("node", "text", F.concat_ws(">", "shell", "tag").alias("path")))).alias("b"))
     numbered = page.select(key, F.explode(F.arrays_zip("b", packed(F.col("b.text"), size).alias("chunk"))).alias("z"))
     return numbered.select(key, F.col("z.chunk").alias("chunk"), "z.b.path", "z.b.text")

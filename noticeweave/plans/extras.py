@@ -13,6 +13,7 @@ from noticeweave.operators import hierarchy, windows
 from noticeweave.operators import pages as P
 from noticeweave.plans.domain import Domain
 from noticeweave.plans.registry import query
+from noticeweave.tables import written
 from noticeweave.sources import files
 
 
@@ -177,7 +178,7 @@ def _columns(d: Domain) -> DataFrame:
         F.lit("<html><body><ul><li><a href='/u'>Units</a><ul><li><a href='/u/1'>First</a></li><li><a href='/u/2'>Second</a></li></ul></li><li><a href='/h'>Home</a></li></ul><div><h1>"), F.col("name"), F.lit("</h1><span>Author: "), F.col("name"), F.lit("</span><span>views</span><p>Source: no</p></div>"),
         F.lit("<table><tr><th>Unit</th><th>Page</th></tr><tr><td>A"), i, F.lit("</td><td><a href='/a"), i, F.lit("'>go</a></td></tr></table><section><h2>All news</h2><ul class='c'>"), F.coalesce("items", F.lit("")), F.lit("</ul></section></body></html>"),
     )
-    return E.elements(E.page_texts(named.select("id", page.alias("html")), "id", "html"), "id")
+    return written(E.elements(E.page_texts(named.select("id", page.alias("html")), "id", "html"), "id"))
 
 
 _CONFIG = {"list": "ul.c li", "title": "b.t", "link": "a.l", "date": "i.d"}
@@ -233,7 +234,7 @@ def _articles(d: Domain) -> tuple[DataFrame, DataFrame]:
     heading = F.when(o % 5 == 3, F.lit("<h1>Something else</h1>")).when(o % 5 == 4, F.concat(F.lit("<h2>"), title, F.lit("</h2><h2>"), title, F.lit("</h2>"))).otherwise(F.concat(F.lit("<h1>"), F.lower(title), F.lit("</h1>")))
     page = F.concat(F.lit("<html><head>"), meta, F.lit("</head><body><nav>Menu</nav><div>"), heading, beside, F.lit("<p>"), F.repeat(F.lit("Words. "), 9), F.lit("</p><ul><li>One</li><li>Two</li></ul></div><p>1999-09-09</p></body></html>"))
     rows = d.table("orders").select(o.alias("k"), page.alias("html"), title.alias("title"))
-    return E.elements(E.page_texts(rows, "k", "html"), "k"), rows.select("k", "title")
+    return written(E.elements(E.page_texts(rows, "k", "html"), "k")), rows.select("k", "title")
 
 
 @query(

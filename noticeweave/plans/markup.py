@@ -11,6 +11,7 @@ from noticeweave.operators import pages as P
 from noticeweave.operators import ranking
 from noticeweave.plans.domain import Domain
 from noticeweave.plans.registry import query
+from noticeweave.tables import written
 
 # The strings of a page's part, each without outer white space, one after the other.
 _DECODED = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
@@ -19,7 +20,7 @@ _ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1
 
 
 def _landed(d: Domain) -> DataFrame:
-    return E.elements(E.page_texts(d.table("pages"), "page_id", "html"), "page_id")
+    return written(E.elements(E.page_texts(d.table("pages"), "page_id", "html"), "page_id"))
 
 
 @query("select page_id, len(regexp_extract_all(html, '<[a-zA-Z]'))::bigint elements, len(regexp_extract_all(html, '<a '))::bigint links, len(regexp_extract_all(html, '<p>'))::bigint paragraphs from pages", domain=False)
@@ -85,7 +86,7 @@ def _lists(d: Domain) -> DataFrame:
     pager = F.concat(F.lit('<div class="pages">'), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit('<a href="index_'), i, F.lit('.htm">'), i, F.lit("</a>"))), " "), F.lit('<a href="index_2.htm" rel="next">Next</a></div>'))
     files = F.concat(F.lit('<p><img src="/i/'), F.col("k"), F.lit('.png" alt="Plan"><a href="/files/a.pdf?x=1">Form <b>A</b></a><a href="/files/a.pdf?x=1">again</a><a href="/about">About</a></p>'))
     page = F.concat(F.lit('<html><body><nav class="menu"><ul><li><a href="/">Home</a></li><li><a href="/b">More</a></li></ul></nav><div id="main"><ul class="list">'), F.col("items"), F.lit("</ul>"), pager, files, F.lit("</div><footer>Foot</footer></body></html>"))
-    return E.elements(E.page_texts(rows.select("k", page.alias("html")), "k", "html"), "k")
+    return written(E.elements(E.page_texts(rows.select("k", page.alias("html")), "k", "html"), "k"))
 
 
 _ITEMS = ", i as (select author_id k, id, 'Notice about ' || title t, coalesce(strftime(published_at, '%Y-%m-%d'), 'unknown day') dy, published_at is not null dated from notices)"
