@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from noticeweave.operators.displays import contained_sets
 from noticeweave.operators.graphs import _kept, bounded_paths, descendants
 
 
@@ -166,10 +167,9 @@ def source_tree(sources: DataFrame, directory: DataFrame, groups: Column, depth:
 def folded(displays: DataFrame, key: str, owner: str, item: str) -> DataFrame:
     """key and owner of displays to show: of displays of one key with equal items the least owner, without those whose items are all in a larger one of that key."""
     sets = displays.groupBy(key, owner).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    once = sets.groupBy(key, "items").agg(F.min(owner).alias(owner))
-    small, large = once.alias("s"), once.alias("l")
-    inside = (F.col(f"s.{key}") == F.col(f"l.{key}")) & (F.size("s.items") < F.size("l.items")) & (F.size(F.array_except("s.items", "l.items")) == 0)
-    return small.join(large, inside, "left_anti").select(key, owner, F.size("items").alias("n"))
+    once = _kept(sets.groupBy(key, "items").agg(F.min(owner).alias(owner)))
+    rows = once.select(key, owner, F.explode("items").alias(item))
+    return once.join(contained_sets(rows, rows, [key], owner, item, proper=True), [key, owner], "left_anti").select(key, owner, F.size("items").alias("n"))
 
 
 def common_ancestors(paths: DataFrame, key: str, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeweave.operators import placements
+from noticeweave.operators import displays, placements
 from noticeweave.plans.domain import Domain
 from noticeweave.plans.registry import query
 
@@ -109,3 +109,65 @@ def address_owners(d: Domain) -> DataFrame:
     routed = F.concat(at(s, 4), s % 4, F.lit("/"), s % 3, F.lit("?q="), s % 3)
     url = F.when(s % 4 == 0, F.concat(at(s, 4), F.lit("index.html"))).when(s % 4 == 1, F.concat(at(s, 4), s % 4, F.lit("/"))).when(s % 4 == 2, F.concat(F.lit("https://h"), F.floor(s / 4), F.lit("/b"))).otherwise(routed)
     return placements.address_owners(sources, d.table("supplier").select(s.alias("id"), url.alias("url")))
+
+
+# Two levels of shown units for each nation: suppliers at the top, below them what they sell; sources are parts.
+_SHOWN = """
+with top as (
+  select s_nationkey tree, 'a' || s_suppkey unit, s_suppkey nth, 'N' || s_suppkey % 3 as name, s_suppkey % 5 = 0 verified, s_suppkey % 11 > 0 wide,
+         case when s_suppkey % 3 = 0 then '' else 'https://x/' || s_suppkey % 2 end url, case when s_suppkey % 6 = 3 then 'record:' || s_suppkey % 4 else 'k' || s_suppkey end nav, s_suppkey % 12 = 6 preset
+  from supplier
+),
+kid as (
+  select distinct s_nationkey tree, 'a' || l_suppkey parent, 'b' || l_suppkey || '-' || l_partkey % 3 unit, l_partkey % 3 nth, 'K' || l_partkey % 3 as name, case when l_suppkey % 4 = 0 then 'https://x/k' || l_partkey % 3 else '' end url
+  from lineitem join supplier on s_suppkey = l_suppkey where l_quantity > 30
+),
+src as (
+  select distinct s_nationkey tree, 'a' || l_suppkey unit, l_suppkey % 3 * 10 + l_partkey % 2 source from lineitem join supplier on s_suppkey = l_suppkey where l_quantity < 3
+  union select s_nationkey, 'b' || l_suppkey || '-' || l_partkey % 3, 100 + l_partkey % 4 from lineitem join supplier on s_suppkey = l_suppkey where l_quantity > 49
+),
+t1 as (
+  select *, case when preset and url = '' and lo = hi then lo else url end u from (select *, min(case when not verified and wide and url <> '' then url end) over w lo, max(case when not verified and wide and url <> '' then url end) over w hi from top window w as (partition by tree, name))
+),
+t2 as (select *, case when verified or not wide then null when u <> '' then 'e' || name || u when starts_with(nav, 'record:') then 'r' || name || nav end same from t1),
+t3 as (select *, case when same is null then unit else arg_min(unit, nth) over (partition by tree, same) end kept from t2),
+k1 as (select kid.*, t3.kept above, t3.nth tn from kid join t3 on t3.tree = kid.tree and t3.unit = kid.parent),
+k2 as (select *, case when url <> '' then arg_min(unit, (nth, unit)) over (partition by tree, above, name, url) else unit end kept from k1),
+ko as (select k2.tree, k2.kept unit, list_sort(list(distinct source)) own from k2 join src on src.tree = k2.tree and src.unit = k2.unit group by all),
+k3 as (select distinct k2.tree, k2.above, k2.unit, k2.nth, k2.name, k2.url, coalesce(own, []) own from k2 left join ko on ko.tree = k2.tree and ko.unit = k2.unit where k2.unit = k2.kept),
+k4 as (select *, case when url = '' then row_number() over (partition by tree, above, name, url, own order by nth, unit) else 1 end place from k3),
+k5 as (select * from k4 where place = 1),
+inn as (select tree, above unit, list_sort(list((name, url, own))) inn, list(distinct x) filter (x is not null) deep from (select *, unnest(case when len(own) = 0 then [null] else own end) x from k5) group by all),
+inn2 as (select tree, above unit, list_sort(list(name || '|' || url || '|' || array_to_string(own, ','))) inn from k5 group by all),
+town as (select t3.tree, t3.kept unit, list_sort(list(distinct source)) own from t3 join src on src.tree = t3.tree and src.unit = t3.unit group by all),
+t4 as (select t3.tree, t3.unit, t3.nth, t3.name, verified, wide, u, coalesce(town.own, []) own, coalesce(inn2.inn, []) inn, coalesce(inn.deep, []) deep
+       from t3 left join town on town.tree = t3.tree and town.unit = t3.unit left join inn on inn.tree = t3.tree and inn.unit = t3.unit left join inn2 on inn2.tree = t3.tree and inn2.unit = t3.unit where t3.unit = t3.kept),
+t5 as (select *, case when not verified and wide and u = '' then row_number() over (partition by tree, verified, wide, name, u, own, inn order by nth, unit) else 1 end place, list_distinct(list_concat(own, deep)) ids from t4),
+t6 as (select * from t5 where place = 1),
+t7 as (
+  select * from t6 a where case when not wide then not list_has_all(coalesce((select list(distinct i) from (select unnest(ids) i from t6 b where b.tree = a.tree and b.wide)), []), ids)
+    when not verified then not exists (select 1 from t6 b where b.tree = a.tree and b.verified and b.wide and b.name = a.name and list_has_all(b.ids, a.ids)) else true end
+)
+select tree::bigint tree, unit, name, u url, 0 as "depth", array_to_string(own, ',') own from t7
+union all select k5.tree::bigint, k5.unit, k5.name, k5.url, 1, array_to_string(k5.own, ',') from k5 join t7 on t7.tree = k5.tree and t7.unit = k5.above
+"""
+
+
+@query(_SHOWN, domain=False)
+def shown_trees(d: Domain) -> DataFrame:
+    s, p = F.col("s_suppkey"), F.col("l_partkey")
+    tree = F.col("s_nationkey").cast("long").alias("tree")
+    top = d.table("supplier").select(
+        tree, F.concat(F.lit("a"), s).alias("unit"), F.lit(None).cast("string").alias("parent"), s.alias("nth"), F.concat(F.lit("N"), s % 3).alias("name"), F.when(s % 5 == 0, displays.VERIFIED).otherwise(displays.DISPLAY).alias("basis"),
+        (s % 11 > 0).alias("expandable"), F.when(s % 3 != 0, F.concat(F.lit("https://x/"), s % 2)).alias("url"), F.when(s % 6 == 3, F.concat(F.lit("record:"), s % 4)).otherwise(F.concat(F.lit("k"), s)).alias("navigation"), (s % 12 == 6).alias("preset"),
+    )
+    sold = d.table("lineitem").join(d.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    parent, unit = F.concat(F.lit("a"), F.col("l_suppkey")), F.concat(F.lit("b"), F.col("l_suppkey"), F.lit("-"), p % 3)
+    kid = sold.where("l_quantity > 30").select(
+        tree, unit.alias("unit"), parent.alias("parent"), (p % 3).alias("nth"), F.concat(F.lit("K"), p % 3).alias("name"), F.lit(displays.DISPLAY).alias("basis"), F.lit(True).alias("expandable"),
+        F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("https://x/k"), p % 3)).alias("url"), F.lit("").alias("navigation"), F.lit(False).alias("preset"),
+    ).distinct()
+    own = sold.where("l_quantity < 3").select(tree, parent.alias("unit"), (F.col("l_suppkey") % 3 * 10 + p % 2).alias("source"))
+    deep = sold.where("l_quantity > 49").select(tree, unit.alias("unit"), (p % 4 + 100).alias("source"))
+    shown = displays.display_tree(top.unionByName(kid), own.unionByName(deep).distinct())
+    return shown.select("tree", "unit", "name", "url", "depth", F.array_join(F.col("own").cast("array<string>"), ",").alias("own"))
