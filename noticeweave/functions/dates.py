@@ -33,9 +33,14 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     (r"(\d+)\s*(分钟前|小时前|天前)", "n unit"),
 )
 #: Dates of events and changes, which aren't those of publication; fields of publication; what follows a date in an editorial line.
-NOT_PUBLISHED = r"(?i)讲座(时间|日期)|活动(时间|日期)|会议(时间|日期)|举行(时间|日期)|报名(时间|日期|截止)|截止(时间|日期)|截至|更新时间|更新日期|修改时间|(event|lecture)[-_ ]?(date|time)|deadline|datemodified|startdate|enddate"
-PUBLISHED = r"(?i)发布日期|发布时间|发布于|发文日期|published|date published"
-EDITOR = r"^\s*(责任编辑|编辑[:：]|作者[:：]|来源[:：]|浏览(量|次数)?[:：]|author:|source:|editor:)"
+NOT_PUBLISHED = (
+    r"(?i)讲座(?:时间|日期)|活动(?:时间|日期)|会议(?:时间|日期)|举行(?:时间|日期)|报名(?:时间|日期|截止)|截止(?:时间|日期)|截至|更新时间|更新日期|修改时间|"
+    r"(?:event|lecture)[-_ ]?(?:date|time)|deadline|datemodified|startdate|enddate"
+)
+PUBLISHED = r"发布日期|发布时间|发布于|发文日期"
+PUBLISH = r"^(?:发布日期|发布时间|发文日期|发布于)\s*[：:]?\s*"
+COMPACT_PUBLISH = r"(?:发布日期|发布时间|发文日期|发布于)\s*[：:]?\s*(\d{4}\d{2}\d{2})(?!\d)"
+EDITOR = r"责任编辑|编辑[:：]|作者[:：]|来源[:：]|浏览(?:量|次数)?[:：]"
 TIME_RANGE = r"\d{1,2}[:：]\d{2}\s*[—–~～至-]+\s*\d{1,2}[:：]\d{2}"
 
 
@@ -103,9 +108,9 @@ def _every(text: Column, pattern: str, kind: str, clock: Column | None) -> Colum
 
 
 def compact_date(text: Column) -> Column:
-    """The only run of eight digits yyyymmdd of a field of publication, as a date; null if there are several or none."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<!\d)(20\d{6})(?!\d)"), 1)
-    return F.when(text.rlike(PUBLISHED) & (F.size(found) == 1), F.try_to_date(F.get(found, 0), "yyyyMMdd"))
+    """The day yyyymmdd right after the label of a field that begins with one, as a date; null without it, with several, or if there is no such day."""
+    found = F.regexp_extract_all(text, F.lit(COMPACT_PUBLISH), 1)
+    return F.when(text.rlike(PUBLISH) & (F.size(found) == 1), F.try_to_date(F.get(found, 0), "yyyyMMdd"))
 
 
 def editorial_line(text: Column) -> Column:
@@ -115,13 +120,13 @@ def editorial_line(text: Column) -> Column:
     one = F.size(F.regexp_extract_all(plain, F.lit(f"({full})"), 1)) == 1
     valid = first_date(F.regexp_extract(plain, full, 0)).isNotNull()
     after = F.regexp_replace(plain, f"^{full}", "")
-    return (plain != "") & (F.char_length(plain) <= 220) & one & plain.rlike(f"^{full}") & ~plain.rlike(NOT_PUBLISHED) & ~plain.rlike(TIME_RANGE) & after.rlike(EDITOR) & valid
+    return (plain != "") & (F.char_length(plain) <= 220) & one & plain.rlike(f"^{full}") & ~plain.rlike(NOT_PUBLISHED) & ~plain.rlike(TIME_RANGE) & after.rlike(rf"^\s*(?:{EDITOR})") & valid
 
 
 def listing_role(text: Column, marks: Column) -> Column:
     """missing, non_publication, ambiguous, publication or listing: what a date beside a list's title stands for. marks: class names."""
     raw = F.trim(F.coalesce(text, F.lit("")))
-    visible = F.regexp_replace(raw, r"^(发布日期|发布时间|发布于|发文日期|Published)\s*[：:]?\s*", "")
+    visible = F.regexp_replace(raw, PUBLISH, "")
     full = visible.rlike(r"^\s*\d{4}[年./-]\s*\d{1,2}[月./-]\s*\d{1,2}") | visible.rlike(r"^\s*([A-Za-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4})\s*$")
     return (
         F.when(raw == "", "missing").when(F.concat_ws(" ", raw, marks).rlike(NOT_PUBLISHED) | raw.rlike(TIME_RANGE), "non_publication").when(~full, "ambiguous")

@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+# Ranks of kinds of links and of others, what a told value adds, and words of lists of notices.
+KINDS = {"root": 0, "directory": 1, "unit": 2, "major": 2, "channel": 3, "navigation": 4}
+OTHER_KIND = 4
+VALUES = {"relevant": -2, "potential": -1, "mixed": 0, "unknown": 0, "low": 2}
+NOTICE_KEYWORDS = (
+    "tzgg", "notice", "tongzhi", "gonggao", "announcement", "news", "xwdt", "xwzx", "info", "article", "list", "xinwen", "tongzhigonggao", "ggl", "tzg", "xytz",
+)
+
 
 def page(rows: DataFrame, keys: list[str], size: int, number: int = 1, *, tie: str = "id") -> DataFrame:
     """A page of each key's notices: newest first, undated last, then newest created. Ranks are cut before the shuffle."""
@@ -90,9 +98,9 @@ def candidate_order(candidates: DataFrame, key: str) -> DataFrame:
 
 
 def route_priority(kind: Column, value: Column) -> Column:
-    """The rank of a link's kind, made better by one for a valuable one and worse by one for a poor one."""
-    rank = F.when(kind == "channel", 1).when(kind == "unit", 2).when(kind == "directory", 3).when(kind == "navigation", 5).otherwise(8)
-    return rank + F.when(value == "high", -1).when(value == "low", 1).otherwise(0)
+    """The rank of a link's kind, less for one that is told to be relevant, more for one that isn't."""
+    ranks, steps = (F.create_map(*(F.lit(x) for pair in table.items() for x in pair)) for table in (KINDS, VALUES))
+    return F.coalesce(F.element_at(ranks, kind), F.lit(OTHER_KIND)) + F.coalesce(F.element_at(steps, value), F.lit(0))
 
 
 def sampled_articles(records: DataFrame, key: str, address: str, attempts: int, target: int) -> DataFrame:
@@ -103,12 +111,17 @@ def sampled_articles(records: DataFrame, key: str, address: str, attempts: int,
     return tried.withColumn("before", before).where(F.col("before") < target).drop("before")
 
 
-def notice_links(links: DataFrame, key: str, words: dict[str, int], most: int = 10) -> DataFrame:
-    """Each page's links that most likely lead to lists of notices: points for words, 3 for an index address, less a tenth for each character."""
-    points = F.lit(0)
-    for word, n in words.items():
-        points = points + F.when(F.contains(F.lower("label"), F.lit(word)), n).otherwise(0)
-    score = 10 * points + F.when(F.col("href").rlike(r"(index|list)[^/]*\.s?html?$|/$"), 30).otherwise(0) - F.char_length("label")
-    scored = links.withColumn("score", score).where(points > 0)
+def notice_links(links: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """Each page's links that most likely lead to lists of notices, with score in tenths. links: key, node, href, label.
+
+    3 points for each word in the address and 2 in the label, 5 for an address that looks like an index, less 0.02 for each of its characters, less 3 if it looks like an
+    article's; rounded to tenths. Of equal scores the first link counts, each address once.
+    """
+    href, label = F.lower("href"), F.lower("label")
+    points = sum((F.when(F.contains(href, F.lit(w)), 300).otherwise(0) + F.when(F.contains(label, F.lit(w)), 200).otherwise(0) for w in NOTICE_KEYWORDS), F.lit(0))
+    index = F.endswith(href, F.lit("/")) | F.contains(href, F.lit("index")) | href.rlike(r"/(tzgg|notice|news)\d*/*$")
+    hundredths = points + F.when(index, 500).otherwise(0) - 2 * F.char_length("href") - F.when(~index & href.rlike(r"/\d{4,}|content_\d+|art_\d+"), 300).otherwise(0)
+    usable = (F.col("href") != "") & ~F.col("href").rlike("^(#|javascript:|mailto:|tel:)")
+    scored = links.where(usable & (points > 0)).withColumn("score", F.floor((hundredths + 5) / 10).cast("long"))
     once = best(scored, [key, "href"], [F.desc("score"), F.col("node")]).drop("place")
     return best(once, [key], [F.desc("score"), F.col("node")], most)

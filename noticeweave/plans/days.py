@@ -48,14 +48,16 @@ def extracted_dates(d: Domain) -> DataFrame:
 
 
 @query(
-    """select o_orderkey, case when o_orderkey % 4 = 0 then try_cast('20' || strftime(o_orderdate, '%m-%m-%d') as date) end compact, o_orderkey % 3 = 0 editorial,
+    """select o_orderkey, case when o_orderkey % 5 in (0, 2) then try_cast('20' || strftime(o_orderdate, '%m-%m-%d') as date) end compact, o_orderkey % 3 = 0 editorial,
   case o_orderkey % 6 when 0 then 'missing' when 1 then 'non_publication' when 2 then 'ambiguous' when 3 then 'publication' when 4 then 'listing' else 'non_publication' end as "role" from orders""",
     domain=False,
 )
 def date_fields(d: Domain) -> DataFrame:
     o, day = F.col("o_orderkey"), F.date_format("o_orderdate", "'20'MMMMdd".replace("MMMM", "MM'x'MM"))
     day = F.replace(day, F.lit("x"))
-    field = F.when(o % 4 == 0, F.concat(F.lit("发布时间："), day)).when(o % 4 == 1, F.concat(F.lit("编号 "), day)).when(o % 4 == 2, F.concat(F.lit("发布时间："), day, F.lit(" "), day)).otherwise("发布时间：20249999")
+    # numbers that are no days of publication: of a document, after the label's own day, and after another day
+    field = F.when(o % 5 == 0, F.concat(F.lit("发布时间："), day)).when(o % 5 == 1, F.concat(F.lit("编号 "), day)).when(o % 5 == 2, F.concat(F.lit("发布于 "), day, F.lit(" 编号 "), day))
+    field = field.when(o % 5 == 3, F.concat(F.lit("发布时间：2024-03-05 编号 "), day)).otherwise(F.concat(F.lit("发布时间：20249999 发布时间："), day))
     written = F.date_format("o_orderdate", "yyyy-MM-dd")
     line = F.when(o % 3 == 0, F.concat(written, F.lit("  作者：A 来源：B"))).when(o % 3 == 1, F.concat(written, F.lit(" 作者：A 讲座时间 19:00"))).otherwise(F.concat(F.lit("于 "), written, F.lit(" 作者：A")))
     shown = F.when(o % 6 == 0, " ").when(o % 6 == 1, "2024-03-05").when(o % 6 == 2, "about 2024-03-05").when(o % 6 == 3, "发布时间：2024年3月5日").when(o % 6 == 4, "Mar 5, 2024").otherwise("2024-03-05 14:00-15:30")

@@ -420,11 +420,12 @@ def candidate_places(d: Domain) -> DataFrame:
     return ranking.candidate_order(rows, "page").select("page", "nth", "place")
 
 
-@query("select event_id id, case event_type when 'view' then 1 when 'click' then 2 when 'error' then 3 when 'signup' then 5 else 8 end + case event_id % 4 when 0 then -1 when 1 then 1 else 0 end priority from events", domain=False)
+@query("select event_id id, case event_type when 'view' then 3 when 'click' then 2 when 'error' then 1 when 'signup' then 0 else 4 end + case event_id % 6 when 0 then -2 when 1 then 2 when 2 then -1 else 0 end priority from events", domain=False)
 def link_priorities(d: Domain) -> DataFrame:
-    t, e = F.col("event_type"), F.col("event_id")
-    kind = F.when(t == "view", "channel").when(t == "click", "unit").when(t == "error", "directory").when(t == "signup", "navigation").otherwise("other")
-    return d.table("events").select(e.alias("id"), ranking.route_priority(kind, F.when(e % 4 == 0, "high").when(e % 4 == 1, "low").otherwise("none")).alias("priority"))
+    t, e = F.col("event_type"), F.col("event_id") % 6
+    kind = F.when(t == "view", "channel").when(t == "click", F.when(e < 3, "unit").otherwise("major")).when(t == "error", "directory").when(t == "signup", "root").otherwise(t)
+    value = F.when(e == 0, "relevant").when(e == 1, "low").when(e == 2, "potential").when(e == 3, "mixed").when(e == 4, "unknown")
+    return d.table("events").select(F.col("event_id").alias("id"), ranking.route_priority(kind, value).alias("priority"))
 
 
 @query(

@@ -135,11 +135,24 @@ def menu_pages(d: Domain) -> DataFrame:
     return P.only_navigation(_lists(d), "k")
 
 
-@query(_ITEMS + """ select distinct k, '/n/' || id || '.htm' href, 10 * 5 + 0 - length(t) score from i where contains(t, 'URGENT') qualify row_number() over (partition by k order by 50 - length(t) desc, id) <= 2""")
+_WORDS = "['tzgg', 'notice', 'tongzhi', 'gonggao', 'announcement', 'news', 'xwdt', 'xwzx', 'info', 'article', 'list', 'xinwen', 'tongzhigonggao', 'ggl', 'tzg', 'xytz']"
+_LINKED = """with l as (select l_orderkey k, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey node, case l_partkey % 8 when 0 then '/tzgg/' when 1 then '/News/' || l_suppkey || '/index.htm' when 2 then '/info/' || l_partkey + 10000 || '.htm' when 3 then '/about.htm' when 4 then '/list/art_' || l_suppkey when 5 then '#news' when 6 then '/x/' || repeat('y', l_linenumber::int) else '/notice2' end href,
+  case l_suppkey % 4 when 0 then 'All News' when 1 then 'Notice list' when 2 then 'home' else '通知公告' end t from lineitem),"""
+
+
+@query(
+    _LINKED + f""" s as (select *, list_sum(list_transform({_WORDS}, lambda w: 3 * contains(lower(href), w)::int + 2 * contains(lower(t), w)::int)) p, regexp_matches(lower(href), 'index|/$|/(tzgg|notice|news)[0-9]*/*$') ix from l),
+  z as (select *, round(p + 5 * ix::int - length(href) * 0.02 - 3 * (not ix and regexp_matches(lower(href), '/[0-9]{{4,}}|content_[0-9]+|art_[0-9]+'))::int, 1) sc from s where p > 0 and not starts_with(href, '#')),
+  o as (select * from z qualify row_number() over (partition by k, href order by sc desc, node) = 1) select k, href, round(sc * 10)::bigint score from o qualify row_number() over (partition by k order by sc desc, node) <= 3""",
+    domain=False,
+)
 def list_links(d: Domain) -> DataFrame:
-    rows = _lists(d)
-    links = rows.where("tag = 'a' and href like '/n/%'").select("k", "node", "href", F.col("text").alias("label"))
-    return ranking.notice_links(links, "k", {"urgent": 5}, 2).select("k", "href", "score")
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    href = F.when(p % 8 == 0, "/tzgg/").when(p % 8 == 1, F.concat(F.lit("/News/"), s, F.lit("/index.htm"))).when(p % 8 == 2, F.concat(F.lit("/info/"), p + 10000, F.lit(".htm"))).when(p % 8 == 3, "/about.htm")
+    href = href.when(p % 8 == 4, F.concat(F.lit("/list/art_"), s)).when(p % 8 == 5, "#news").when(p % 8 == 6, F.concat(F.lit("/x/"), F.repeat(F.lit("y"), n.cast("int")))).otherwise("/notice2")
+    label = F.when(s % 4 == 0, "All News").when(s % 4 == 1, "Notice list").when(s % 4 == 2, "home").otherwise("通知公告")
+    links = d.table("lineitem").select(F.col("l_orderkey").alias("k"), (n * F.lit(1_000_000_000_000) + p * 100_000 + s).alias("node"), href.alias("href"), label.alias("label"))
+    return ranking.notice_links(links, "k", 3).select("k", "href", "score")
 
 
 @query(
