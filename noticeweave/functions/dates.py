@@ -70,11 +70,18 @@ def _assembled(groups: list[Column], kind: str, as_of: Column | None) -> Column:
 
 
 def parse_date(text: Column, as_of: dt.datetime | Column | None = None) -> Column:
-    """The date of the first pattern, in order, whose first match is a valid one. Days without a year are the last such day up to as_of."""
+    """The date of the first pattern, in order, whose first match is a valid one. Days without a year are the last such day up to as_of.
+
+    The text is bound once, however it is made, and the patterns are tried one after the other on texts with digits enough for a date.
+    """
     clock = F.lit(as_of) if isinstance(as_of, dt.datetime) else as_of
-    trimmed = F.trim(text)
-    found = [_assembled([F.regexp_extract(trimmed, p, i + 1) for i in range(len(kind.split()))], kind, clock) for p, kind in PATTERNS]
-    return F.coalesce(*found)
+    usable = [(p, kind) for p, kind in PATTERNS if clock is not None or "y" in kind.split()]
+
+    def tried(t: Column) -> Column:
+        return F.coalesce(*(_assembled([F.regexp_extract(t, p, i + 1) for i in range(len(kind.split()))], kind, clock) for p, kind in usable))
+
+    enough = r"\d{4}" if clock is None else r"\d"
+    return F.get(F.transform(F.filter(F.array(F.trim(text)), lambda t: t.rlike(enough)), tried), F.lit(0))
 
 
 def first_date(text: Column) -> Column:
@@ -123,14 +130,15 @@ def editorial_line(text: Column) -> Column:
     return (plain != "") & (F.char_length(plain) <= 220) & one & plain.rlike(f"^{full}") & ~plain.rlike(NOT_PUBLISHED) & ~plain.rlike(TIME_RANGE) & after.rlike(rf"^\s*(?:{EDITOR})") & valid
 
 
-def listing_role(text: Column, marks: Column) -> Column:
-    """missing, non_publication, ambiguous, publication or listing: what a date beside a list's title stands for. marks: class names."""
+def listing_role(text: Column, marks: Column, context: Column | None = None) -> Column:
+    """missing, non_publication, ambiguous, publication or listing: what a date beside a list's title stands for. marks: class names; context: the field's whole text, if it has a label."""
     raw = F.trim(F.coalesce(text, F.lit("")))
+    around = raw if context is None else F.coalesce(context, raw)
     visible = F.regexp_replace(raw, PUBLISH, "")
     full = visible.rlike(r"^\s*\d{4}[年./-]\s*\d{1,2}[月./-]\s*\d{1,2}") | visible.rlike(r"^\s*([A-Za-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4})\s*$")
     return (
-        F.when(raw == "", "missing").when(F.concat_ws(" ", raw, marks).rlike(NOT_PUBLISHED) | raw.rlike(TIME_RANGE), "non_publication").when(~full, "ambiguous")
-        .when(raw.rlike(PUBLISHED), "publication").otherwise("listing")
+        F.when(raw == "", "missing").when(F.concat_ws(" ", around, marks).rlike(NOT_PUBLISHED) | raw.rlike(TIME_RANGE), "non_publication").when(~full, "ambiguous")
+        .when(around.rlike(PUBLISHED), "publication").otherwise("listing")
     )
 
 
