@@ -52,12 +52,14 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Patterns(NamedTuple):
-    """Patterns of one length: words, owner (an item's number), block shifts and suffix buckets."""
+    """Patterns of one length: words, owner (an item's number), block shifts, and buckets by suffix and prefix: pairs of a suffix's block and a prefix's number."""
 
     rows: np.ndarray
     owner: np.ndarray
     blocks: np.ndarray
     shift: np.ndarray
+    prefixes: np.ndarray
+    pairs: np.ndarray
     first: np.ndarray
     count: np.ndarray
 
@@ -78,16 +80,15 @@ def _patterns(rows: np.ndarray, owner: np.ndarray) -> Patterns:
     ends = np.arange(size - 1, m)
     left = rows[:, ends - 1] if size == 2 else np.zeros((len(rows), len(ends)), rows.dtype)
     keys = _block_keys(left, rows[:, ends])
-    order = np.lexsort((owner, keys[:, -1]))
-    rows, owner, keys = rows[order], owner[order], keys[order]
+    begins = _block_keys(rows[:, 0], rows[:, 1]) if size == 2 else keys[:, 0]
+    order = np.lexsort((owner, begins, keys[:, -1]))
+    rows, owner, keys, begins = rows[order], owner[order], keys[order], begins[order]
     blocks, inverse = np.unique(keys, return_inverse=True)
     shift = np.full(len(blocks), m, np.int64)
     np.minimum.at(shift, inverse.reshape(-1), np.tile(m - 1 - ends, len(rows)))
-    suffixes, first, count = np.unique(keys[:, -1], return_index=True, return_counts=True)
-    at = np.searchsorted(blocks, suffixes)
-    firsts, counts = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64)
-    firsts[at], counts[at] = first, count
-    return Patterns(rows, owner, blocks, shift, firsts, counts)
+    prefixes, number = np.unique(begins, return_inverse=True)
+    pairs, first, count = np.unique(np.searchsorted(blocks, keys[:, -1]) << 32 | number.reshape(-1), return_index=True, return_counts=True)
+    return Patterns(rows, owner, blocks, shift, prefixes, pairs, first, count)
 
 
 def build_tables(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Tables:
@@ -130,14 +131,21 @@ def search(ids: np.ndarray, bounds: np.ndarray, group: Patterns) -> tuple[np.nda
         step = np.where(known, group.shift[k], m - size + 1)
         zero = np.flatnonzero(step == 0)
         if len(zero):
-            first, count, end = group.first[k[zero]], group.count[k[zero]], at[zero]
-            for nth_in_bucket in range(int(count.max())):
+            # Of a suffix's bucket only what begins as the text does is compared.
+            begin = at[zero] - m + 1
+            own = _block_keys(ids[begin], ids[begin + 1]) if size == 2 else keys[zero]
+            number = np.minimum(np.searchsorted(group.prefixes, own), len(group.prefixes) - 1)
+            pair = k[zero] << 32 | number
+            place = np.minimum(np.searchsorted(group.pairs, pair), len(group.pairs) - 1)
+            there = np.flatnonzero((group.prefixes[number] == own) & (group.pairs[place] == pair))
+            begin, first, count = begin[there], group.first[place[there]], group.count[place[there]]
+            for nth_in_bucket in range(int(count.max(initial=0))):
                 live = count > nth_in_bucket
-                pattern, begin = first[live] + nth_in_bucket, end[live] - m + 1
-                same = np.ones(len(begin), bool)
+                pattern, start = first[live] + nth_in_bucket, begin[live]
+                same = np.ones(len(start), bool)
                 for j in range(m):
-                    same[same] = ids[begin[same] + j] == group.rows[pattern[same], j]
-                starts.append(begin[same])
+                    same[same] = ids[start[same] + j] == group.rows[pattern[same], j]
+                starts.append(start[same])
                 owners.append(group.owner[pattern[same]])
         at = at + np.maximum(step, 1)
         live = at < stop
