@@ -2,14 +2,17 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from noticeweave.llm import repeats
 from noticeweave.llm.queries import QUERIES
-from noticeweave.llm.repeats import remove_repeats
+from noticeweave.llm.repeats import Anchors, remove_repeats
 from noticeweave.llm.suffixes import Prefixes, repeated, sort_suffixes
 
 
@@ -98,3 +101,46 @@ def test_many_equal_rows_and_one_page(spark):
             assert spans == [(start - 1, start + len(page))] or spans == [(start, start + len(page))] or spans[0][1] == start + len(page)
         else:
             assert spans == []
+
+
+def test_units_are_found_in_little_memory():
+    """Of 2 MB in one text and in many, with the same units whatever is looked at together."""
+    draw = random.Random(8)
+    texts = [draw.randbytes(2_000_000), *(draw.randbytes(2_000) for _ in range(1_000))]
+    finder = Anchors(400, 64)
+    tracemalloc.start()
+    starts = sum(int(n.sum()) for _, _, n, *_ in finder.find(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert starts == sum(len(t) - 399 for t in texts)
+    assert peak < 40e6
+
+
+def test_units_of_few_starts_are_sorted_by_the_megabyte():
+    """100,000 units of one start and 400 bytes, which are 40 MB, as stretches of large groups are."""
+    batch = pa.RecordBatch.from_pylist([{"key": i // 50, "key2": 0, "n": 1, "text": bytes(400)} for i in range(20_000)])
+    bundles = list(repeats._bundles(batch for _ in range(5)))
+    assert sum(map(len, bundles)) == 100_000
+    assert max(sum(len(r["text"]) for r in b) for b in bundles) < 1 << 20
+    for b, c in zip(bundles[:-1], bundles[1:], strict=True):
+        assert b[-1]["key"] != c[0]["key"]
+
+
+def test_batches_are_bounded_in_bytes(spark, monkeypatch):
+    """Texts that Python gets at once in the search for units, and what one batch of copies becomes when it is cut."""
+    pieces = list(repeats._filled(((i, bytes(5_000)) for i in range(2_000)), "key long, text binary"))
+    assert [x for b in pieces for x in b.column(0).to_pylist()] == list(range(2_000))
+    assert max(b.nbytes for b in pieces) < 2 * repeats.BATCH
+    assert list(repeats._filled(iter(()), "key long, text binary")) == []
+
+    class Told(Anchors):
+        def find(self, texts):
+            assert sum(map(len, texts)) < 2 * repeats.BATCH, "too many bytes at once"
+            return super().find(texts)
+
+    monkeypatch.setattr(repeats, "Anchors", Told)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = spark.range(0, 1_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 150).alias("text"))
+    got = remove_repeats(long, keep=["doc_id"]).select("doc_id", "n_bytes", F.size("spans").alias("n"), F.length("kept").alias("kept")).collect()
+    assert sorted(map(tuple, got)) == [(i, 9_600, 1, 0) for i in range(1_000)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
