@@ -1,13 +1,16 @@
 """Byte-level BPE: text to ids by a file of ranks, and ids to bytes.
 
-Encoding splits a text by a pattern into pre-tokens and merges each one's bytes by rank. A text longer
-than a chunk is cut into overlapping chunks that tasks pre-tokenise and encode in parallel. The pattern
+Encoding splits a text by a pattern into pre-tokens and merges each one's bytes by rank; for a text of up to a
+chunk both are compiled code (tiktoken's). A longer text is cut into overlapping chunks that tasks pre-tokenise and encode in
+parallel, with the starts of pre-tokens, which tiktoken doesn't tell. The pattern
 looks ahead a few characters and never back, so two tokenisations agree from any place where both have a
 boundary: neighbouring chunks are stitched at the first such place in their overlap. Where overlaps have
 none (one endless pre-token), all chunks up to the next such place are tokenised again as one, once.
 
 That holds for the patterns in SEGMENTED. With any other one, texts are pre-tokenised whole, each in the task that has it.
 
+What is a letter or a number is told by tiktoken's tables of Unicode, also where another module finds the starts.
+
 Results for odd rows: a null text is encoded as an empty one, to no ids; null ids decode to null, and an id that the
 vocabulary doesn't have decodes to the bytes of U+FFFD. Repeated rows get equal results.
 """
@@ -15,12 +18,14 @@ vocabulary doesn't have decodes to the bytes of U+FFFD. Repeated rows get equal
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from itertools import chain, pairwise
+from collections.abc import Callable, Iterator
+from functools import cache, cached_property
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -32,18 +37,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 CHUNK, OVERLAP = 65_536, 1_024
 #: A boundary this near the end of a cut text may depend on characters beyond.
 LOOK = 4
-#: Segments of text whose ids a task remembers; it starts anew when they are as many.
-REMEMBERED = 60_000
 # Patterns in which white space only begins or fills a pre-token, and which look ahead by less than LOOK characters.
 SEGMENTED = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
 )
-#: Unicode's white space, as the patterns of public tokenizers see it.
-SPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
+#: Characters that stand for a letter, a number and neither, none of them in a pattern.
+TWINS = ("\u00e9", "\u00b2", "\ue000")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,39 +52,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Encoder(dict):
-    """Ids of text; as a dict, from a segment to its ids.
+@cache
+def newer() -> dict[int, str]:
+    """Characters that the module regex takes for letters or numbers and tiktoken doesn't, or the other way, to one that both take for the same.
 
-    Segments are runs of white space, each with the run of other characters after it. Patterns of
-    byte-level tokenizers (SEGMENTED) let white space only begin a pre-token or fill it, so a boundary lies before
-    each such run and a segment's ids don't depend on its neighbours. With other patterns a text is one segment.
+    Each has its own version of Unicode.
     """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    ranks = {bytes([i]): i for i in range(256)}
+
+    def told(kind: str) -> set[str]:
+        found = tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(every)
+        return set(bytes(found).decode())
+
+    letters, numbers = told(r"\p{L}"), told(r"\p{N}")
+    differ = (letters ^ set(regex.findall(r"\p{L}", every))) | (numbers ^ set(regex.findall(r"\p{N}", every)))
+    return {ord(c): TWINS[0 if c in letters else 1 if c in numbers else 2] for c in differ}
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
-        super().__init__()
+
+class Encoder:
+    """Ids of text: as a whole, or with its pre-tokens. other: characters to others, for the starts of pre-tokens (see newer)."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, other: dict[int, str] | None = None) -> None:
+        self.ranks, self.pattern, self.other = ranks, pattern, newer() if other is None else other
         self.pretokens = regex.compile(pattern)
-        self.segments = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+" if pattern in SEGMENTED else "(?s).+")
-        #: One pre-token at a time: the whole of what it gets is one piece.
-        self.merge = tiktoken.Encoding("piece", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.remembered = remembered
-
-    def __missing__(self, segment: str) -> tuple[int, ...]:
-        if len(self) >= self.remembered:
-            self.clear()
-        merge = self.merge
-        ids = tuple(chain.from_iterable(merge(m[0]) for m in self.pretokens.finditer(segment)))
-        if len(segment) <= 64:
-            self[segment] = ids
-        return ids
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.segments.findall(text))), np.int32)
+
+    @cached_property
+    def ids(self) -> Callable[[str], list[int]]:
+        """A text's ids. For texts of up to a chunk: a pattern may need more steps on an endless pre-token than compiled code takes."""
+        return tiktoken.Encoding("text", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+
+    @cached_property
+    def merge(self) -> Callable[[str], list[int]]:
+        """One pre-token's ids: the whole of what it gets is one piece."""
+        return tiktoken.Encoding("piece", pat_str="(?s).+", mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each pre-token's start, number of ids, and all ids."""
         starts, counts, ids = [], [], []
-        for m in self.pretokens.finditer(text):
-            got = self.merge(m[0])
+        for m in self.pretokens.finditer(text if text.isascii() else text.translate(self.other)):
+            got = self.merge(text[m.start() : m.end()])
             starts.append(m.start())
             counts.append(len(got))
             ids.extend(got)
@@ -159,7 +166,7 @@ def encode(
     if len(ranks) > 2_000_000:
         raise ValueError("too many ranks to broadcast")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((ranks, pattern))
+    shared = spark.sparkContext.broadcast((ranks, pattern, newer()))
     kept = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(*(F.col(f"`{c}`") for c in kept), text.alias("__nw_text"))
@@ -169,7 +176,8 @@ def encode(
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for batch in sliced(batches):
-            made = [encoder.ids(t.as_py()) for t in batch.column(len(kept))]
+            texts = (t.as_py() for t in batch.column(len(kept)))
+            made = [np.array(encoder.ids(t) if len(t) <= CHUNK else encoder.tokens(t)[2], np.int32) for t in texts]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*kept, ids_col])
@@ -241,20 +249,21 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        table = [b"\xef\xbf\xbd"] * (max(ranks.values(), default=0) + 2)
+        known = [b"\xef\xbf\xbd"] * (max(ranks.values(), default=0) + 2)
         for token, rank in ranks.items():
-            table[rank] = token
+            known[rank] = token
+        table, none = pa.array(known, pa.binary()), len(known) - 1
         for batch in sliced(batches):
             found = batch.column(len(kept))
-            offsets, valid = found.offsets.to_numpy(), found.is_valid().to_pylist()
+            offsets = found.offsets.to_numpy()
             values = found.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1).to_numpy(zero_copy_only=False)
-            values = np.where((values < 0) | (values >= len(table)), len(table) - 1, values)
-            offsets = offsets - offsets[0]
-            made = [
-                b"".join(map(table.__getitem__, values[a:b].tolist())) if ok else None
-                for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)
-            ]
+            values = np.append(np.where((values < 0) | (values > none), none, values), none)  # never empty: then there are buffers
+            _, ends, data = table.take(pa.array(values)).buffers()
+            ends = np.frombuffer(ends, np.int32)[offsets - offsets[0]]
+            made = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), data])
+            if found.null_count:
+                made = pc.if_else(found.is_valid(), made, pa.scalar(None, pa.binary()))
             columns = batch.columns if keep_ids else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.binary())], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*columns, made], names=schema.fieldNames())
 
     return base.mapInArrow(run, schema)

@@ -86,3 +86,39 @@ def test_patterns_that_cut_after_white_space(spark):
     rows = [(1, "one two  three\n four " * 9), (2, " x  y"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.ids for r in encode(df, RANKS, pattern, chunk=20, overlap=5).collect()} == {i: library.encode_ordinary(t or "") for i, t in rows}
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(65536, 1024), (50, 3)])
+def test_letters_of_one_version_of_unicode(spark, library, chunk, overlap):
+    every = list(map(chr, (0x558, 0x58B, 0x88F, 0xC5C, 0xCDC, 0x208F, 0x209D, 0xA7CE, 0x11DE0, 0x1246F, 0x323B0)))
+    draw = random.Random(5)
+    rows = [(i, "".join(draw.choice([*every, *" a7!" * 3, "'s"]) for _ in range(300))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.ids for r in encode(df, RANKS, P.PATTERN, chunk=chunk, overlap=overlap).collect()}
+    assert found == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_new_words_cost_no_more_than_in_the_library(library):
+    import time
+
+    from noticeweave.llm.bpe import Encoder
+
+    draw = random.Random(6)
+    text = " ".join("".join(draw.choices("abcdefghijklmnoprstuvwy", k=draw.randrange(3, 11))) for _ in range(8000))
+    encoder = Encoder(RANKS, P.PATTERN)
+    took: dict[bool, list[float]] = {True: [], False: []}
+    for own in [True, False] * 12:
+        some = text.replace("a", "abcdefghij"[len(took[own]) % 10])
+        began = time.process_time()
+        got = encoder.ids(some) if own else library.encode_ordinary(some)
+        took[own].append(time.process_time() - began)
+        assert len(got) > 8000
+    assert sum(sorted(took[True])[:6]) < 1.5 * sum(sorted(took[False])[:6])
+
+
+def test_decode_parts_of_batches(spark):
+    rows = [(i, None if i % 7 == 3 else [] if i % 5 == 1 else list(range(i, i + i % 9))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(2)
+    tokens = {rank: token for token, rank in RANKS.items()}
+    got = {r.doc_id: None if r.decoded is None else bytes(r.decoded) for r in decode(df, RANKS).collect()}
+    assert got == {i: None if ids is None else b"".join(tokens[x] for x in ids) for i, ids in rows}
