@@ -136,19 +136,20 @@ def links(prints: DataFrame, wide: bool = False) -> DataFrame:
             out = F.when(cases[i], F.lit(i)).otherwise(out)
         return out
 
+    # Each fingerprint has dozens of keys, and Spark sizes them like the fingerprints: unhinted, it broadcasts them.
     exact = _keyed(prints, "exact")
     case = first([(errors[i] == 0) & (errors[j] <= 2) for i, j in _EXACT])
     once = F.lit(False)
     for c, (_, j) in enumerate(_EXACT):
         once = once | (case == c) & ((errors[j] > 0) | F.col("x.near") & F.col("y.near"))
     found = exact.alias("x").join(
-        exact.alias("y"), (F.col("x.key") == F.col("y.key")) & few & (F.shiftright(F.col("x.key"), 34) == case) & once
+        exact.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & few & (F.shiftright(F.col("x.key"), 34) == case) & once
     )
     none = (errors[0] > 0) & (errors[1] > 0) & (errors[2] > 0)
     one = first([(errors[i] == 1) & (errors[j] == 1) for i, j in _SINGLE])
     case_at = 38 if wide else 26
     more = _keyed(prints, "own", wide).alias("x").join(
-        _keyed(prints, "flipped", wide).alias("y"), (F.col("x.key") == F.col("y.key")) & few & none & (F.shiftright(F.col("x.key"), case_at) == one)
+        _keyed(prints, "flipped", wide).alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & few & none & (F.shiftright(F.col("x.key"), case_at) == one)
     )
     pair = [a.alias("a"), b.alias("b")]
     return found.select(*pair).unionByName(more.select(*pair))
@@ -163,10 +164,10 @@ def near_groups(prints: DataFrame, more: Callable[[DataFrame], DataFrame] | None
     found = stash(links(each, each.count() >= WIDE), "links")
     roots = components(found if more is None else found.unionByName(more(found)))
     named = stash(
-        each.join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", "least", "n", F.coalesce("root", "f").alias("root")), "named"
+        each.join(roots.withColumnRenamed("node", "f").hint("merge"), "f", "left").select("f", "least", "n", F.coalesce("root", "f").alias("root")), "named"
     )
     least = stash(named.groupBy("root").agg(F.min("least").alias("component")), "components")
-    return stash(named.join(least, "root").select("f", "n", "root", "component"), "groups")
+    return stash(named.join(least.hint("merge"), "root").select("f", "n", "root", "component"), "groups")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -197,7 +198,7 @@ def dedup(
     rows = prints.groupBy("f", "id", "__nw_row").agg(F.count(F.lit(1)).alias("n"))
     least = rows.groupBy("f").agg(F.min(F.struct(order.alias("o"), "n")).alias("least"))
     chosen = stash(
-        stash(least, "least").join(groups, "f").groupBy("root").agg(F.min("least").alias("m")).select(
+        stash(least, "least").join(groups.hint("merge"), "f").groupBy("root").agg(F.min("least").alias("m")).select(
             F.col("m.o.id").alias("__nw_id"), F.col("m.o.row").alias("__nw_row2"), F.col("m.n").alias("__nw_n")
         ),
         "chosen",

@@ -112,3 +112,11 @@ def test_query(spark, sf):
     want = groups(prints)
     got = sorted(QUERIES["op1_simhash"](spark, f"/root/testdata/sf{sf}").collect())
     assert [tuple(r) for r in got] == [(docs[i][0], f"{prints[i]:016x}", docs[want[i]][0]) for i in range(len(docs))]
+
+
+def test_keys_are_never_broadcast(spark):
+    # each fingerprint has dozens of keys, of which Spark's estimate knows nothing
+    prints = spark.range(1000).select(F.xxhash64("id").alias("f"))
+    for wide in (False, True):
+        plan = links(prints, wide)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
