@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from noticeweave.functions import elements as E
-from noticeweave.functions.html import resolve
+from noticeweave.functions.html import page_text, parse, resolve
 from noticeweave.functions.scalars import _byte_pieces
 from noticeweave.operators import pages as P
 
@@ -93,3 +93,12 @@ def test_dates_of_static_notices(spark):
     got = {(r.k, r.href): str(r.date) for r in P.static_notices(rows, "k").collect()}
     assert got == {(0, "/1"): "2024-03-05", (1, "/3"): "2024-02-02"}
     assert rows.where(F.col("text").isNull()).count() == 0
+
+
+def test_only_ended_references_are_any(spark):
+    # titles cut within a reference, as landed pages have them
+    assert E.tree("<p>a &amp; b &amp</p>")[0] == "a & b &amp" and E.tree("<p>&notit; &#65;&#65 &x &lt")[0] == "&notit; A&#65 &x &lt"
+    assert E.tree("<a href='?a=1&copy=2&amp;b'>x</a>")[1][0]["href"] == "?a=1&copy=2&b"
+    assert parse("<h1>x &&&amp</h1>").heading == "x &&&amp"
+    found = spark.createDataFrame([("<h1>R&amp;D &amp</h1>",)], "h string").select(page_text("h").alias("p")).first().p
+    assert (found.heading, found.body) == ("R&D &amp", "R&D &amp")
