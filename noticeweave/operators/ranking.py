@@ -17,9 +17,14 @@ NOTICE_KEYWORDS = (
 )
 
 
+def newest(tie: str) -> list[Column]:
+    """Newest first, undated last, then newest created."""
+    return [F.desc_nulls_last("published_at"), F.desc("created_at"), F.col(tie)]
+
+
 def page(rows: DataFrame, keys: list[str], size: int, number: int = 1, *, tie: str = "id") -> DataFrame:
     """A page of each key's notices: newest first, undated last, then newest created. Ranks are cut before the shuffle."""
-    order = W.partitionBy(*keys).orderBy(F.desc_nulls_last("published_at"), F.desc("created_at"), tie)
+    order = W.partitionBy(*keys).orderBy(*newest(tie))
     ranked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size * number)
     return ranked.where(F.col("place") > size * (number - 1)) if number > 1 else ranked
 
