@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from functools import reduce
+from itertools import count
 from operator import and_, or_
 
 import pandas as pd
@@ -201,16 +202,21 @@ def expanded_subscriptions(subscriptions: DataFrame, departments: DataFrame, dir
 
 
 def reachable_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, node: all nodes below each root, by joins that end at a fixpoint."""
-    from noticeweave.operators.graphs import _kept
+    """root, node: all nodes below each root, by joins that end at a fixpoint.
 
-    pairs = _kept(roots.select(F.col("node").alias("root"), "node").distinct())
+    Rounds are tables: plans of checkpointed ones keep estimates and constraints of all rounds before, which fill the driver. Nothing is broadcast, since all may grow.
+    """
+    below = written(edges.select(F.col("parent").alias("node"), "child").distinct()).hint("merge")
+    pairs = written(roots.select(F.col("node").alias("root"), "node").distinct())
     seen = None
-    while not pairs.isEmpty():
-        step = pairs.join(edges.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node")).where("root <> node").distinct()
-        pairs = _kept(step if seen is None else step.join(seen, ["root", "node"], "left_anti"))
-        seen = pairs if seen is None else _kept(seen.unionByName(pairs))
-    return pairs if seen is None else seen
+    for turn in count(1):
+        step = pairs.join(below, "node").select("root", F.col("child").alias("node")).where("root <> node").distinct()
+        pairs = written(step if seen is None else step.join(seen.hint("merge"), ["root", "node"], "left_anti"))
+        if pairs.isEmpty():
+            return pairs if seen is None else seen
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        if turn % 16 == 0:  # a union of many tables makes long plans
+            seen = written(seen)
 
 
 def normalised(args: dict[str, str]) -> dict[str, str]:
