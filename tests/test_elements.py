@@ -1,5 +1,6 @@
 """The table of elements, sanitising, and what is read from pages, on small pages written here."""
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -102,3 +103,13 @@ def test_only_ended_references_are_any(spark):
     assert parse("<h1>x &&&amp</h1>").heading == "x &&&amp"
     found = spark.createDataFrame([("<h1>R&amp;D &amp</h1>",)], "h string").select(page_text("h").alias("p")).first().p
     assert (found.heading, found.body) == ("R&D &amp", "R&D &amp")
+
+
+def test_pages_are_parsed_in_portions(spark):
+    sizes = [0, 5, E.CHARS, E.CHARS - 1, 3, 1, 2]
+    found = list(E._portions(pa.array([None, *("x" * n for n in sizes)])))
+    assert found == [(0, 3), (3, 1), (4, 1), (5, 3)] and not list(E._portions(pa.array([], pa.string())))
+    page = "<p class='b a' id=i>x &amp; y<br><a href=/z title=t>z</a></p>"
+    got = E.page_texts(spark.createDataFrame([(1, page * 3), (2, None)], "k long, html string").coalesce(1), "k", "html").collect()
+    text, rows = E.tree(page * 3)
+    assert [(r.k, r.text, [e.asDict() for e in r.elements]) for r in got] == [(1, text, rows), (2, "", [])]
