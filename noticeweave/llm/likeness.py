@@ -161,7 +161,7 @@ def links(docs: DataFrame, *, text_col: str = "text", words: int = WORDS, print_
     keys = _prefixes(texts, words, print_words).select(*_ENDS, "n", F.posexplode("keys").alias("pos", "key"))
     x, y = keys.alias("x"), keys.alias("y")
     new = (F.col("x.f") < F.col("y.f")) & (F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) > simhash.ERRORS)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & new & _may_be_alike("x", "y"))
+    pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & new & _may_be_alike("x", "y"))
     return _verified(pairs.select(*(F.col(f"{s}.{c}").alias(s + c) for s in "xy" for c in _ENDS)).distinct(), texts, words)
 
 
@@ -224,11 +224,11 @@ def _rest(keys: DataFrame) -> DataFrame:
     p, q = groups.alias("p"), groups.alias("q")
     sizes = (5 * F.col("p.most") >= 4 * F.col("q.least")) & (5 * F.col("q.most") >= 4 * F.col("p.least"))
     places = 9 * F.least("p.after", "q.after") >= 4 * (F.col("p.least") + F.col("q.least"))
-    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")) & sizes & places).select(
+    met = p.join(q.hint("merge"), (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")) & sizes & places).select(
         F.col("p.key").alias("key"), F.col("p.root").alias("root"), F.col("q.root").alias("other")
     )
-    first = left.join(met, ["key", "root"]).alias("x")
-    pairs = first.join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.other") == F.col("y.root")) & _may_be_alike("x", "y"))
+    first = left.join(met.hint("merge"), ["key", "root"]).alias("x")
+    pairs = first.join(left.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.other") == F.col("y.root")) & _may_be_alike("x", "y"))
     return pairs.select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
 
 

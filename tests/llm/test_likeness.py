@@ -120,3 +120,11 @@ def test_counts_bound_what_sets_share():
         b = np.unique(np.concatenate([kept, draw.integers(-(1 << 63), (1 << 63) - 1, int(draw.integers(1, 900)))]))
         assert likeness.at_most(likeness.counted(a), likeness.counted(b)) >= len(np.intersect1d(a, b))
     assert likeness.at_most(b"", likeness.counted(a)) > 1 << 60
+
+
+def test_shingles_are_never_broadcast(spark):
+    # what a text's array of shingles holds isn't in Spark's estimate of the rows made of it
+    keys = spark.range(1000).select("id", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("key"))
+    left = keys.select("key", F.col("id").alias("root"), F.col("id").alias("h"), F.lit(60).alias("n"), F.lit(0).alias("pos"))
+    plan = likeness._rest(left)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
